@@ -10,6 +10,7 @@ from lakeloom.llm.decontamination import op2_benchmark_decontamination
 from lakeloom.llm.packing import op10_best_fit_packing
 from lakeloom.llm.sharding import op4_histogram_sharding
 from lakeloom.llm.simhash import op9_simhash_near_dedup
+from lakeloom.llm.suffix_dedup import op8_suffix_array_dedup
 from lakeloom.llm.token_counts import op5_token_counts
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_histogram_sharding": op4_histogram_sharding,
         "op5_token_counts": op5_token_counts,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
