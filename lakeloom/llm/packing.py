@@ -25,42 +25,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm._util import materialise, table, whole_text
+from lakeloom.llm.token_counts import byte_alphabet
 
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 
 #: Fixed value: the white space of this vocabulary's pattern. ``str.split`` also splits at the four separators.
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Fixed value: this vocabulary's pieces of a word.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+FAR = re.compile("[\x1c-\x1f\u0130\u0180-\U0010ffff]")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 class WordEncoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit numbers."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
+
+    Words that hold only characters up to U+017F (but U+0130) are their own normal form, so their pieces go
+    straight to the model; all others take the library's whole path."""
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.alphabet = byte_alphabet()
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.cache_chunks = cache_chunks
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [[w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.known) > self.cache_chunks:
+    def piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= self.cache_chunks:
+            self.pieces.clear()
+        stands = piece if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
+        ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(stands)], dtype="<u4").tobytes()
+        return ids
+
+    def word(self, word: str) -> bytes:
+        if len(self.known) >= self.cache_chunks:
             self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        if FAR.search(word) or any(s in word for s in self.special):
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        else:
+            ids = b"".join(self.pieces.get(p) or self.piece(p) for p in PIECES.findall(word.lower()))
+        self.known[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        words = [w for w in SPACE.split(text) if w] if SEPARATORS.search(text) else text.split()
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            ids = [self.word(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -80,22 +105,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     """One row per piece: doc_id, piece, start, length, ids_crc32. Map-only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         enc, end, step = encoder(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                rows = []
-                part = batch.iloc[lo : lo + 500]
-                for doc, ids in zip(part["doc_id"], enc.encode(list(part["text"])), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        own = ids[at : at + step]
-                        rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-                yield out
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = enc.encode(text) + end
+                for k, at in enumerate(range(0, len(ids), step)):
+                    own = ids[at : at + step]
+                    rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
+            yield out
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return source.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
