@@ -55,13 +55,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HA
     """Verified overlaps: doc_id, text_hash (of the row's text), item_id, first_word (in the document), n_windows."""
     items = benchmark.select(F.col("item_id").alias("_item"), whole_text().alias("_t")).distinct()
     items = items.select("_item", F.xxhash64("_item", "_t").alias("_key"), words(F.col("_t")).alias("_w")).where(F.size("_w") >= WINDOW)
-    hashes = items.select("_key", "_w", F.posexplode(seeds(F.col("_w"))).alias("_at", "_seed"))
+    hashes = items.select("_key", "_w", F.posexplode_outer(seeds(F.col("_w"))).alias("_at", "_seed"))
     hashes = hashes.select("_key", "_seed", place(F.col("_at"), F.col("_w")).alias("_q"))
     blocks = max(1, -(-hashes.count() // block_hashes))
     rows = docs.select("doc_id", whole_text().alias("_t"))
     rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), words(F.col("_t")).alias("_h"))
     rows = rows.withColumn("_seeds", seeds(F.col("_h")))
-    probes = rows.select("doc_id", "text_hash", "_h", F.posexplode("_seeds").alias("_at", "_seed"))
+    # outer: otherwise the optimizer adds a filter that computes the words anew for every word
+    probes = rows.select("doc_id", "text_hash", "_h", F.posexplode_outer("_seeds").alias("_at", "_seed"))
 
     def block(k: int) -> DataFrame:
         mine = F.pmod(F.col("_key"), F.lit(blocks)) == k
@@ -78,11 +79,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HA
         F.sequence(F.lit(1), F.size("_e") - WINDOW + 1),
         lambda i: F.aggregate(F.slice("_e", i, WINDOW), F.lit(0), lambda s, x: s + x) >= AGREE,
     )
-    hits = hits.select("doc_id", "text_hash", "_item", "_from", good.alias("_good")).where(F.size("_good") > 0)
-    return hits.groupBy("doc_id", "text_hash", F.col("_item").alias("item_id")).agg(
+    hits = hits.select("doc_id", "text_hash", "_item", "_from", good.alias("_good"))
+    found = hits.groupBy("doc_id", "text_hash", F.col("_item").alias("item_id")).agg(
         F.min(F.col("_from") + F.get("_good", F.lit(0)) - 1).cast("long").alias("first_word"),
         F.max(F.size("_good")).cast("long").alias("n_windows"),
     )
+    return found.where(F.col("n_windows") > 0)  # after the grouping, so that the filter is not computed on its own
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
