@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from lakeloom.llm.chat_format import op1_chat_hmm
 from lakeloom.llm.decontamination import op2_benchmark_decontamination
+from lakeloom.llm.html_extraction import op3_html_template_extraction
 from lakeloom.llm.packing import op10_best_fit_packing
 from lakeloom.llm.sharding import op4_histogram_sharding
 from lakeloom.llm.simhash import op9_simhash_near_dedup
@@ -19,7 +21,9 @@ from lakeloom.llm.toxicity import op6_zstd_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_hmm": op1_chat_hmm,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_html_template_extraction": op3_html_template_extraction,
         "op4_histogram_sharding": op4_histogram_sharding,
         "op5_token_counts": op5_token_counts,
         "op6_zstd_toxicity": op6_zstd_toxicity,
