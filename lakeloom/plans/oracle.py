@@ -198,3 +198,8 @@ def statement(body: str, spec: str) -> str:
     parts = ", ".join(f"{n} AS ({SQL[n]})" for n in needed)
     out = ", ".join(f"CAST({c} AS {DUCK_TYPES[t]}) AS {c}" for c, t in columns(spec))
     return f"WITH {parts + ', ' if parts else ''}_result AS ({body}) SELECT {out} FROM _result"
+
+
+def plain(body: str, spec: str) -> str:
+    """A query over test tables, with comparable types."""
+    return f"SELECT {', '.join(f'CAST({c} AS {DUCK_TYPES[t]}) AS {c}' for c, t in columns(spec))} FROM ({body}) _result"
