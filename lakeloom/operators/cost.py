@@ -22,7 +22,7 @@ def month_pools(days: DataFrame, day: str, monthly: Column) -> DataFrame:
 def share(rows: DataFrame, total: str, weight: str, by: Sequence[str], key: str, down: bool = False) -> DataFrame:
     """Adds ``usd``: the group's ``total`` in proportion to whole-number weights, rounded to 1e-12 half to even (or
     down), the rest going to the largest weight (of equal ones to the first key), so that shares sum exactly.
-    Weights of 0 or less get no row. Nothing is divided as a decimal: quotients are whole numbers."""
+    Weights of 0 or less get no row. Only whole multiples are divided, so quotients are exact."""
     group = W.partitionBy(*by)
     live = rows.where(F.col(weight) > 0)
     sum_w = F.sum(F.col(weight).cast(BIG)).over(group)
@@ -30,13 +30,13 @@ def share(rows: DataFrame, total: str, weight: str, by: Sequence[str], key: str,
     live = live.withColumns({"_sum": sum_w.cast(BIG), "_pool": pool})
     product = (F.col("_pool") * F.col(weight).cast("decimal(18,0)")).cast(BIG)
     live = live.withColumn("_p", product).withColumn("_rem", F.col("_p") % F.col("_sum"))
-    live = live.withColumn("_floor", F.expr("(_p - _rem) div _sum").cast(BIG))
+    live = live.withColumn("_floor", ((F.col("_p") - F.col("_rem")).cast(BIG) / F.col("_sum")).cast(BIG))
     up = F.lit(0) if down else F.when((2 * F.col("_rem") > F.col("_sum")) | ((2 * F.col("_rem") == F.col("_sum")) & (F.col("_floor") % 2 == 1)), 1).otherwise(0)
     live = live.withColumn("_units", (F.col("_floor") + up).cast(BIG))
     first = F.row_number().over(group.orderBy(F.desc(weight), key)) == 1
     rest = F.col("_pool") - F.sum("_units").over(group)
     units = F.col("_units") + F.when(first, rest).otherwise(F.lit(0))
-    return live.withColumn("usd", (units.cast(BIG) / F.lit(UNIT).cast("decimal(13,0)")).cast("decimal(30,12)")).drop("_sum", "_pool", "_p", "_rem", "_floor", "_units")
+    return live.withColumn("usd", (units.cast("decimal(22,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast("decimal(30,12)")).drop("_sum", "_pool", "_p", "_rem", "_floor", "_units")
 
 
 def bursts(queries: DataFrame, warehouse: str, started_ms: str, id: str, ms: str, idle_ms: int) -> DataFrame:
