@@ -36,7 +36,7 @@ from lakeloom.llm.token_counts import byte_alphabet
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 
 #: Fixed value: the white space of this vocabulary's pattern. ``str.split`` also splits at the four separators.
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

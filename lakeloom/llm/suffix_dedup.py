@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,9 @@ WINDOW = 50
 ANCHOR = 24
 BLOCK = 1 << 21
 FAN = 8
+ROWS_AT_ONCE = 512
 BYTES_PER_BUCKET = 16 << 20
+UNKNOWN_SIZE = 1 << 60
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -279,6 +282,7 @@ def matched(docs: DataFrame, buckets: int, second: bool) -> DataFrame:
                 own = np.stack([batch.doc_id[doc], batch.mark[doc].astype(np.int64), first << 32 | n]).astype("<i8")
                 rows.append((int(batch.k[0] % np.uint64(buckets)), False, zstandard.compress(own.tobytes(), 1)))
             yield pd.DataFrame(rows, columns=["bucket", "suffixes", "blob"])
+        hasher.cache_clear()  # workers live on; later stages need the memory
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         out, family = [], IndexFamily()
@@ -316,6 +320,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("mark", F.hash("text"))
     slim = keyed.select("doc_id", "mark", "text")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > UNKNOWN_SIZE:  # not a table of files: count
+        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 2 * max(partitions(spark), size // BYTES_PER_BUCKET)
     first = materialise(matched(slim, buckets, second=False), "suffix-matches")
     look = first.where(~F.col("sure")).groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
@@ -348,23 +354,21 @@ def remove_repeats(docs: DataFrame, least_left: int = 1) -> DataFrame:
     """The documents with repeated bytes cut out of ``text`` (broken characters at the cuts go too). Documents of
     which under ``least_left`` bytes are left are dropped if anything was removed. Columns stay as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch["text"], batch["spans"], strict=True):
-                if spans is None:
-                    texts.append(text)
-                    continue
-                raw = text.encode()
-                left = b"".join(raw[a:b] for a, b in cut(raw, spans)[2])
-                texts.append(left.decode(errors="ignore") if len(left) >= least_left else None)
-            yield batch.assign(text=texts).loc[[t is not None for t in texts]].drop(columns=["mark", "spans"])
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part, texts = batch.slice(lo, ROWS_AT_ONCE), []
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    raw = text.encode()
+                    left = raw if spans is None else b"".join(raw[a:b] for a, b in cut(raw, spans)[2])
+                    texts.append(text if spans is None else left.decode(errors="ignore") if len(left) >= least_left else None)
+                new = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column("_row")], ["text", "_row"])
+                yield new.filter(pa.array([t is not None for t in texts]))
 
     names = docs.columns
     rest = F.struct(*[F.col(c) for c in names if c != "text"]).alias("_row")
-    rows = with_spans(docs.select("doc_id", "text", rest))
-    schema = f"doc_id long, text string, _row {rows.schema['_row'].dataType.simpleString()}"
-    out = rows.select("doc_id", "text", "_row", "mark", "spans").mapInPandas(run, schema)
+    rows = with_spans(docs.select("doc_id", "text", rest)).select("text", "_row", "spans")
+    out = rows.mapInArrow(run, rows.drop("spans").schema)
     return out.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
 
 

@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,41 +142,55 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 _DISTANCES: dict[tuple[bytes, bytes], Distance] = {}
+ROWS_AT_ONCE = 512
+
+
+def scorer(model: Model | None) -> Callable[[list[str]], np.ndarray]:
+    """Scores of texts in this process; the dictionaries are prepared once."""
+    if model is None:
+        return lambda texts: np.zeros(len(texts))
+    key = (model.ordinary, model.toxic)
+    if key not in _DISTANCES:
+        _DISTANCES.clear()
+        _DISTANCES[key] = Distance(*key)
+    distance, weight = _DISTANCES[key], np.array(model.weight)
+
+    def of(texts: list[str]) -> np.ndarray:
+        evidence = np.array([weight[distance.of(t)].sum() for t in texts])
+        x = np.clip((evidence - model.threshold) * model.slope + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)
+        return 1 / (1 + np.exp(-x))
+
+    return of
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, score, predicted, with ``text`` and ``_row`` if ``docs`` has them. Map-only."""
+    """doc_id, held_out, score, predicted of every row. Map-only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if model is not None:
-            key = (model.ordinary, model.toxic)
-            if key not in _DISTANCES:
-                _DISTANCES.clear()
-                _DISTANCES[key] = Distance(*key)
-            distance, weight = _DISTANCES[key], np.array(model.weight)
+        of = scorer(model)
         for batch in batches:
-            if model is None:
-                scores = np.zeros(len(batch))
-            else:
-                evidence = np.array([weight[distance.of(t)].sum() for t in batch["text"]])
-                x = np.clip((evidence - model.threshold) * model.slope + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)
-                scores = 1 / (1 + np.exp(-x))
-            yield batch.assign(score=scores, predicted=(scores >= THRESHOLD).astype("int32"))[out]
-
-    keep = [c for c in docs.columns if c == "_row"]
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *keep)
-    out = ["doc_id", *keep, "score", "predicted"]
-    types = {**{c: docs.schema[c].dataType.simpleString() for c in keep}, "doc_id": "long", "score": "double", "predicted": "int"}
-    found = source.mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in out))
+            scores = of(list(batch["text"]))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "predicted": (scores >= THRESHOLD).astype("int32")})
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    found = source.mapInPandas(run, "doc_id long, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    return found.select("doc_id", *keep, held.alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic, with all their columns."""
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    scored = score(docs.select("doc_id", "text", row), train(docs, labels))
-    return scored.where(F.col("predicted") == 0).select("_row.*")
+    """The documents not predicted toxic, with all their columns. Rows pass as Arrow batches, whatever their columns."""
+    model = train(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer(model)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(of(texts) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
