@@ -46,16 +46,23 @@ PAIRS_AT_ONCE = 1_000_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The SimHash of a whole text."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The hash of each shingle of a whole text, in order; none for a text without words."""
     found = WORDS.findall(text.encode().lower())  # bytes.lower() changes A-Z only
     if not found:
-        return 0
+        return np.array([], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     joined, n = b" ".join(found), len(found)
     first = [0, *ends[: max(0, n - shingle)].tolist()] if n > shingle else [0]
     last = (ends[shingle - 1 :] - 1).tolist() if n > shingle else [len(joined)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, first, last)), repeat(SEED)), np.uint64, len(first))
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, first, last)), repeat(SEED)), np.uint64, len(first))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The SimHash of a whole text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     votes = np.zeros(BITS, dtype=np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         part = hashes[lo : lo + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -270,6 +277,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(named, "_fp").select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_least(docs: DataFrame, least: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and text hash (_id, _h) are in ``least``, of equal rows one; ``rows`` holds _id and
+    _h of every row. The keys are values of the row, so they mean the same in every reading."""
+    same = lambda a, b: a["_h"].eqNullSafe(b["_h"]) & a["_id"].eqNullSafe(b["_id"])
+    many = rows.groupBy("_id", "_h").agg((F.count(F.lit(1)) > 1).alias("_many"))
+    kept = materialise(many.join(least, same(many, least), "left_semi"), "simhash-kept")
+    keyed = docs.withColumn("_keep_id", F.col("doc_id").cast("long")).withColumn("_keep_h", F.xxhash64(whole_text()))
+
+    def held(part: DataFrame) -> DataFrame:
+        here = keyed["_keep_h"].eqNullSafe(part["_h"]) & keyed["_keep_id"].eqNullSafe(part["_id"])
+        return keyed.join(part, here, "left_semi")
+
+    out = held(kept.where(~F.col("_many")))
+    if not kept.where("_many").isEmpty():
+        out = out.unionAll(held(kept.where("_many")).dropDuplicates(["_keep_id", "_keep_h"]))
+    return out.drop("_keep_id", "_keep_h")
+
+
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component: that of the smallest ``doc_id``, of rows that share it the one of least text
     hash, of equal rows one. Texts are not shuffled: they are read again and kept by a place that the first

@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lakeloom.llm import chat_format, decontamination, html_extraction, packing, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
+from lakeloom.llm import chat_format, decontamination, html_extraction, packing, sharding, shingle_dedup, simhash, suffix_dedup, token_counts, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, mark string, _row string, bucket string, length string"
 ODD = [None, "", " ", "a", "a b", "x" * 300, "\n\t ", "naïve café 日本 \U0001f600", "<|endoftext|> and <|startoftext|>", "A B C d e f", "a b c D E F"]
@@ -314,3 +314,41 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
         docs = spark.createDataFrame(after, SCHEMA)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert len({(r.doc_id, r.piece, r.ids_crc32) for r in packed}) <= len(packed) and sum(r.piece == 0 for r in packed) == docs.count()
+
+
+def shingle_groups(texts):
+    """The component of each text by brute force: pairs with Jaccard similarity of 0.8 or more of five-word shingles."""
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        sets.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)})
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+def near_copies(seed=12):
+    """Texts, and copies of them with some edited words, whose similarity is 0.8 to 0.95 or just below 0.8."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for i in range(60):
+        base = [word() for _ in range(404)]
+        # each edit apart from others replaces 5 of 400 shingles: n edits leave (400 - 5n) / (400 + 5n)
+        texts += [" ".join(base)] + [" ".join(word() if at in {40 * k + 20 for k in range(n)} else w for at, w in enumerate(base)) for n in (1 + i % 8, 9)]
+    return texts
+
+
+def test_pipeline_finds_near_copies_from_four_fifths(spark, tmp_path):
+    texts = near_copies()
+    texts += [texts[0], texts[0].upper(), None, " ", "a b c", "A  b c"]
+    texts += [" ".join(texts[9].split()[:k]) for k in range(404, 300, -8)]  # a chain whose ends are below 0.8
+    label = shingle_groups([t or "" for t in texts])
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, "no id", "x")], "doc_id long, text string, _id string")
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()]
+    want = [min(i for i, x in enumerate(label) if x == own) for own in sorted(set(label))]
+    assert sorted(kept, key=str) == sorted([*want, None], key=str)
+    assert 60 < len(want) < len(texts) - 60
