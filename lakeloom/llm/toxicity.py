@@ -4,12 +4,15 @@ Two dictionaries are trained on a bounded sample of labelled documents: one hold
 of the ordinary texts, the other those of the toxic texts too (the ordinary language they share comes first, the
 words that only toxic texts repeat last). A text is cut into windows of ``WINDOW_WORDS`` words, and each window is
 compressed under both; the difference in bytes is its distance to ordinary text. How much likelier a difference is
-in toxic than in ordinary texts is read off a part of the sample that the dictionaries have not seen; a document's
-evidence is the sum over its windows, and the threshold is set where it separates that part best. The score is a
-logistic curve through 0.7 at the threshold.
+in toxic than in ordinary texts is read off a part of the sample that the dictionaries have not seen. From each
+window's evidence a drift is taken off, the geometric mean of what a window of ordinary and one of toxic texts has,
+so that ordinary text counts against and length alone does not add up. A document is toxic if the sum of all its
+windows or that of its best stretch of windows (so a toxic passage does not drown in a long text) passes its
+threshold: the first is set where it separates that part best, the second above the best stretch of its ordinary
+texts in a row, which stand for a long one, and rising with the logarithm of the length. The score is a logistic curve through 0.7 there.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1, at most ``SAMPLE`` a class (the least hashes of
-the id) and of at most ``SAMPLE_BYTES`` bytes; all documents are scored whole, map-only.
+the id), of any length, while they fit ``SAMPLE_BYTES`` together; all documents are scored whole, map-only.
 
 Defined results: null and empty texts have no window and score low; without labels of both classes all score 0;
 of several labels of one document the highest counts; repeated rows are scored each; a null ``doc_id`` is kept
@@ -34,10 +37,13 @@ from lakeloom.llm._util import table, whole_text
 
 WINDOW_WORDS = 3
 SAMPLE = {1: 2500, 0: 7500}
-SAMPLE_BYTES = 20_000
+#: Bytes of the whole sample, which the driver holds; a row that does not fit is passed over.
+SAMPLE_BYTES = 100_000_000
 #: Share of a class's documents in which a word must occur to enter its dictionary.
 SHARE = {1: 0.012, 0: 0.0005}
 THRESHOLD = 0.7
+#: Chance that an ordinary document passes by its best stretch.
+CHANCE = 0.001
 FOLDS, HELD_OUT = 3, 1
 LOW, HIGH = -10, 30  # differences beyond count as these
 
@@ -56,9 +62,32 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weight: tuple[float, ...]  # evidence of each difference from LOW to HIGH
-    threshold: float
+    drift: float  # taken off each window
+    threshold: float  # of the sum over all windows
+    stretch: float  # of the best stretch
     slope: float
 
+    def evidence(self, differences: np.ndarray) -> float:
+        """How far a document is above the nearer threshold."""
+        whole, best = sums(np.array(self.weight)[differences], self.drift)
+        # Evidence being log ratios, the best stretch of n ordinary windows passes h with a chance of n exp(-h) at most.
+        return max(whole - self.threshold, best - max(self.stretch, np.log(max(1, len(differences)) / CHANCE)))
+
+
+def sums(evidence: np.ndarray, drift: float) -> tuple[float, float]:
+    """Less the drift: the sum over all windows, and that over the best stretch of windows (0 at least)."""
+    total = np.r_[0.0, np.cumsum(evidence - drift)]
+    return float(total[-1]), float((total - np.minimum.accumulate(total)).max())
+
+
+def best_threshold(t: np.ndarray, o: np.ndarray) -> float:
+    """The least positive threshold of the best F1."""
+    places = np.unique(np.r_[t, o])
+    places = places[places > 0] if (places > 0).any() else np.array([1.0])
+    middle = (places + np.r_[0, places[:-1]]) / 2
+    f1 = [2 * (t >= x).sum() / max(1, (t >= x).sum() + (o >= x).sum() + len(t)) for x in middle]
+    return float(middle[int(np.argmax(f1))])
+
 
 class Distance:
     """Compressed lengths under both dictionaries."""
@@ -113,12 +142,15 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     ratio = np.log((counts[0] + 0.5) / (counts[0].sum() + 1)) - np.log((counts[1] + 0.5) / (counts[1].sum() + 1))
     weight = np.where(np.arange(width) >= 2 - LOW, np.maximum(ratio, 0), 0)
     weight = np.minimum.accumulate(np.maximum.accumulate(weight)[::-1])[::-1]  # a larger difference is no weaker evidence
-    t, o = (np.array([weight[d].sum() for d in part]) for part in seen)
-    places = np.unique(np.r_[t, o])
-    places = places[places > 0] if (places > 0).any() else np.array([1.0])
-    middle = (places + np.r_[0, places[:-1]]) / 2
-    f1 = [2 * (t >= x).sum() / max(1, (t >= x).sum() + (o >= x).sum() + len(t)) for x in middle]
-    return Model(*both, tuple(map(float, weight)), float(middle[int(np.argmax(f1))]), 1.0)
+    of_toxic, of_ordinary = (((weight * c).sum() + 0.5) / (c.sum() + 1) for c in counts)
+    drift = float(np.sqrt(of_toxic * of_ordinary))
+    t, o = (np.array([sums(weight[d], drift)[0] for d in part]) for part in seen)
+    threshold = best_threshold(t, o)
+    # Ordinary texts in a row (but the worst in a hundred, whose labels may be wrong) stand for a long one: by one
+    # window of the strongest evidence its best stretch must not pass.
+    rest = sorted(seen[1], key=lambda d: sums(weight[d], drift)[1])[: -(-len(seen[1]) * 99 // 100)]
+    stretch = sums(weight[np.concatenate(rest)], drift)[1] + max(float(weight.max()), 1.0)
+    return Model(*both, tuple(map(float, weight)), drift, threshold, stretch, 1.0)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
@@ -131,7 +163,15 @@ def labelled(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
         part = marks.where(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         least = part if least is None else least.unionAll(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
-    rows = rows.where(F.octet_length("_text") <= SAMPLE_BYTES).join(F.broadcast(least), "doc_id")  # SAMPLE bounds it
+    sized = rows.join(F.broadcast(least), "doc_id").groupBy("doc_id").agg(F.max(F.octet_length("_text")).alias("n")).toPandas()  # SAMPLE bounds it
+    sized = sized.sort_values("doc_id", key=lambda c: (c * 2654435761) % (1 << 32))
+    fit_in, held = [], 0
+    for doc, n in zip(sized["doc_id"].tolist(), sized["n"].tolist(), strict=True):
+        if held + n <= SAMPLE_BYTES:
+            fit_in.append((doc,))
+            held += n
+    chosen = docs.sparkSession.createDataFrame(fit_in, "doc_id long")
+    rows = rows.join(F.broadcast(least.join(chosen, "doc_id")), "doc_id")
     found = rows.groupBy("doc_id", "_toxic").agg(F.min("_text").alias("_text")).toPandas().sort_values("doc_id", key=lambda c: (c * 2654435761) % (1 << 32))
     return list(zip(found["_toxic"], found["_text"], strict=True))
 
@@ -153,11 +193,11 @@ def scorer(model: Model | None) -> Callable[[list[str]], np.ndarray]:
     if key not in _DISTANCES:
         _DISTANCES.clear()
         _DISTANCES[key] = Distance(*key)
-    distance, weight = _DISTANCES[key], np.array(model.weight)
+    distance = _DISTANCES[key]
 
     def of(texts: list[str]) -> np.ndarray:
-        evidence = np.array([weight[distance.of(t)].sum() for t in texts])
-        x = np.clip((evidence - model.threshold) * model.slope + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)
+        evidence = np.array([model.evidence(distance.of(t)) for t in texts])
+        x = np.clip(evidence * model.slope + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)
         return 1 / (1 + np.exp(-x))
 
     return of

@@ -352,3 +352,27 @@ def test_pipeline_finds_near_copies_from_four_fifths(spark, tmp_path):
     want = [min(i for i, x in enumerate(label) if x == own) for own in sorted(set(label))]
     assert sorted(kept, key=str) == sorted([*want, None], key=str)
     assert 60 < len(want) < len(texts) - 60
+
+
+def test_toxicity_does_not_rise_with_length():
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(400)]
+    bad = ["".join(rng.choice("qrstuvwx") for _ in range(8)) for _ in range(40)]
+
+    def text(n, share):
+        return " ".join(rng.choice(bad) if rng.random() < share else rng.choice(words) for _ in range(n))
+
+    lengths = [rng.randint(30, 120) for _ in range(400)]
+    toxic, ordinary = [text(n, 0.06) for n in lengths], [text(n, 0.0005) for n in lengths * 2]
+    of = toxicity.scorer(toxicity.fit(toxic, ordinary))
+    clean = of([text(20_000, 0.0005) for _ in range(20)])  # about 10 such words each
+    assert (clean >= 0.7).mean() <= 0.05
+    assert (of([text(4_000, 0.06) for _ in range(20)]) >= 0.7).all()
+    passage = [f"{text(4_000, 0)} {text(200, 0.5)} {text(4_000, 0)}" for _ in range(20)]  # a passage does not drown
+    assert (of(passage) >= 0.7).all()
+
+
+def test_toxicity_sample_holds_long_documents(spark):
+    docs = spark.createDataFrame([(i, "word " * (8_000 if i % 2 else 5)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(40)], "doc_id long, toxic int")
+    assert sorted(len(t) for _, t in toxicity.labelled(docs, labels))[-1] == 40_000
