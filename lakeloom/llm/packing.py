@@ -10,7 +10,7 @@ lengths, whatever the corpus. A round takes the runs from long to short, gives e
 (smallest gap that holds it), resolves conflicts by rank (document r of the run takes place r of the gap run),
 shrinks the gaps and goes on until the run is placed; what finds no gap opens sequences. That is best-fit
 decreasing, carried out in bulk. The plan, a few rows per length, is joined back by length and rank. Ranks come
-from counts per (partition, length), so no length, however frequent, is gathered in one task.
+from counts per (length, part as written), so no length, however frequent, is gathered in one task.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed each; a null
 ``doc_id`` is kept; further columns do not matter; an empty table gives an empty result.
@@ -177,9 +177,10 @@ PLAN = "length long, rank_from long, rank_to long, sequence_from long, per_seque
 def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Adds sequence_id and offset to rows that have a ``length`` of 1 to ``capacity``.
 
-    The rows must be stable under recomputation (a written table); ranks refer to their partitions."""
+    Ranks count within a stored number, ``_part``, which is written with the rows: the partitions of a scan of them
+    may differ from one reading to the next."""
     spark = rows.sparkSession
-    rows = rows.withColumn("_part", F.spark_partition_id())
+    rows = materialise(rows.withColumn("_part", F.spark_partition_id()), "packing-pieces")
     counts = materialise(rows.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     if any(not 0 < length <= capacity for length in totals):
@@ -200,7 +201,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("d
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(materialise(pieces(docs, capacity), "packing-pieces"), capacity)
+    return pack(pieces(docs, capacity), capacity)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

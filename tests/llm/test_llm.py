@@ -376,3 +376,31 @@ def test_toxicity_sample_holds_long_documents(spark):
     docs = spark.createDataFrame([(i, "word " * (8_000 if i % 2 else 5)) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(40)], "doc_id long, toxic int")
     assert sorted(len(t) for _, t in toxicity.labelled(docs, labels))[-1] == 40_000
+
+
+@pytest.fixture
+def layout(spark):
+    """Changes how files are split into scan partitions, as a lost executor does."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+
+    def split(*values):
+        for n, v in zip(names, values, strict=True):
+            spark.conf.set(n, v)
+
+    yield split
+    for n, v in before.items():
+        if v is None:
+            spark.conf.unset(n)
+        else:
+            spark.conf.set(n, v)
+
+
+def test_packing_is_the_same_when_scans_are_split_anew(spark, layout):
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(400)], "doc_id long, text string").repartition(16)
+    layout("128m", "0", "1")
+    packed = packing.pack_documents(docs, 64)
+    layout("64k", "64k", "16")
+    got = packed.collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert len({(r.sequence_id, r.offset) for r in got}) == 400
