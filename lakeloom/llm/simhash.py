@@ -297,18 +297,17 @@ def keep_least(docs: DataFrame, least: DataFrame, rows: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component: that of the smallest ``doc_id``, of rows that share it the one of least text
-    hash, of equal rows one. Texts are not shuffled: they are read again and kept by a place that the first
-    reading wrote down."""
-    docs = docs.withColumn("_at", F.monotonically_increasing_id())
-    prints = materialise(fingerprints(docs.select(F.col("_at").alias("doc_id"), "text"), shingle), "simhash-places")
-    ids = materialise(docs.select("_at", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_h")), "simhash-ids")
-    rows = prints.withColumnRenamed("doc_id", "_at").join(ids, "_at")
-    rank = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_h"), F.col("_at"))
-    nodes = materialise(rows.groupBy("_fp").agg(F.min(rank).alias("_least")), "simhash-nodes")
+    hash, of equal rows one. All joins are by values of the row (its id and text hash), none by its place."""
+    ids = materialise(docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_h")), "simhash-ids")
+    prints = fingerprints(docs.select(F.xxhash64(whole_text()).alias("doc_id"), "text"), shingle)
+    prints = materialise(prints.select(F.col("doc_id").alias("_h"), "_fp").distinct(), "simhash-prints")
+    rank = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_h").alias("h"))
+    texts = ids.groupBy("_h").agg(F.min(rank).alias("_least")).join(prints, "_h")
+    nodes = materialise(texts.groupBy("_fp").agg(F.min("_least").alias("_least")), "simhash-nodes")
     root = components(links(nodes.select("_fp"), radius))
     owned = nodes.join(root, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
-    kept = materialise(owned.groupBy("_root").agg(F.min("_least").alias("_least")).select(F.col("_least")["_at"].alias("_at")), "simhash-kept")
-    return docs.join(kept, "_at", "left_semi").drop("_at")
+    least = owned.groupBy("_root").agg(F.min("_least").alias("_least")).select(F.col("_least.i").alias("_id"), F.col("_least.h").alias("_h"))
+    return keep_least(docs, least, ids)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

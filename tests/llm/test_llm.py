@@ -404,3 +404,16 @@ def test_packing_is_the_same_when_scans_are_split_anew(spark, layout):
     got = packed.collect()
     assert sorted(r.doc_id for r in got) == list(range(400))
     assert len({(r.sequence_id, r.offset) for r in got}) == 400
+
+
+def test_representatives_are_the_same_when_scans_are_split_anew(spark, layout, tmp_path):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(999)) for _ in range(20)) for _ in range(60)]
+    table = spark.createDataFrame([(i, texts[i % 60]) for i in range(240)] + [(0, texts[0])], "doc_id long, text string")
+    table.repartition(12).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for stage in (simhash.representatives, lambda d: corpus_pipeline.near_dedup(spark, d, "")):
+        layout("128m", "0", "1")
+        kept = stage(docs)
+        layout("64k", "64k", "16")
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
