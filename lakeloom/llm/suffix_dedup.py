@@ -1,23 +1,27 @@
 """Exact removal of repeated 50-byte strings with a logarithmic family of sampled suffix arrays.
 
 Which suffixes are kept. Of the 50-byte strings (windows) of a text, neighbours that share their smallest
-``ANCHOR``-byte hash form a run; one suffix a run enters the index, with two sort keys: K, the hash of the shared
-anchor, and C, the hash of all bytes of the run. Equal windows have equal anchors, wherever they stand, so every
-match of 50 bytes or more lies within one K. About one suffix in 14 is kept; the choice loses no match.
+``ANCHOR``-byte hash form a run; one suffix a run enters the index, sorted by two keys: K, the hash of the shared
+anchor, and C, a BLAKE2 digest of all bytes of the run. Equal windows have equal anchors, wherever they stand, so
+every match of 50 bytes or more lies within one K. About one suffix in 14 is kept; the choice loses no match.
 
-The family. The index is dealt by K. A block of documents is a batch; its suffixes are sorted, and batches enter
-a family of sorted arrays in which ``FAN`` arrays of one level are merged into one of the next, so each suffix is
-merged a logarithmic number of times. In the merged array the entries of one (K, C) are neighbours, those of the
-smallest document first: all later ones are long matches, and their runs are removed. Runs that share K but not C
-may still share some windows; for those alone the second level indexes every window (K and C are then two
-independent hashes of the 50 bytes). Matches inside a block are resolved before anything is sent, so a passage
-that a third of all documents hold is sent once a block.
+The family. The index is dealt by K. Batches of suffixes get a sorted array each. A new array is merge-scanned
+against every existing level: of entries with equal (K, C), those of the larger document are long matches and leave
+the index, whichever side they stand on. Then the array joins the family, in which neighbouring levels of like size
+merge into one, so each suffix is merged a logarithmic number of times and the levels hold each string once, for
+its smallest document. Runs that share K but not C may still share some windows; for those alone the second level
+indexes every window. Matches inside a block are resolved (byte by byte) before anything is sent, so a passage that
+a third of all documents hold is sent once a block.
 
-Compared are 64-bit hashes in pairs (96 bits within a bucket), as in any fingerprint index; a false match has a
-probability below 1e-9 at 100 TB.
+Hot anchors. A short string in many contexts has one K with many runs. A block that holds ``HOT`` or more runs of
+one K sends a mark for it and hands the runs to the second level; the task that owns K then does the same with the
+runs other blocks sent. There the whole windows are the keys, so nothing but equal windows meets.
+
+Across blocks 32 bits of K and 64 of C (besides the bucket's number, a further part of K) stand for the bytes.
+Two different runs of one anchor pass for equal with a chance of 2^-64; for 10^14 such pairs that is 5e-6.
 
 Defined results: a null text counts as empty; texts of under 50 bytes lose nothing; rows that share a ``doc_id``
-don't match each other; rows with a null ``doc_id`` come after all others; an empty table gives an empty result;
+don't match each other; a null ``doc_id`` ranks as the largest id, 2^63 - 1; an empty table gives an empty result;
 further columns do not matter.
 """
 
@@ -25,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,16 +37,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import materialise, partitions, table, whole_text
+from lakeloom.llm._util import materialise, only, partitions, release, table, whole_text
 
 WINDOW = 50
 ANCHOR = 24
 BLOCK = 1 << 21
-FAN = 8
+FAN = 2
+BATCH = 1 << 15
+HOT = 64
 ROWS_AT_ONCE = 512
 BYTES_PER_BUCKET = 16 << 20
 UNKNOWN_SIZE = 1 << 60
-LAST = (1 << 63) - 1  # stands for a null doc_id
+LAST = (1 << 63) - 1  # the rank of a null doc_id
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,9 +87,9 @@ class Hasher:
         return mixed((sums[length:] - sums[:-length]) * self.up[:n])
 
 
-@lru_cache(2)
 def hasher(seed: int) -> Hasher:
-    return Hasher(seed, 2 * BLOCK + 2 * WINDOW)
+    size = 2 * BLOCK + 2 * WINDOW
+    return only(("suffix hasher", seed, size), lambda: Hasher(seed, size))
 
 
 def smallest_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -117,144 +122,204 @@ def groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-class Batch:
-    """Suffixes of some documents: keys, document (a place in ``doc_id`` and ``mark``), first window, windows."""
+def covered(doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first byte and length of the bytes that windows cover; neighbours are joined."""
+    first, end = at.astype(np.int64), at.astype(np.int64) + length + WINDOW - 1
+    order = np.lexsort((first, doc))
+    doc, first, end = doc[order], first[order], end[order]
+    new = groups(doc)
+    new[1:] |= first[1:] > end[:-1]
+    start = np.flatnonzero(new)
+    return (doc[start], first[start], np.maximum.reduceat(end, start) - first[start]) if len(start) else (doc, first, end)
+
+
+class Block:
+    """Runs of some documents: anchor hash, hash of the bytes, document (a place in ``doc_id`` and ``mark``), place in
+    the block, first window in the document, windows."""
 
-    def __init__(self, k, c, doc, at, length, doc_id, mark):
-        self.k, self.c, self.doc, self.at, self.length, self.doc_id, self.mark = k, c, doc, at, length, doc_id, mark
+    def __init__(self, data, k, c, doc, place, at, length, doc_id, mark):
+        self.data, self.k, self.c, self.doc, self.place, self.at, self.length = data, k, c, doc, place, at, length
+        self.doc_id, self.mark = doc_id, mark
 
-    def take(self, which: np.ndarray) -> Batch:
-        return Batch(self.k[which], self.c[which], self.doc[which], self.at[which], self.length[which], self.doc_id, self.mark)
+    def take(self, which: np.ndarray) -> Block:
+        return Block(self.data, *(a[which] for a in (self.k, self.c, self.doc, self.place, self.at, self.length)), self.doc_id, self.mark)
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, first byte and length of the bytes that the windows cover; neighbours are joined."""
-        first, end = self.at.astype(np.int64), self.at.astype(np.int64) + self.length + WINDOW - 1
-        order = np.lexsort((first, self.doc))
-        doc, first, end = self.doc[order], first[order], end[order]
-        new = groups(doc)
-        new[1:] |= first[1:] > end[:-1]
-        start = np.flatnonzero(new)
-        return (doc[start], first[start], np.maximum.reduceat(end, start) - first[start]) if len(start) else (doc, first, end)
+    def strings(self, which: np.ndarray) -> list[bytes]:
+        """The bytes of some runs."""
+        end = self.place[which] + self.length[which] + WINDOW - 1
+        return list(map(self.data.__getitem__, map(slice, self.place[which].tolist(), end.tolist())))
 
-    def settled(self) -> tuple[Batch, Batch]:
-        """Matches within the batch, and what must be sent: of each (K, C) the smallest document's entries."""
+    def settled(self) -> tuple[Block, Block]:
+        """Matches within the block, and the rest: of equal runs those of the smallest document."""
         own = self.doc_id[self.doc]
         both = mixed(self.k ^ (self.c * np.uint64(0x9E3779B97F4A7C15)))
         order = np.lexsort((own, both))
         new = groups(both[order])
-        least = own[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        later = np.zeros(len(own), dtype=bool)
-        later[order] = own[order] > least
-        return self.take(np.flatnonzero(later)), self.take(np.flatnonzero(~later))
-
-    def dealt(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """The batch by bucket, packed: within a bucket 32 bits of K and 48 of C are kept."""
-        bucket = ((self.k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        later = np.flatnonzero(own[order] > own[first])
+        same = np.fromiter((x == y for x, y in zip(self.strings(order[later]), self.strings(first[later]), strict=True)), bool, len(later))
+        gone = np.zeros(len(own), dtype=bool)
+        gone[order[later[same]]] = True
+        return self.take(np.flatnonzero(gone)), self.take(np.flatnonzero(~gone))
+
+    def hot(self) -> np.ndarray:
+        """Which runs have an anchor that many runs of this block share."""
+        _, at, n = np.unique(self.k, return_inverse=True, return_counts=True)
+        return n[at] >= HOT
+
+    def spans(self, whole: bool) -> bytes:
+        """Packed doc_id, mark and span of the bytes covered, or of the windows (``whole`` false)."""
+        doc, first, n = covered(self.doc, self.at, self.length) if whole else (self.doc, self.at.astype(np.int64), self.length)
+        return zstandard.compress(np.stack([self.doc_id[doc], self.mark[doc], first << 32 | n]).astype("<i8").tobytes(), 1)
+
+    def dealt(self, buckets: int, marks: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """The runs and the marked anchors by bucket, packed."""
+        c = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in self.strings(np.arange(len(self.k)))]), dtype="<u8")
+        bucket, marked = (((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) for k in (self.k, marks))
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(ends)):
-            x = self.take(order[ends[b] : ends[b + 1]])
-            docs, doc = np.unique(x.doc, return_inverse=True)
-            keys = x.k.astype("<u4").tobytes() + x.c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            rest = [np.diff(doc, prepend=0).astype("<i4"), x.at.astype("<i4"), x.length.astype("<i4")]
+        for b in np.union1d(np.flatnonzero(np.diff(ends)), marked).tolist():
+            which = order[ends[b] : ends[b + 1]]
+            docs, doc = np.unique(self.doc[which], return_inverse=True)
+            known = marks[marked == b].astype("<u4")
+            keys = known.tobytes() + self.k[which].astype("<u4").tobytes() + c[which].tobytes()
+            rest = [np.diff(doc, prepend=0).astype("<i4"), self.at[which].astype("<i4"), self.length[which].astype("<i4")]
             rest = [a.view(np.uint8).reshape(-1, 4).T.tobytes() for a in rest]
             ids = np.diff(self.doc_id[docs], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-            plain = b"".join([ids, self.mark[docs].astype("<i4").tobytes(), *rest])
-            head = np.array([len(x.k), len(docs)], dtype="<u4").tobytes()
-            yield int(b), head + keys + zstandard.compress(plain, 1)
+            plain = b"".join([ids, self.mark[docs].astype("<i8").tobytes(), *rest])
+            yield b, np.array([len(known), len(which), len(docs)], dtype="<u4").tobytes() + keys + zstandard.compress(plain, 1)
+
+
+class Suffixes:
+    """Suffixes: key, doc_id, mark, first window, windows. A key is a complex number: numpy sorts and searches these
+    by real part (32 bits of K, 11 of C), then imaginary part (53 bits of C), so that 96 bits compare as one."""
+
+    def __init__(self, *columns: np.ndarray):
+        self.columns = columns
+        self.key, self.doc = columns[:2]
+
+    def take(self, which: np.ndarray) -> Suffixes:
+        return Suffixes(*(a[which] for a in self.columns))
+
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*map(np.concatenate, zip(*(p.columns for p in parts), strict=True)))
 
     @staticmethod
-    def unpacked(blob: bytes) -> Batch:
-        n, docs = np.frombuffer(blob, dtype="<u4", count=2).tolist()
-        k = np.frombuffer(blob, dtype="<u4", count=n, offset=8).astype(np.uint64)
-        c = np.zeros((n, 8), dtype=np.uint8)
-        c[:, :6] = np.frombuffer(blob, dtype=np.uint8, count=6 * n, offset=8 + 4 * n).reshape(-1, 6)
-        plain = zstandard.decompress(blob[8 + 10 * n :])
+    def unpacked(blob: bytes) -> tuple[Suffixes, np.ndarray]:
+        """A packed block's suffixes, and the anchors it marks."""
+        m, n, docs = np.frombuffer(blob, dtype="<u4", count=3).tolist()
+        marks, k = (np.frombuffer(blob, dtype="<u4", count=x, offset=12 + y) for x, y in ((m, 0), (n, 4 * m)))
+        c = np.frombuffer(blob, dtype="<u8", count=n, offset=12 + 4 * m + 4 * n)
+        plain = zstandard.decompress(blob[12 + 4 * m + 12 * n :])
         doc_id = np.cumsum(np.frombuffer(plain, dtype=np.uint8, count=8 * docs).reshape(8, -1).T.copy().view("<i8").reshape(-1))
-        mark = np.frombuffer(plain, dtype="<i4", count=docs, offset=8 * docs)
-        rest = np.frombuffer(plain, dtype=np.uint8, offset=12 * docs).reshape(3, 4, -1)
+        mark = np.frombuffer(plain, dtype="<i8", count=docs, offset=8 * docs)
+        rest = np.frombuffer(plain, dtype=np.uint8, offset=16 * docs).reshape(3, 4, -1)
         doc, at, length = (np.ascontiguousarray(a.T).view("<i4").reshape(-1) for a in rest)
-        return Batch(k, c.view("<u8").reshape(-1), np.cumsum(doc), at, length, doc_id, mark)
+        doc = np.cumsum(doc)
+        key = np.empty(n, dtype=np.complex128)
+        key.real = k.astype(np.float64) * 2048 + (c >> np.uint64(53)).astype(np.float64)
+        key.imag = (c & np.uint64((1 << 53) - 1)).astype(np.float64)
+        return Suffixes(key, doc_id[doc], mark[doc], at, length), marks
+
+    def beaten(self, other: Suffixes) -> np.ndarray:
+        """Which of these suffixes ``other`` holds for a smaller document; sorted arrays are scanned side by side."""
+        if not len(self.key) or not len(other.key):
+            return np.zeros(len(self.key), dtype=bool)
+        at = np.minimum(np.searchsorted(other.key, self.key), len(other.key) - 1)
+        return (other.key[at] == self.key) & (other.doc[at] < self.doc)
 
 
 class IndexFamily:
-    """Sorted suffix arrays in levels; ``FAN`` arrays of a level become one of the next."""
+    """Sorted suffix arrays in levels. Each string stands for its smallest document so far; ``matches`` has the rest."""
 
     def __init__(self):
-        self.levels: list[list[tuple[np.ndarray, ...]]] = []
-
-    def add(self, batch: Batch) -> None:
-        own = (batch.k, batch.c, batch.doc_id[batch.doc], batch.mark[batch.doc], batch.at, batch.length)
-        self._put(0, self._sorted(own))
-
-    @staticmethod
-    def _sorted(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((columns[2], columns[1], columns[0]))
-        return tuple(a[order] for a in columns)
-
-    def _put(self, level: int, array: tuple[np.ndarray, ...]) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(array)
-        if len(self.levels[level]) == FAN:
-            full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._sorted(tuple(map(np.concatenate, zip(*full, strict=True)))))
-
-    def matches(self) -> tuple[np.ndarray, ...]:
-        """doc_id, mark, first window, windows, and whether the match is sure (same C in a smaller document) or
-        the run shares only K with another document's run."""
-        every = [a for level in self.levels for a in level]
-        k, c, doc, mark, at, length = self._sorted(tuple(map(np.concatenate, zip(*every, strict=True))))
-        new_k = groups(k)
-        new_c = groups(k, c)
-        least = doc[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
-        sure = doc > least
-        start = np.flatnonzero(new_k)
-        nth = np.cumsum(new_k) - 1
-        shared = (np.add.reduceat(new_c.astype(np.int64), start) > 1) & (np.maximum.reduceat(least, start) > np.minimum.reduceat(least, start))
-        keep = np.flatnonzero(sure | shared[nth])
-        return doc[keep], mark[keep], at[keep], length[keep], sure[keep]
-
-
-def pieces(batches: Iterable[pd.DataFrame], extra: str | None = None) -> Iterator[tuple]:
+        self.levels: list[Suffixes] = []  # from large to small
+        self.matches: list[Suffixes] = []
+
+    def _keep(self, rows: Suffixes, gone: np.ndarray) -> Suffixes:
+        if not gone.any():
+            return rows
+        self.matches.append(rows.take(np.flatnonzero(gone)))
+        return rows.take(np.flatnonzero(~gone))
+
+    def add(self, rows: Suffixes) -> None:
+        order = np.argsort(rows.doc, kind="stable")
+        rows = rows.take(order[np.argsort(rows.key[order], kind="stable")])
+        new = groups(rows.key)
+        rows = self._keep(rows, rows.doc > rows.doc[np.flatnonzero(new)][np.cumsum(new) - 1])
+        for i, level in enumerate(self.levels):
+            rows = self._keep(rows, rows.beaten(level))
+            self.levels[i] = self._keep(level, level.beaten(rows))
+        self.levels.append(rows)
+        while len(self.levels) > 1 and len(self.levels[-2].key) <= FAN * len(self.levels[-1].key):
+            self._merge()
+
+    def _merge(self) -> None:
+        both = Suffixes.joined([self.levels.pop(-2), self.levels.pop()])
+        self.levels.append(both.take(np.argsort(both.key, kind="stable")))
+
+    def shared(self, marks: np.ndarray) -> Suffixes | None:
+        """The kept suffixes whose anchor is marked or has several runs, not all of one document."""
+        while len(self.levels) > 1:
+            self._merge()
+        if not self.levels:
+            return None
+        (rows,) = self.levels
+        k = np.floor(rows.key.real / 2048)
+        start = np.flatnonzero(groups(k))
+        if not len(start):
+            return None
+        nth = np.cumsum(groups(k)) - 1
+        several = np.maximum.reduceat(rows.doc, start) > np.minimum.reduceat(rows.doc, start)
+        return rows.take(np.flatnonzero(several[nth] | np.isin(k, marks.astype(np.float64))))
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
+
+
+def pieces(batches: Iterable[pa.RecordBatch], wanted: bool = False) -> Iterator[tuple]:
     """Blocks of whole texts (of parts, where a text is longer than a block): bytes, and per part its document's
     id and mark, first byte, end in the block and, if asked for, the wanted spans."""
     data, parts, size = [], [], 0
-    for batch in batches:
-        wanted = batch[extra] if extra else [None] * len(batch)
-        for doc_id, mark, text, spans in zip(batch["doc_id"], batch["mark"], batch["text"], wanted, strict=True):
-            if extra and spans is None:
-                continue
-            raw = text.encode()
-            for first in range(0, len(raw) - WINDOW + 1, BLOCK):
-                part = raw[first : first + BLOCK + WINDOW - 1]
-                if size and size + len(part) > BLOCK:
-                    yield b"".join(data), parts
-                    data, parts, size = [], [], 0
-                data.append(part)
-                size += len(part)
-                parts.append((doc_id, mark, first, size, spans))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(lo, ROWS_AT_ONCE)
+            every = batch.column("spans").to_pylist() if wanted else [None] * batch.num_rows
+            texts = batch.column("_all").field("text").to_pylist()
+            for doc_id, mark, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), texts, every, strict=True):
+                if wanted and spans is None or not text:
+                    continue
+                raw = text.encode()
+                for first in range(0, len(raw) - WINDOW + 1, BLOCK):
+                    part = raw[first : first + BLOCK + WINDOW - 1]
+                    if size and size + len(part) > BLOCK:
+                        yield b"".join(data), parts
+                        data, parts, size = [], [], 0
+                    data.append(part)
+                    size += len(part)
+                    parts.append((doc_id, mark, first, size, spans))
     if size:
         yield b"".join(data), parts
 
 
-def block_runs(data: bytes, parts: list[tuple]) -> Batch:
+def block_runs(data: bytes, parts: list[tuple]) -> Block:
     """First level: the anchored runs of a block."""
-    doc_id, mark = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int32)
+    doc_id, mark = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
     base, end = np.array([p[2] for p in parts]), np.array([p[3] for p in parts])
     start = np.r_[0, end[:-1]]
     valid = np.repeat(end, end - start) - np.arange(len(data)) >= WINDOW
     k, c, at, length = runs(np.frombuffer(data, dtype=np.uint8), valid[: len(data) - WINDOW + 1], ANCHOR)
     doc = np.searchsorted(end, at, side="right")
-    return Batch(k, c, doc, at - start[doc] + base[doc], length, doc_id, mark)
+    return Block(data, k, c, doc, at, at - start[doc] + base[doc], length, doc_id, mark)
 
 
-def block_windows(data: bytes, parts: list[tuple]) -> Batch:
+def block_windows(data: bytes, parts: list[tuple]) -> Block:
     """Second level: every window of the wanted spans of a block."""
-    doc_id, mark = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int32)
+    doc_id, mark = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.int64)
     where, doc, at, start = [], [], [], 0
     for i, (_, _, first, end, spans) in enumerate(parts):
-        spans = np.sort(np.asarray(spans, dtype=np.int64))
+        spans = np.unique(np.asarray(spans, dtype=np.int64))
         lo = np.maximum(spans >> 32, first)
         hi = np.minimum((spans >> 32) + (spans & 0xFFFFFFFF), first + end - start - WINDOW + 1)
         n = np.maximum(hi - lo, 0)
@@ -264,43 +329,62 @@ def block_windows(data: bytes, parts: list[tuple]) -> Batch:
         doc.append(np.full(len(w), i))
         start = end
     place = np.concatenate(where)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    k, c = (h.between(h.sums(raw), place, place + WINDOW) for h in (hasher(1), hasher(2)))
-    return Batch(k, c, np.concatenate(doc), np.concatenate(at), np.ones(len(place), dtype=np.int64), doc_id, mark)
+    h = hasher(1)
+    k = h.between(h.sums(np.frombuffer(data, dtype=np.uint8)), place, place + WINDOW)
+    return Block(data, k, k, np.concatenate(doc), place, np.concatenate(at), np.ones(len(place), dtype=np.int64), doc_id, mark)
 
 
 def matched(docs: DataFrame, buckets: int, second: bool) -> DataFrame:
-    """Spans doc_id, mark, span (first << 32 | length), sure: bytes to remove (sure), or runs of windows to look at."""
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for data, parts in pieces(batches, "spans" if second else None):
-            batch = (block_windows if second else block_runs)(data, parts)
-            here, rest = batch.settled()
-            rows = [(b, True, blob) for b, blob in rest.dealt(buckets)]
-            doc, first, n = here.spans()
-            if len(doc):
-                own = np.stack([batch.doc_id[doc], batch.mark[doc].astype(np.int64), first << 32 | n]).astype("<i8")
-                rows.append((int(batch.k[0] % np.uint64(buckets)), False, zstandard.compress(own.tobytes(), 1)))
-            yield pd.DataFrame(rows, columns=["bucket", "suffixes", "blob"])
-        hasher.cache_clear()  # workers live on; later stages need the memory
+    """Spans doc_id, mark, span (first << 32 | length), sure: bytes to remove (sure), or runs of windows to look at.
+    ``docs`` has doc_id, mark and a struct ``_all`` with the text (and spans, for the second level)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, parts in pieces(batches, second):
+            here, rest = (block_windows if second else block_runs)(data, parts).settled()
+            rows, marks = [], np.array([], dtype=np.uint64)
+            if not second and (hot := rest.hot()).any():
+                part = rest.take(np.flatnonzero(hot))
+                rows.append((int(part.k[0] % np.uint64(buckets)), "look", part.spans(whole=False)))
+                marks, rest = np.unique(part.k), rest.take(np.flatnonzero(~hot))
+            rows += [(b, "suffixes", blob) for b, blob in rest.dealt(buckets, marks)]
+            if len(here.k):
+                rows.append((int(here.k[0] % np.uint64(buckets)), "sure", here.spans(whole=True)))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["bucket", "kind", "blob"]), SENT, preserve_index=False)
+        release()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        out, family = [], IndexFamily()
-        for blob in group.loc[~group["suffixes"], "blob"]:
-            doc, mark, span = np.frombuffer(zstandard.decompress(blob), dtype="<i8").reshape(3, -1)
-            out.append(pd.DataFrame({"doc_id": doc, "mark": mark.astype(np.int32), "span": span, "sure": True}))
-        mine = group.loc[group["suffixes"], "blob"]
-        for blob in mine:
-            family.add(Batch.unpacked(blob))
-        if len(mine):
-            doc, mark, at, length, sure = family.matches()
-            span = at.astype(np.int64) << 32 | (length + np.where(sure, WINDOW - 1, 0))
-            found = pd.DataFrame({"doc_id": doc, "mark": mark, "span": span, "sure": sure})
-            out.append(found[found["sure"]] if second else found)
-        return pd.concat(out).sort_values(["doc_id", "span"])
-
-    sent = docs.mapInPandas(send, "bucket int, suffixes boolean, blob binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "doc_id long, mark int, span long, sure boolean")
+        out, family, marks = [], IndexFamily(), [np.array([], dtype=np.uint32)]
+
+        def found(rows: Suffixes, sure: bool) -> None:
+            _, doc, mark, at, length = rows.columns
+            span = at.astype(np.int64) << 32 | (length + (WINDOW - 1 if sure else 0))
+            out.append(pd.DataFrame({"doc_id": doc, "mark": mark, "span": span, "sure": sure}))
+
+        for kind, blob in zip(group["kind"], group["blob"], strict=True):
+            if kind != "suffixes":
+                doc, mark, span = np.frombuffer(zstandard.decompress(blob), dtype="<i8").reshape(3, -1)
+                out.append(pd.DataFrame({"doc_id": doc, "mark": mark, "span": span, "sure": kind == "sure"}))
+        waiting, n = [], 0
+        for blob in group.loc[group["kind"] == "suffixes", "blob"]:
+            rows, known = Suffixes.unpacked(blob)
+            waiting.append(rows)
+            marks.append(known)
+            n += len(rows.key)
+            if n >= BATCH:
+                family.add(Suffixes.joined(waiting))
+                waiting, n = [], 0
+        if n:
+            family.add(Suffixes.joined(waiting))
+        for rows in family.matches:
+            found(rows, True)
+        if not second and (rest := family.shared(np.concatenate(marks))) is not None:
+            found(rest, False)
+        family = None
+        release()
+        return pd.concat(out).sort_values(["doc_id", "span"]) if out else pd.DataFrame({"doc_id": [], "mark": [], "span": [], "sure": []})
+
+    sent = docs.mapInArrow(send, "bucket int, kind string, blob binary")
+    return sent.groupBy("bucket").applyInPandas(meet, "doc_id long, mark long, span long, sure boolean")
 
 
 def cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]:
@@ -314,20 +398,24 @@ def cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs`` (doc_id, text, further columns named _x...) with mark and ``spans``: the bytes to remove."""
+    """doc_id (null as the largest), mark (the text's hash), ``_all`` (the row of ``docs``) and ``spans``: the bytes to
+    remove. Both joins deal the rows out in one way, so texts are shuffled once."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"doc_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text": whole_text()})
-    keyed = keyed.withColumn("mark", F.hash("text"))
-    slim = keyed.select("doc_id", "mark", "text")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_all")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(whole_text()).alias("mark"), row)
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > UNKNOWN_SIZE:  # not a table of files: count
-        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
     buckets = 2 * max(partitions(spark), size // BYTES_PER_BUCKET)
-    first = materialise(matched(slim, buckets, second=False), "suffix-matches")
-    look = first.where(~F.col("sure")).groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))
-    again = matched(keyed.join(look, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "spans"), buckets, second=True)
-    sure = first.where("sure").select("doc_id", "mark", "span").unionAll(again.select("doc_id", "mark", "span"))
-    return keyed.join(sure.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans")), ["doc_id", "mark"], "left")
+    first = materialise(matched(keyed, buckets, second=False), "suffix-matches")
+
+    def joined(spans: DataFrame, how: str) -> DataFrame:
+        spans = spans.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))  # bounded by the text's length
+        return keyed.join(spans.hint("merge"), ["doc_id", "mark"], how)
+
+    again = matched(joined(first.where(~F.col("sure")), "inner"), buckets, second=True)
+    sure = first.where("sure").unionAll(again).select("doc_id", "mark", "span")
+    return joined(sure, "left")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -336,18 +424,19 @@ def removals(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+            for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 raw = text.encode()
                 removed, n, kept = (0, 0, [(0, len(raw))]) if spans is None else cut(raw, spans)
                 digest = hashlib.sha256()
                 for a, b in kept:
                     digest.update(raw[a:b])
-                rows.append((doc_id, len(raw), removed, n, digest.hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(raw), removed, n, digest.hexdigest()))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield out.assign(doc_id=pd.array(batch["doc_id"], dtype="Int64"))[["doc_id", *out.columns]]
 
-    out = with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans")
-    out = out.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(LAST)))
+    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = found.select(F.col("_all.doc_id"), F.coalesce("_all.text", F.lit("")).alias("text"), "spans")
+    return found.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, least_left: int = 1) -> DataFrame:
@@ -358,18 +447,21 @@ def remove_repeats(docs: DataFrame, least_left: int = 1) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part, texts = batch.slice(lo, ROWS_AT_ONCE), []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                for text, spans in zip(part.column("_text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                    if spans is None:
+                        texts.append((True, text))
+                        continue
                     raw = text.encode()
-                    left = raw if spans is None else b"".join(raw[a:b] for a, b in cut(raw, spans)[2])
-                    texts.append(text if spans is None else left.decode(errors="ignore") if len(left) >= least_left else None)
-                new = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column("_row")], ["text", "_row"])
-                yield new.filter(pa.array([t is not None for t in texts]))
+                    left = b"".join(raw[a:b] for a, b in cut(raw, spans)[2])
+                    texts.append((len(left) >= least_left, left.decode(errors="ignore")))
+                new = pa.RecordBatch.from_arrays([pa.array([t for _, t in texts], pa.string()), part.column("_row")], ["_text", "_row"])
+                yield new.filter(pa.array([keep for keep, _ in texts], pa.bool_()))
 
     names = docs.columns
-    rest = F.struct(*[F.col(c) for c in names if c != "text"]).alias("_row")
-    rows = with_spans(docs.select("doc_id", "text", rest)).select("text", "_row", "spans")
+    rest = F.struct(F.lit(0).alias("_"), *[F.col("_all")[c].alias(c) for c in names if c != "text"]).alias("_row")
+    rows = with_spans(docs).select(F.col("_all")["text"].cast("string").alias("_text"), rest, "spans")
     out = rows.mapInArrow(run, rows.drop("spans").schema)
-    return out.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
+    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

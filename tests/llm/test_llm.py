@@ -165,16 +165,30 @@ def test_suffix_dedup(docs, rows):
 
 def test_suffix_dedup_of_periodic_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 512)
-    suffix_dedup.hasher.cache_clear()
     rng = random.Random(6)
     long = "".join(rng.choice("ab") for _ in range(3000))
     texts = ["ab" * 200, "ab" * 90, "a" * 120, long, long[700:1900], "z" + long[5:400] + "q" + long[300:380], "é" * 60, "xé" + "é" * 58]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(map(tuple, suffix_dedup.removals(table).collect()), key=str)
-    suffix_dedup.hasher.cache_clear()
     assert got == removed(list(enumerate(texts)))
 
 
+def test_suffix_dedup_with_hot_anchors_many_levels_and_the_largest_id(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 4096)
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 8)
+    rng = random.Random(16)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = word(40), word(90)  # a line shorter than a window, in many contexts, and a longer passage
+    texts = [word(rng.randint(0, 80)) + line + word(rng.randint(0, 80)) + rng.choice(["", passage, passage[20:]]) for _ in range(150)]
+    texts = [rng.choice(texts[:20]) if rng.random() < 0.2 else t for t in texts]
+    ids = [*range(148), suffix_dedup.LAST, suffix_dedup.LAST - 1]
+    rng.shuffle(ids)
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.removals(table).collect()), key=str)
+    assert got == removed(list(zip(ids, texts, strict=True)))
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -230,6 +244,49 @@ def test_html(spark):
     assert len(got) == len(pages) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
 
 
+def test_html_classes_and_slots_equal_brute_force(spark):
+    rng = random.Random(17)
+    menus = {s: "".join(f"<li>{s} {k}</li>" for k in range(4)) for s in "xyz"}
+    pages = []
+    for i in range(150):
+        host, section = rng.choice("abc"), rng.choice("xyz")
+        odd = f"<h2>{rng.choice('pqr')}</h2>" if rng.random() < 0.3 else ""
+        body = f"<div><b>top</b><ul>{menus[section]}</ul><i>mid</i></div>{odd}<p>own {i}</p><section><p>also {rng.randint(0, 4)}</p></section><address>end</address>"
+        pages.append((i, f"http://{host}.example/{i}", "<h1>lost</h1>" if i == 7 else f"<body>{body}</body>"))
+    pages += [(900 + k, *p[1:]) for k, p in enumerate(pages[:5])]  # copies count once
+    on, at = {}, {}
+    for _, url, source in pages:
+        for token, place in html_extraction.Page(source).tokens().items():
+            on.setdefault((url[7], token), set()).add(source)
+            at[url[7], token, source] = place
+    want = {}
+    for (host, token), where in on.items():
+        want.setdefault((host, frozenset(where)), []).append(token)
+    want = {k: v for k, v in want.items() if len(k[1]) >= 3 and len(v) >= 3}
+    order = lambda host, tokens, source: sorted(tokens, key=lambda t: at[host, t, source])
+    want = sorted((len(w), order(host, tokens, min(w))) for (host, w), tokens in want.items())
+    table = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, host int, template string")
+    found = html_extraction.valid_classes(html_extraction.occurrences(html_extraction.sources(table))).collect()
+    assert sorted((r.pages, [t % (1 << 64) for t in r.tokens]) for r in found) == want and len(want) > 6
+    few = {r.page_id: r.text for r in html_extraction.extract(table).collect()}
+    many = {r.page_id: r.text for r in html_extraction.extract(table, broadcast_tokens=0).collect()}
+    assert few == many and few[7] == "lost"
+    for i, _, source in pages:
+        if i != 7:  # menus of a section, the top and the end are template; what varies is text
+            own = re.findall(r"<h2>(.)</h2>|<p>([^<]*)</p>", source)
+            assert few[i] == "\n\n".join(a or b for a, b in own)
+
+
+def test_html_drops_by_whole_names_only():
+    slots = lambda source: html_extraction.Page(source).slots({})
+    kept = ["ad-hoc note", "share-price", "menu-history", "headline", "commentary"]
+    assert slots("<article>" + "".join(f"<p class='{k}' id='{k}'>{k}</p>" for k in kept) + "</article>") == kept
+    gone = ["ad", "ad-slot-2", "site-footer", "comment-list", "x sidebar", "share_buttons"]
+    assert slots("<article>" + "".join(f"<div class='{k}'><p>{k}</p></div>" for k in gone) + "a</article>") == ["a"]
+    assert slots("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><noscript><p>n</p></noscript>") == ["Let x=1 be", "n"]
+    assert slots("<main><p>intro</p><article><p>a</p></article><aside>b</aside></main><p>c</p>") == ["intro", "a"]
+
+
 def test_chat_blocks_give_the_path_of_the_whole_conversation(spark, monkeypatch):
     turns = [(c, t, ("user", "assistant")[t % 2], f"line {t}\nand {c * t}" + "?" * (t % 2 == 0)) for c in range(6) for t in range(9)]
     turns += [(None, 0, "user", "hi"), (7, None, "system", None), (8, 0, "other", ""), (0, 0, "user", "line 0\nand 0?")]
@@ -304,7 +361,7 @@ def test_pipeline_stages_equal_brute_force(spark, tmp_path):
         if n == 0:
             assert len(after) == len(before)
         elif n == 1:
-            assert len(after) == len(set(reachable([fingerprint(r.text or "") for r in before])))
+            assert len(after) == len(set(shingle_groups([r.text or "" for r in before])))
         elif n == 2:
             want = removed([(r.doc_id, r.text or "") for r in before])
             assert len(after) == sum(not x[2] or x[1] > x[2] for x in want)
