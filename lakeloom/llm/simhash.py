@@ -215,7 +215,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER,
             if not len(batch):
                 continue
             ends = batch["_bucket"].to_numpy()
-            cut = int(np.searchsorted(ends != ends[-1], False)) if (ends != ends[-1]).any() else 0
+            cut = int(np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])[-1])  # where the last bucket begins
             if cut:
                 waiting.append(batch.iloc[:cut])
                 yield from flush()
@@ -286,6 +286,7 @@ def keep_least(docs: DataFrame, least: DataFrame, rows: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_keep_id", F.col("doc_id").cast("long")).withColumn("_keep_h", F.xxhash64(whole_text()))
 
     def held(part: DataFrame) -> DataFrame:
+        part = part.hint("merge")  # one plan at every size
         here = keyed["_keep_h"].eqNullSafe(part["_h"]) & keyed["_keep_id"].eqNullSafe(part["_id"])
         return keyed.join(part, here, "left_semi")
 
