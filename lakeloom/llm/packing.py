@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import materialise, table, whole_text
+from lakeloom.llm._util import materialise, only, release, table, whole_text
 from lakeloom.llm.token_counts import byte_alphabet
 
 CAPACITY = 4096
@@ -88,17 +88,12 @@ class WordEncoder:
         return b"".join(ids)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str | None = None) -> WordEncoder:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return only(("word encoder", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
@@ -116,6 +111,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
             yield out
+        release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return source.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

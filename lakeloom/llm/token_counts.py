@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import table, whole_text
+from lakeloom.llm._util import only, release, table, whole_text
 
 LIMIT = 1024
 CACHE_CHUNKS = 700_000
@@ -232,18 +232,13 @@ class PrefixCounter:
         return best
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str | None = None) -> PrefixCounter:
     """This process's counter of a vocabulary file, by default the public byte-level one."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounter(path)
-    return _COUNTERS[path]
+    return only(("prefix counter", path), lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
@@ -263,6 +258,7 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
                     "cut_chars": [c.cut(t, limit) if n > limit else len(t) for t, n in zip(batch["text"], tokens, strict=True)],
                 }
             )
+        release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return source.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import table, whole_text
+from lakeloom.llm._util import only, release, table, whole_text
 
 WINDOW_WORDS = 3
 SAMPLE = {1: 2500, 0: 7500}
@@ -181,7 +181,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit([t for k, t in sample if k == 1], [t for k, t in sample if k == 0])
 
 
-_DISTANCES: dict[tuple[bytes, bytes], Distance] = {}
 ROWS_AT_ONCE = 512
 
 
@@ -190,10 +189,7 @@ def scorer(model: Model | None) -> Callable[[list[str]], np.ndarray]:
     if model is None:
         return lambda texts: np.zeros(len(texts))
     key = (model.ordinary, model.toxic)
-    if key not in _DISTANCES:
-        _DISTANCES.clear()
-        _DISTANCES[key] = Distance(*key)
-    distance = _DISTANCES[key]
+    distance = only(key, lambda: Distance(*key))
 
     def of(texts: list[str]) -> np.ndarray:
         evidence = np.array([model.evidence(distance.of(t)) for t in texts])
@@ -229,6 +225,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = batch.slice(lo, ROWS_AT_ONCE)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield part.filter(pa.array(of(texts) < THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
