@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import oracle
+from lakeloom.plans import oracle, platform
 from lakeloom.plans.toolkit import TOOLS, opened
 from lakeloom.plans.warehouse import MODELS, Warehouse
 
 
+assert platform.NODES  # its queries join TOOLS when it is imported
+
+
 def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: oracle.shaped(Warehouse(spark, sf_dir)(name), oracle.COLUMNS[name])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 UNIT = 10**12  # money is counted in whole units of 1e-12
 BIG = "decimal(38,0)"
+CONSUMERS = ("dashboard", "adhoc")
 
 
 def month_pools(days: DataFrame, day: str, monthly: Column) -> DataFrame:
@@ -19,24 +21,30 @@ def month_pools(days: DataFrame, day: str, monthly: Column) -> DataFrame:
     return rows.select("month", "days", F.round(monthly.cast("decimal(20,6)") * F.col("days") / F.col("_length"), 12).cast("decimal(30,12)").alias("usd"))
 
 
+def with_group(rows: DataFrame, by: Sequence[str], *aggregates: Column) -> DataFrame:
+    """The rows with aggregates of their group: partial sums and a join, so no group meets in one task (as a window
+    would have it)."""
+    of = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(*aggregates)
+    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(of[f"_g{i}"]) for i, c in enumerate(by)])
+    return rows.join(of, same).drop(*[f"_g{i}" for i in range(len(by))])
+
+
 def share(rows: DataFrame, total: str, weight: str, by: Sequence[str], key: str, down: bool = False) -> DataFrame:
     """Adds ``usd``: the group's ``total`` in proportion to whole-number weights, rounded to 1e-12 half to even (or
-    down), the rest going to the largest weight (of equal ones to the first key), so that shares sum exactly.
-    Weights of 0 or less get no row. Only whole multiples are divided, so quotients are exact."""
-    group = W.partitionBy(*by)
-    live = rows.where(F.col(weight) > 0)
-    sum_w = F.sum(F.col(weight).cast(BIG)).over(group)
-    pool = (F.col(total).cast("decimal(25,12)") * F.lit(UNIT)).cast(BIG)
-    live = live.withColumns({"_sum": sum_w.cast(BIG), "_pool": pool})
+    down), the rest going to the largest weight (of equal ones to the first key), so that shares sum exactly. A key
+    stands in its group once. Weights of 0 or less get no row. Only whole multiples are divided, so quotients are exact."""
+    live = rows.where(F.col(weight) > 0).withColumn("_pool", (F.col(total).cast("decimal(25,12)") * F.lit(UNIT)).cast(BIG))
+    rank = F.struct((-F.col(weight)).alias("w"), F.col(key).alias("k"))
+    live = with_group(live, by, F.sum(F.col(weight).cast(BIG)).cast(BIG).alias("_sum"), F.min(rank).alias("_top"))
     product = (F.col("_pool") * F.col(weight).cast("decimal(18,0)")).cast(BIG)
     live = live.withColumn("_p", product).withColumn("_rem", F.col("_p") % F.col("_sum"))
     live = live.withColumn("_floor", ((F.col("_p") - F.col("_rem")).cast(BIG) / F.col("_sum")).cast(BIG))
     up = F.lit(0) if down else F.when((2 * F.col("_rem") > F.col("_sum")) | ((2 * F.col("_rem") == F.col("_sum")) & (F.col("_floor") % 2 == 1)), 1).otherwise(0)
     live = live.withColumn("_units", (F.col("_floor") + up).cast(BIG))
-    first = F.row_number().over(group.orderBy(F.desc(weight), key)) == 1
-    rest = F.col("_pool") - F.sum("_units").over(group)
-    units = F.col("_units") + F.when(first, rest).otherwise(F.lit(0))
-    return live.withColumn("usd", (units.cast("decimal(22,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast("decimal(30,12)")).drop("_sum", "_pool", "_p", "_rem", "_floor", "_units")
+    live = with_group(live, by, F.sum("_units").cast(BIG).alias("_all"))
+    units = F.col("_units") + F.when(F.col("_top") == rank, F.col("_pool") - F.col("_all")).otherwise(F.lit(0))
+    usd = (units.cast("decimal(22,0)") * F.lit("0.000000000001").cast("decimal(12,12)")).cast("decimal(30,12)")
+    return live.withColumn("usd", usd).drop("_sum", "_top", "_pool", "_p", "_rem", "_floor", "_units", "_all")
 
 
 def bursts(queries: DataFrame, warehouse: str, started_ms: str, id: str, ms: str, idle_ms: int) -> DataFrame:
@@ -75,14 +83,29 @@ def two_figures_up(x: Column) -> Column:
     return (F.ceil(x / step) * step).cast("long")
 
 
-def quotas(daily: DataFrame, team: str, value: str) -> DataFrame:
-    rows = daily.groupBy(team).agg(p95(value).alias("p95_day"), F.max(value).alias("max_day"))
-    return rows.withColumns({"day_quota": two_figures_up(2 * F.col("p95_day")), "peak_quota": two_figures_up(2 * F.col("max_day"))})
+def quotas(reads: DataFrame, user: str, started_at: str, size: str, headroom: int = 2) -> DataFrame:
+    """user, active_days, p95_daily, max_query, daily_quota, query_limit: some times the 95th percentile of a user's
+    days and some times the largest single query, rounded up to two figures. ``reads`` has a row a query."""
+    daily = reads.groupBy(F.col(user).alias("user"), F.to_date(started_at).alias("_day")).agg(F.sum(size).alias("_n"), F.max(size).alias("_max"))
+    rows = daily.groupBy("user").agg(F.count(F.lit(1)).alias("active_days"), p95("_n").alias("p95_daily"), F.max("_max").alias("max_query"))
+    limit = lambda c: F.when(F.col(c) <= 0, F.lit(0).cast("long")).otherwise(two_figures_up(headroom * F.col(c)))
+    return rows.withColumns({"daily_quota": limit("p95_daily"), "query_limit": limit("max_query")})
 
 
 def hotspots(reads: DataFrame, tables: DataFrame, share_of_rows: float = 0.9, least_bytes: int = 0, least_reads: int = 2) -> DataFrame:
-    """table_name, filter_column, reads, bytes: filters that still read nearly the whole table. ``reads`` has
-    table_name, rows_scanned, bytes_scanned, filter_columns."""
-    full = reads.join(tables, "table_name").where((F.col("rows_scanned") >= share_of_rows * F.col("table_rows")) & (F.col("table_bytes") >= least_bytes))
-    by = full.select("table_name", "bytes_scanned", F.explode("filter_columns").alias("filter_column")).groupBy("table_name", "filter_column")
-    return by.agg(F.count(F.lit(1)).alias("reads"), F.sum("bytes_scanned").alias("bytes")).where(F.col("reads") >= least_reads)
+    """table_name, filter_column, reads, rows, bytes, suggestion: filters with which people and dashboards still read
+    nearly the whole of the one table of their query. ``reads`` has actor_type, tables, rows_scanned, bytes_scanned,
+    filter_columns; ``tables`` table_name, table_rows, table_bytes, sorting_key, engine."""
+    mine = reads.where(F.col("actor_type").isin(*CONSUMERS) & (F.size("tables") == 1)).withColumn("table_name", F.get("tables", F.lit(0)))
+    full = mine.join(tables, "table_name").where((F.col("table_rows") > 0) & (F.col("rows_scanned") >= share_of_rows * F.col("table_rows")) & (F.col("table_bytes") >= least_bytes))
+    by = full.select("table_name", "sorting_key", "engine", "rows_scanned", "bytes_scanned", F.explode("filter_columns").alias("filter_column"))
+    by = by.groupBy("table_name", "filter_column", "sorting_key", "engine")
+    found = by.agg(F.count(F.lit(1)).alias("reads"), F.sum("rows_scanned").alias("rows"), F.sum("bytes_scanned").alias("bytes")).where(F.col("reads") >= least_reads)
+    return found.withColumn("suggestion", sort_advice("filter_column", "sorting_key", "engine")).drop("sorting_key", "engine")
+
+
+def sort_advice(column: str, sorting_key: str, engine: str) -> Column:
+    """Put the column first in the sort key, unless the engine deduplicates by the key: then a skip index."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(sorting_key, r"^\(+|\)+$", ""), ","), lambda x: F.trim(x)), lambda x: (x != "") & (x != F.col(column)))
+    key = F.concat(F.lit("sort key ("), F.array_join(F.concat(F.array(F.col(column)), parts), ", "), F.lit(")"))
+    return F.when(F.col(engine).startswith("Replacing"), F.concat(F.lit("skip index on "), F.col(column))).otherwise(key)

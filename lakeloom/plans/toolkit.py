@@ -152,7 +152,7 @@ def float_truncate(t):
     return t("orders").select("o_orderkey", (F.floor(F.col("o_totalprice") * 100) / 100).alias("truncated"))
 
 
-@tool("event_id:l utc:z", None)
+@tool("event_id:l utc:z", "SELECT event_id, ts + INTERVAL 5 HOURS AS utc FROM events")  # all events are of one January
 def tz_reinterpret(t):
     return t("events").select("event_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York").cast("timestamp_ntz").alias("utc"))
 
@@ -300,11 +300,91 @@ def diff_segmented(t):
     return rec.row_differences(source, target)
 
 
-@tool("row_key:s column_name:s class:s", None)
-def classify_mismatch(t):
+@tool("level:l n_segments:l n_rows:l", f"SELECT 1 AS level, count(DISTINCT g) AS n_segments, count(*) AS n_rows FROM (SELECT {HEX.format('md5(CAST(o_orderkey AS VARCHAR))', 1)} >> 28 AS g FROM orders)")
+def diff_levels(t):
+    source, target = sides(t)
+    return rec.descend(source, target.where("o_orderkey >= 0").unionAll(target.where("o_orderkey < 0")), max_depth=1)[2]
+
+
+#: 2 am of the first Sunday of April to 2 am of the last of October, as it was in those years.
+SUMMER = "({0} >= make_date(year({0}), 4, 1) + CAST((7 - dayofweek(make_date(year({0}), 4, 1))) % 7 AS INTEGER) + INTERVAL 2 HOURS AND {0} < make_date(year({0}), 10, 31) - CAST(dayofweek(make_date(year({0}), 10, 31)) AS INTEGER) + INTERVAL 1 HOUR)"
+ONCE = f"(SELECT * FROM (SELECT a.*, b.o_orderstatus AS s2, b.o_totalprice AS p2, b.o_orderdate AS t2, count(*) OVER (PARTITION BY a.o_orderkey) AS n FROM ({SOURCE}) a JOIN ({TARGET}) b USING (o_orderkey)) WHERE n = 1)"
+CLASSES = f"""(SELECT CAST(o_orderkey AS VARCHAR) AS row_key, 'o_orderstatus' AS column_name, CASE WHEN trim(s2) = o_orderstatus THEN 'whitespace' ELSE 'case_only' END AS class FROM {ONCE} WHERE s2 <> o_orderstatus
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_totalprice', CASE WHEN p2 - o_totalprice = 0.01 AND trunc(CAST(p2 AS DOUBLE) * 100) = o_totalprice * 100 THEN 'rounding' ELSE 'value_mismatch' END FROM {ONCE} WHERE p2 <> o_totalprice
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_orderdate', CASE WHEN {SUMMER.format('o_orderdate')} THEN 'value_mismatch' ELSE 'timezone_shift' END FROM {ONCE} WHERE t2 <> o_orderdate)"""
+
+
+def cells(t) -> DataFrame:
     return rec.classified(rec.cell_differences(*sides(t), RULES))
 
 
+@tool("row_key:s column_name:s class:s", f"SELECT * FROM {CLASSES}")
+def classify_mismatch(t):
+    return cells(t)
+
+
+@tool("row_key:s column_name:s class:s", f"SELECT row_key, NULL AS column_name, kind AS class FROM ({DIFF}) WHERE kind <> 'changed' UNION ALL SELECT * FROM {CLASSES}")
+def discrepancy_stream(t):
+    return rec.discrepancies(rec.row_differences(*sides(t)), cells(t))
+
+
+@tool("column_name:s n_differing:l match_rate:d", f"SELECT c AS column_name, count(class) AS n_differing, round(1 - count(class) / (SELECT count(*) FROM {ONCE}), 6) AS match_rate FROM (SELECT unnest(['o_orderstatus', 'o_orderpriority', 'o_totalprice', 'o_orderdate']) AS c) LEFT JOIN {CLASSES} ON column_name = c GROUP BY ALL")
+def column_match_rates(t):
+    source, target = sides(t)
+    both = rec.single(source).join(rec.single(target), "row_key", "left_semi").agg(n_rows().alias("_both"))  # one row
+    found = rec.column_rates(cells(t).select("column_name", "class").withColumn("_", F.lit(0)), F.lit(None), ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"])
+    rate = F.round(1 - F.col("n_differing") / F.nullif(F.col("_both"), F.lit(0)), 6)
+    return found.crossJoin(F.broadcast(both)).withColumn("match_rate", rate)
+
+
+@tool("class:s n:l max_n:l passes:b", f"SELECT k AS class, count(class) AS n, m AS max_n, count(class) <= m AS passes FROM (VALUES ('rounding', 0), ('whitespace', 100000), ('timezone_shift', 10), ('missing', 5)) v(k, m) LEFT JOIN (SELECT class FROM {CLASSES} UNION ALL SELECT kind FROM ({DIFF}) WHERE kind <> 'changed') ON class = k GROUP BY k, m")
+def class_limits(t):
+    return rec.class_limits(discrepancy_stream(t), {"rounding": 0, "whitespace": 100_000, "timezone_shift": 10, "missing": 5})
+
+
+TRUTH = f"(SELECT row_key, column_name, CASE WHEN CAST(row_key AS BIGINT) % 2 = 0 THEN class ELSE 'value_mismatch' END AS class FROM {CLASSES} WHERE CAST(row_key AS BIGINT) % 3 <> 0 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'o_orderpriority', 'case_only' FROM orders WHERE o_orderkey % 500 = 0)"
+
+
+@tool("expected:l detected:l true_positives:l correctly_classified:l equivalent_under_policy:l recall:d precision:d accuracy:d", f"SELECT expected, detected, hit AS true_positives, correct AS correctly_classified, same AS equivalent_under_policy, round(hit / expected, 6) AS recall, round(hit / detected, 6) AS precision, round(correct / hit, 6) AS accuracy FROM (SELECT (SELECT count(*) FROM {TRUTH} WHERE NOT (column_name = 'o_orderstatus' AND class = 'case_only')) AS expected, (SELECT count(*) FROM {CLASSES}) AS detected, (SELECT count(*) FROM {TRUTH} x JOIN {CLASSES} y USING (row_key, column_name) WHERE NOT (column_name = 'o_orderstatus' AND x.class = 'case_only')) AS hit, (SELECT count(*) FROM {TRUTH} x JOIN {CLASSES} y USING (row_key, column_name, class) WHERE NOT (column_name = 'o_orderstatus' AND x.class = 'case_only')) AS correct, (SELECT count(*) FROM {TRUTH} WHERE column_name = 'o_orderstatus' AND class = 'case_only') AS same)")
+def grade_planted(t):
+    found = cells(t).select("row_key", "column_name", "class")
+    key = F.col("row_key").cast("long")
+    planted = found.where(key % 3 != 0).withColumn("class", F.when(key % 2 == 0, F.col("class")).otherwise("value_mismatch"))
+    more = t("orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").cast("string").alias("row_key"), F.lit("o_orderpriority").alias("column_name"), F.lit("case_only").alias("class"))
+    return rec.grade(planted.unionAll(more), found, {"o_orderstatus": {"case_only"}})
+
+
+@tool("row_key:s kind:s", f"SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN o_orderdate > TIMESTAMP '2001-01-01' THEN 'in_flight' ELSE 'extra' END AS kind FROM orders WHERE o_orderdate > TIMESTAMP '2001-01-01' AND o_orderkey % 2 = 0 UNION ALL SELECT CAST(-o_orderkey - 1 AS VARCHAR), 'extra' FROM orders WHERE o_orderkey % 211 = 8")
+def in_flight_rows(t):
+    mark = F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
+    source, _ = sides(t)
+    late = F.col("o_orderdate") > mark
+    invented = source.where("o_orderkey % 211 = 8").withColumn("row_key", (-F.col("o_orderkey") - 1).cast("string"))
+    target = source.where(~(late & (F.col("o_orderkey") % 2 == 1))).unionAll(invented)
+    found = rec.row_differences(rec.as_of(source, "o_orderdate", mark), target)
+    return rec.without_in_flight(found, rec.in_flight(source, "o_orderdate", mark, ["row_key"]))
+
+
+@tool("n_source:l n_target:l row_match_rate:d failures:s", f"SELECT s AS n_source, t AS n_target, round((s - m - d - c) / s, 6) AS row_match_rate, 'row match rate' AS failures FROM (SELECT (SELECT count(*) FROM orders) AS s, (SELECT count(*) FROM ({TARGET})) AS t, (SELECT count(*) FROM ({DIFF}) WHERE kind = 'missing') AS m, (SELECT sum(n_source) FROM ({DIFF}) WHERE kind = 'duplicate_key') AS d, (SELECT count(DISTINCT row_key) FROM {CLASSES}) AS c)")
+def pair_verdict(t):
+    source, target = sides(t)
+    counts = source.agg(n_rows().alias("a")).crossJoin(target.agg(n_rows().alias("b"))).first()
+    out = rec.pair_verdict(rec.row_differences(source, target), cells(t), F.lit(counts["a"]), F.lit(counts["b"]), lag_hours=F.lit(3.0))
+    return out.withColumn("failures", F.array_join("failures", ","))
+
+
+@tool("night:l pair:s class:s row_key:s column_name:s example:l", f"SELECT CAST(row_key AS BIGINT) % 3 AS night, 'orders' AS pair, class, row_key, column_name, row_number() OVER (PARTITION BY CAST(row_key AS BIGINT) % 3, class ORDER BY row_key, column_name) AS example FROM {CLASSES} QUALIFY example <= 20")
+def night_examples(t):
+    found = cells(t).select((F.col("row_key").cast("long") % 3).alias("night"), F.lit("orders").alias("pair"), "row_key", "column_name", "class")
+    return rec.night_record(found)[1]
+
+
+@tool("night:l pair:s class:s n:l", f"SELECT CAST(row_key AS BIGINT) % 3 AS night, 'orders' AS pair, class, count(*) AS n FROM {CLASSES} GROUP BY ALL")
+def night_counts(t):
+    found = cells(t).select((F.col("row_key").cast("long") % 3).alias("night"), F.lit("orders").alias("pair"), "row_key", "column_name", "class")
+    return rec.night_record(found)[0]
+
+
 @tool("n_differing:l n_source:l match_rate:d passes:b", f"SELECT count(*) AS n_differing, (SELECT count(*) FROM orders) AS n_source, round(1 - count(*) / (SELECT count(*) FROM orders), 6) AS match_rate, round(1 - count(*) / (SELECT count(*) FROM orders), 6) >= 0.999 AS passes FROM ({DIFF})")
 def verdict_rates(t):
     source, target = sides(t)
@@ -361,24 +441,28 @@ def scan_pricing(t):
     return cost.scan_price(logs, "o_orderkey", "bytes")
 
 
-@tool("event_type:s p95_day:l max_day:l day_quota:l peak_quota:l", "SELECT event_type, quantile_disc(n, 0.95) AS p95_day, max(n) AS max_day, CAST(ceil(2 * p95_day / pow(10, greatest(0, floor(log10(2 * p95_day)) - 1))) * pow(10, greatest(0, floor(log10(2 * p95_day)) - 1)) AS BIGINT) AS day_quota, CAST(ceil(2 * max_day / pow(10, greatest(0, floor(log10(2 * max_day)) - 1))) * pow(10, greatest(0, floor(log10(2 * max_day)) - 1)) AS BIGINT) AS peak_quota FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+UP2 = "CASE WHEN {0} <= 0 THEN 0 ELSE CAST(ceil({0} / pow(10, greatest(0, floor(log10({0})) - 1))) * pow(10, greatest(0, floor(log10({0})) - 1)) AS BIGINT) END"
+
+
+@tool("user:s active_days:l p95_daily:l max_query:l daily_quota:l query_limit:l", f"SELECT event_type AS user, count(*) AS active_days, quantile_disc(n, 0.95) AS p95_daily, max(m) AS max_query, {UP2.format('(2 * quantile_disc(n, 0.95))')} AS daily_quota, {UP2.format('(2 * max(m))')} AS query_limit FROM (SELECT event_type, CAST(ts AS DATE) AS day, sum(event_id % 5000) AS n, max(event_id % 5000) AS m FROM events GROUP BY ALL) GROUP BY event_type")
 def usage_quotas(t):
-    return cost.quotas(t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(n_rows().alias("n")), "event_type", "n")
+    return cost.quotas(t("events").withColumn("bytes", F.col("event_id") % 5000), "event_type", "ts", "bytes")
+
+
+HOT_SQL = "SELECT table_name, filter_column, count(*) AS reads, sum(r) AS rows, sum(b) AS bytes, CASE WHEN table_name = 'click' THEN concat('skip index on ', filter_column) WHEN filter_column = 'user_id' THEN 'sort key (user_id, ts)' ELSE concat('sort key (', filter_column, ', ts, user_id)') END AS suggestion FROM (SELECT event_type AS table_name, event_id % 10 * 10 AS r, event_id AS b, unnest(['user_id', concat('c', CAST(event_id % 3 AS VARCHAR))]) AS filter_column FROM events WHERE event_id % 10 >= 9 AND event_id % 4 < 2 AND event_id % 6 <> 1) GROUP BY ALL HAVING count(*) >= 2"
 
 
-@tool("table_name:s filter_column:s reads:l bytes:l", "SELECT table_name, filter_column, count(*) AS reads, sum(b) AS bytes FROM (SELECT event_type AS table_name, value * 1000 AS v, CAST(event_id AS BIGINT) AS b, unnest(['user_id', concat('c', CAST(event_id % 3 AS VARCHAR))]) AS filter_column FROM events WHERE event_id % 10 >= 9) GROUP BY ALL HAVING count(*) >= 2")
+@tool("table_name:s filter_column:s reads:l rows:l bytes:l suggestion:s", HOT_SQL)
 def scan_hotspots(t):
+    kind = F.get(F.array(*[F.lit(k) for k in ("dashboard", "adhoc", "dbt", "ingestion")]), (F.col("event_id") % 4).cast("int"))
+    two = F.when(F.col("event_id") % 6 == 1, F.array("event_type", F.lit("other"))).otherwise(F.array("event_type"))
     reads = t("events").select(
-        F.col("event_type").alias("table_name"), (F.col("event_id") % 10 * 10).alias("rows_scanned"), F.col("event_id").alias("bytes_scanned"),
+        kind.alias("actor_type"), two.alias("tables"), (F.col("event_id") % 10 * 10).alias("rows_scanned"), F.col("event_id").alias("bytes_scanned"),
         F.array(F.lit("user_id"), F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string"))).alias("filter_columns"),
     )
-    tables = t("events").select(F.col("event_type").alias("table_name")).distinct().withColumns({"table_rows": F.lit(100), "table_bytes": F.lit(1000)})
-    return cost.hotspots(reads, tables)
-
-
-@tool("month:s team:s usd:d", "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS team, sum(CAST(o_totalprice AS DECIMAL(12,2))) AS usd FROM orders GROUP BY ALL")
-def showback(t):
-    return t("orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("team")).agg(F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("usd"))
+    tables = t("events").select(F.col("event_type").alias("table_name")).distinct()
+    engine = F.when(F.col("table_name") == "click", "ReplacingMergeTree").otherwise("MergeTree")
+    return cost.hotspots(reads, tables.withColumns({"table_rows": F.lit(100), "table_bytes": F.lit(1000), "sorting_key": F.lit("(ts, user_id)"), "engine": engine}))
 
 
 # Lineage and incidents, over the models of this library.
@@ -421,12 +505,14 @@ def incident_roots(t):
     return graph.roots(graph.closure(edges(t)), failed(t))
 
 
-@tool("node:s consumers:l score:d severity:s", f"SELECT ancestor AS node, count(DISTINCT node) AS consumers, sum(CASE WHEN node LIKE 'finance%' THEN 10 WHEN node LIKE 'sales%' THEN 5 ELSE 1 END) AS score, CASE WHEN score >= 150 THEN 'SEV1' WHEN score >= 45 THEN 'SEV2' ELSE 'SEV3' END AS severity FROM ({PATHS}) GROUP BY ALL")
+TIER = "CASE WHEN {0} LIKE 'finance%' THEN 10 WHEN {0} LIKE 'sales%' THEN 5 ELSE 1 END"
+
+
+@tool("node:s consumers:l score:d severity:s", f"SELECT node, consumers, score, CASE WHEN score >= 150 THEN 'SEV1' WHEN score >= 45 THEN 'SEV2' ELSE 'SEV3' END AS severity FROM (SELECT c.node, count(p.node) AS consumers, 3 * {TIER.format('c.node')} + ifnull(sum({TIER.format('p.node')}) FILTER (WHERE p.node IS NOT NULL), 0) AS score FROM (SELECT DISTINCT child_id AS node FROM {EDGE_SQL}) c LEFT JOIN ({PATHS}) p ON p.ancestor = c.node GROUP BY c.node)")
 def incident_severity(t):
     nodes = edges(t).select(F.col("child_id").alias("node")).distinct()
     weight = F.when(F.col("node").startswith("finance"), 10).when(F.col("node").startswith("sales"), 5).otherwise(1)
-    found = graph.impact(graph.closure(edges(t)), nodes.withColumns({"weight": weight, "kind": F.lit("model")}))
-    return found.withColumn("score", F.col("weight").cast("double")).withColumn("severity", graph.severity(F.col("score")))
+    return graph.scored(graph.closure(edges(t)), nodes.withColumns({"weight": weight, "kind": F.lit("model")}))
 
 
 @tool("node:s match:s owner:s ambiguous:b", "SELECT node, match, owner, count(*) FILTER (WHERE k = 1) OVER (PARTITION BY node) > 1 AS ambiguous FROM (SELECT node, match, owner, rank() OVER (PARTITION BY node ORDER BY lit DESC, wild) AS k, row_number() OVER (PARTITION BY node ORDER BY lit DESC, wild, match) AS r FROM (SELECT node, match, owner, len(regexp_replace(match, '[^*?]', '', 'g')) AS wild, len(match) - wild AS lit FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in COLUMNS) + "]) AS node) JOIN (VALUES " + ", ".join(f"('{m}', '{o}')" for m, o in RULES_TABLE) + ") r(match, owner) ON node GLOB match)) QUALIFY r = 1")
@@ -467,14 +553,14 @@ def alerts_by_week(t):
 # Streaming twins of the load and volume operators.
 
 
-@tool("event_id:l", None)
+@tool("event_id:l", "SELECT event_id FROM events")
 def stream_dedup_watermark(t):
     from lakeloom.streaming.events import deduplicated
 
     return deduplicated(t("events"))
 
 
-@tool("day:t event_type:s n:l", None)
+@tool("day:t event_type:s n:l", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(t):
     from lakeloom.streaming.events import daily_counts
 

@@ -227,27 +227,41 @@ def int_sessions_daily(w):
     )
 
 
-def touches(w, days: int | None):
-    """Sold orders with the same person's campaign sessions before them (within some days)."""
-    orders = w("int_orders_enriched").where(F.col("status").isin(*SOLD)).select("order_id", "ordered_at", "net_amount", "canonical_customer_id")
-    sessions = w("int_sessions_enriched").where(F.col("campaign_id").isNotNull()).select(
+TOUCH = ("touch_at", "touch_session_id", "campaign_id", "attributed_channel")
+
+
+def sold_orders(w):
+    return w("int_orders_enriched").where(F.col("status").isin(*SOLD)).select("order_id", "ordered_at", "net_amount", "canonical_customer_id")
+
+
+def touches(w):
+    """Campaign sessions of known people."""
+    return w("int_sessions_enriched").where(F.col("campaign_id").isNotNull() & F.col("canonical_customer_id").isNotNull()).select(
         F.col("session_id").alias("touch_session_id"), "campaign_id", F.col("campaign_channel").alias("attributed_channel"),
         F.col("started_at").alias("touch_at"), "canonical_customer_id",
     )
-    rows = orders.join(sessions, "canonical_customer_id").where(F.col("touch_at") <= F.col("ordered_at"))
-    return rows if days is None else rows.where(F.col("touch_at") > F.col("ordered_at") - F.expr(f"INTERVAL '{days}' DAY"))
 
 
-def one_touch(rows: DataFrame, pick: Callable) -> DataFrame:
-    """The first or last touch of each order, as one aggregate (no sort of an order's touches)."""
-    touch = F.struct("touch_at", "touch_session_id", "campaign_id", "attributed_channel")
-    best = rows.groupBy("order_id").agg(F.first("ordered_at").alias("ordered_at"), F.first("net_amount").alias("net_amount"), pick(touch).alias("_t"))
-    return best.select("order_id", "ordered_at", "net_amount", "_t.*")
+def last_touch(w, days: int):
+    """The last touch of each order within some days: orders and sessions of a person in one sequence, in which every
+    order sees the newest session before it. Linear in a person's rows, where a join would pair them all."""
+    touch = F.struct(*TOUCH).alias("_t")
+    marks = touches(w).select("canonical_customer_id", F.col("touch_at").alias("_at"), F.col("touch_session_id").alias("_id"), touch, F.lit(None).alias("_o"))
+    asks = sold_orders(w).select("canonical_customer_id", F.col("ordered_at").alias("_at"), F.lit(None).alias("_id"), F.lit(None).alias("_t"), F.struct("order_id", "ordered_at", "net_amount").alias("_o"))
+    order = W.partitionBy("canonical_customer_id").orderBy("_at", F.col("_id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    seen = marks.unionByName(asks).withColumn("_last", F.last("_t", ignorenulls=True).over(order)).where("_o IS NOT NULL")
+    return seen.where(F.col("_last.touch_at") > F.col("_at") - F.expr(f"INTERVAL '{days}' DAY")).select("_o.*", "_last.*")
+
+
+def first_touch(w):
+    """The first touch of each order: it is the person's first of all, if that is early enough."""
+    first = touches(w).groupBy("canonical_customer_id").agg(F.min(F.struct(*TOUCH)).alias("_t"))
+    return sold_orders(w).join(first, "canonical_customer_id").where(F.col("_t.touch_at") <= F.col("ordered_at")).select("order_id", "ordered_at", "net_amount", "_t.*")
 
 
 @model
 def int_campaign_attribution(w):
-    return one_touch(touches(w, 7), F.max)
+    return last_touch(w, 7)
 
 
 @model
@@ -499,7 +513,7 @@ def finance_rpt_q3_close_reconciliation(w):
 
 @model
 def marketing_fct_campaign_attribution_v1(w):
-    return one_touch(touches(w, None), F.min).groupBy("campaign_id").agg(
+    return first_touch(w).groupBy("campaign_id").agg(
         F.count(F.lit(1)).alias("first_touch_orders"), F.sum("net_amount").alias("first_touch_revenue")
     )
 
