@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import oracle, platform
+from lakeloom.plans import operations, oracle, platform
 from lakeloom.plans.toolkit import TOOLS, opened
 from lakeloom.plans.warehouse import MODELS, Warehouse
 
 
-assert platform.NODES  # its queries join TOOLS when it is imported
+assert platform.NODES and operations.FAILED  # their queries join TOOLS when they are imported
 
 
 def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:

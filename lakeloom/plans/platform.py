@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import attribution as att
 from lakeloom.operators import cost, graph
-from lakeloom.operators import incidents as inc
 from lakeloom.plans.toolkit import n_rows, tool
 
 # The company in small.
