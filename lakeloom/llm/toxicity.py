@@ -2,14 +2,18 @@
 
 Two dictionaries are trained on a bounded sample of labelled documents: one holds the words that occur in a share
 of the ordinary texts, the other those of the toxic texts too (the ordinary language they share comes first, the
-words that only toxic texts repeat last). A text is cut into windows of ``WINDOW_WORDS`` words, and each window is
-compressed under both; the difference in bytes is its distance to ordinary text. How much likelier a difference is
-in toxic than in ordinary texts is read off a part of the sample that the dictionaries have not seen. From each
-window's evidence a drift is taken off, the geometric mean of what a window of ordinary and one of toxic texts has,
-so that ordinary text counts against and length alone does not add up. A document is toxic if the sum of all its
-windows or that of its best stretch of windows (so a toxic passage does not drown in a long text) passes its
-threshold: the first is set where it separates that part best, the second above the best stretch of its ordinary
-texts in a row, which stand for a long one, and rising with the logarithm of the length. The score is a logistic curve through 0.7 there.
+words that only toxic texts repeat last). The library's own trainer keeps the commonest substrings, which in both
+classes are those of the common language; its dictionaries separate far worse (figures in the README).
+
+A text is cut into windows of ``WINDOW_WORDS`` words, and each window is compressed under both; the difference in
+bytes is its distance to ordinary text. How much likelier a difference is in toxic than in ordinary texts is read off
+documents that the dictionaries have not seen: the sample is dealt into ``PARTS`` parts, and each is measured with
+dictionaries of the others. From each window's evidence a drift is taken off, the geometric mean of what a window of
+ordinary and one of toxic texts has, so that ordinary text counts against and length alone does not add up. A document
+is toxic if the sum of all its windows or that of its best stretch of windows (so a toxic passage does not drown in a
+long text) passes its threshold: the first is set where ``WRONGLY`` of the ordinary documents pass, the second above
+the best stretch of the ordinary texts in a row, which stand for a long one, and rising with the logarithm of the
+length. The score is a logistic curve through 0.7 there.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1, at most ``SAMPLE`` a class (the least hashes of
 the id), of any length, while they fit ``SAMPLE_BYTES`` together; all documents are scored whole, map-only.
@@ -42,6 +46,8 @@ SAMPLE_BYTES = 100_000_000
 #: Share of a class's documents in which a word must occur to enter its dictionary.
 SHARE = {1: 0.012, 0: 0.0005}
 THRESHOLD = 0.7
+#: Parts of the sample that are measured unseen, and the share of ordinary documents that may pass by their sum.
+PARTS, WRONGLY = 4, 0.01
 #: Chance that an ordinary document passes by its best stretch.
 CHANCE = 0.001
 FOLDS, HELD_OUT = 3, 1
@@ -80,15 +86,6 @@ def sums(evidence: np.ndarray, drift: float) -> tuple[float, float]:
     return float(total[-1]), float((total - np.minimum.accumulate(total)).max())
 
 
-def best_threshold(t: np.ndarray, o: np.ndarray) -> float:
-    """The least positive threshold of the best F1."""
-    places = np.unique(np.r_[t, o])
-    places = places[places > 0] if (places > 0).any() else np.array([1.0])
-    middle = (places + np.r_[0, places[:-1]]) / 2
-    f1 = [2 * (t >= x).sum() / max(1, (t >= x).sum() + (o >= x).sum() + len(t)) for x in middle]
-    return float(middle[int(np.argmax(f1))])
-
-
 class Distance:
     """Compressed lengths under both dictionaries."""
 
@@ -127,16 +124,22 @@ def frequent(texts: list[str], share: float) -> list[str]:
     return [w for w, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= least]
 
 
+def trained(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    shared = frequent(ordinary, SHARE[0])
+    known = set(shared)
+    return dictionary(shared), dictionary(shared + [w for w in frequent(toxic, SHARE[1]) if w not in known])
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """Dictionaries from three quarters of each class, evidence and threshold from the rest."""
+    """Dictionaries from all texts; evidence and thresholds from parts that other dictionaries measured unseen."""
     if len(toxic) < 4 or len(ordinary) < 4:
         return None
-    cut_t, cut_o = max(1, len(toxic) * 3 // 4), max(1, len(ordinary) * 3 // 4)
-    shared = frequent(ordinary[:cut_o], SHARE[0])
-    known = set(shared)
-    both = dictionary(shared), dictionary(shared + [w for w in frequent(toxic[:cut_t], SHARE[1]) if w not in known])
-    distance = Distance(*both)
-    seen = [[distance.of(t) for t in part] for part in (toxic[cut_t:], ordinary[cut_o:][: 4 * len(toxic)])]
+    seen: list[list[np.ndarray]] = [[], []]
+    for k in range(PARTS):
+        distance = Distance(*trained(*([t for i, t in enumerate(texts) if i % PARTS != k] for texts in (toxic, ordinary))))
+        for texts, found in zip((toxic, ordinary), seen, strict=True):
+            found += [distance.of(t) for t in texts[k::PARTS]]
     width = HIGH - LOW + 1
     counts = [sum((np.bincount(d, minlength=width) for d in part), np.zeros(width)) for part in seen]
     ratio = np.log((counts[0] + 0.5) / (counts[0].sum() + 1)) - np.log((counts[1] + 0.5) / (counts[1].sum() + 1))
@@ -144,13 +147,13 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     weight = np.minimum.accumulate(np.maximum.accumulate(weight)[::-1])[::-1]  # a larger difference is no weaker evidence
     of_toxic, of_ordinary = (((weight * c).sum() + 0.5) / (c.sum() + 1) for c in counts)
     drift = float(np.sqrt(of_toxic * of_ordinary))
-    t, o = (np.array([sums(weight[d], drift)[0] for d in part]) for part in seen)
-    threshold = best_threshold(t, o)
+    whole = np.sort([sums(weight[d], drift)[0] for d in seen[1]])
+    threshold = max(float(whole[-1 - int(WRONGLY * len(whole))]), 0.0) + 1e-6
     # Ordinary texts in a row (but the worst in a hundred, whose labels may be wrong) stand for a long one: by one
     # window of the strongest evidence its best stretch must not pass.
     rest = sorted(seen[1], key=lambda d: sums(weight[d], drift)[1])[: -(-len(seen[1]) * 99 // 100)]
     stretch = sums(weight[np.concatenate(rest)], drift)[1] + max(float(weight.max()), 1.0)
-    return Model(*both, tuple(map(float, weight)), drift, threshold, stretch, 1.0)
+    return Model(*trained(toxic, ordinary), tuple(map(float, weight)), drift, threshold, stretch, 1.0)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
