@@ -4,29 +4,31 @@ Texts become lower-case words (letters and digits). A mask names the positions o
 the others; the two masks of ``MASKS`` are such that in any 13 aligned words with at most two substitutions one of
 them falls on unchanged words only. Mask hashes of benchmark items meet those of the documents in a hash join, and
 around each hit the words are compared position by position: an overlap is a window of ``WINDOW`` aligned words of
-which ``AGREE`` or more are equal. The comparison happens in the row that holds the document's words, so documents
-are never shuffled; only verified overlaps are.
+which ``AGREE`` or more are equal. An item of ``SHORTEST`` to 12 words overlaps where all its words stand in a row;
+its mask is the whole item.
 
-The benchmark's hashes are broadcast in blocks of ``BLOCK_HASHES`` at most; a larger benchmark takes more blocks.
+A benchmark of up to ``HASHES`` hashes and ``WORDS`` words is broadcast, and the comparison happens in the row that
+holds the document's words, so documents are never shuffled. A larger one is joined by shuffling the hashes, and only
+documents with a hit are compared. Either way every document is read for all hashes at once.
 
-Only DataFrame expressions are used. Defined results: null or empty texts, and texts or items of fewer than
-``WINDOW`` words, overlap nothing; repeated rows give one result row; a null ``doc_id`` or ``item_id`` is kept as
-such; an empty table gives an empty result; further columns do not matter.
+Only DataFrame expressions are used. Defined results: null or empty texts, and texts or items of fewer words than
+that, overlap nothing; repeated rows give one result row; a null ``doc_id`` or ``item_id`` is kept as such; an empty
+table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import table, whole_text
+from lakeloom.llm._util import materialise, table, whole_text
 
 WINDOW = 13
 AGREE = 11
 MASKS = ((0, 1, 2, 3, 5, 8), (0, 3, 4, 6, 7, 8))
-BLOCK_HASHES = 500_000
+SHORTEST = 5
+#: Bounds of what is broadcast: hashes (24 bytes each), words of items (8 bytes each), rows found (16 bytes each).
+HASHES, WORDS, FOUND = 500_000, 1_000_000, 500_000
 
 
 def words(text: Column) -> Column:
@@ -35,49 +37,48 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def seeds(h: Column) -> Column:
-    """The mask hashes of a word array, those of the first mask before those of the next, position by position."""
+def spans(size: Column, short: list[int]) -> list[tuple[int, tuple[int, ...], Column]]:
+    """(number, mask, how many places) of every mask that a text of ``size`` words is hashed with; ``short`` are the
+    lengths of short items."""
+    long = [(k, mask, F.when(size >= WINDOW, size - max(mask)).otherwise(F.lit(0))) for k, mask in enumerate(MASKS)]
+    return long + [(100 + n, tuple(range(n)), F.greatest(size - (n - 1), F.lit(0))) for n in short]
 
-    def of(k: int, mask: tuple[int, ...]) -> Column:
-        at = F.sequence(F.lit(0), F.size(h) - 1 - max(mask))
-        return F.transform(at, lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + m) for m in mask]))
 
-    return F.when(F.size(h) >= WINDOW, F.concat(*[of(k, m) for k, m in enumerate(MASKS)])).otherwise(F.array().cast("array<bigint>"))
+def seeds(h: Column, short: list[int], item: bool = False) -> Column:
+    """The mask hashes of a word array, those of one mask before those of the next, position by position. An item has
+    those of its length only."""
 
+    def of(k: int, mask: tuple[int, ...], n: Column) -> Column:
+        if item and k >= 100:
+            n = F.when(F.size(h) == len(mask), n).otherwise(F.lit(0))
+        every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + m) for m in mask]))
+        return F.when(n > 0, every).otherwise(F.array().cast("array<bigint>"))
 
-def place(at: Column, h: Column) -> Column:
-    """The word position of the seed at an index of ``seeds``."""
-    span = F.size(h) - max(MASKS[0])
-    return at % span
+    return F.concat(*[of(*x) for x in spans(F.size(h), short)])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHES) -> DataFrame:
-    """Verified overlaps: doc_id, text_hash (of the row's text), item_id, first_word (in the document), n_windows."""
-    items = benchmark.select(F.col("item_id").alias("_item"), whole_text().alias("_t")).distinct()
-    items = items.select("_item", F.xxhash64("_item", "_t").alias("_key"), words(F.col("_t")).alias("_w")).where(F.size("_w") >= WINDOW)
-    hashes = items.select("_key", "_w", F.posexplode_outer(seeds(F.col("_w"))).alias("_at", "_seed"))
-    hashes = hashes.select("_key", "_seed", place(F.col("_at"), F.col("_w")).alias("_q"))
-    blocks = max(1, -(-hashes.count() // block_hashes))
-    rows = docs.select("doc_id", whole_text().alias("_t"))
-    rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), words(F.col("_t")).alias("_h"))
-    rows = rows.withColumn("_seeds", seeds(F.col("_h")))
-    # outer: otherwise the optimizer adds a filter that computes the words anew for every word
-    probes = rows.select("doc_id", "text_hash", "_h", F.posexplode_outer("_seeds").alias("_at", "_seed"))
+def place(at: Column, h: Column, short: list[int]) -> Column:
+    """The word position of the seed at an index of ``seeds`` (of a document)."""
+    out, before = None, F.lit(0)
+    for _, _, n in spans(F.size(h), short):
+        out = F.when(at < before + n, at - before) if out is None else out.when(at < before + n, at - before)
+        before = before + n
+    return out.cast("int")
 
-    def block(k: int) -> DataFrame:
-        mine = F.pmod(F.col("_key"), F.lit(blocks)) == k
-        hit = probes.join(F.broadcast(hashes.where(mine)), "_seed").join(F.broadcast(items.where(mine)), "_key")
-        shift = place(F.col("_at"), F.col("_h")) - F.col("_q")
-        lo = F.greatest(F.lit(0), -shift)
-        n = F.least(F.size("_w"), F.size("_h") - shift) - lo
-        return hit.select("doc_id", "text_hash", "_item", (lo + shift).alias("_from"), F.slice("_h", lo + shift + 1, n).alias("_a"), F.slice("_w", lo + 1, n).alias("_b"))
 
-    hits = reduce(DataFrame.unionAll, [block(k) for k in range(blocks)]).where(F.size("_a") >= WINDOW)
+def compared(hit: DataFrame) -> DataFrame:
+    """Overlaps of hits (doc_id, text_hash, _h, _item, _w, _shift: the document's word less the item's)."""
+    shift = F.col("_shift")
+    lo = F.greatest(F.lit(0), -shift)
+    n = F.least(F.size("_w"), F.size("_h") - shift) - lo
+    window = F.least(F.size("_w"), F.lit(WINDOW))
+    hits = hit.select("doc_id", "text_hash", "_item", (lo + shift).alias("_from"), window.alias("_win"), F.slice("_h", lo + shift + 1, n).alias("_a"), F.slice("_w", lo + 1, n).alias("_b"))
     equal = F.zip_with("_a", "_b", lambda a, b: (a == b).cast("int"))
-    hits = hits.select("doc_id", "text_hash", "_item", "_from", equal.alias("_e"))
+    hits = hits.where(F.size("_a") >= F.col("_win")).select("doc_id", "text_hash", "_item", "_from", "_win", equal.alias("_e"))
+    need = F.when(F.col("_win") == WINDOW, AGREE).otherwise(F.col("_win"))
     good = F.filter(
-        F.sequence(F.lit(1), F.size("_e") - WINDOW + 1),
-        lambda i: F.aggregate(F.slice("_e", i, WINDOW), F.lit(0), lambda s, x: s + x) >= AGREE,
+        F.sequence(F.lit(1), F.size("_e") - F.col("_win") + 1),
+        lambda i: F.aggregate(F.slice("_e", i, F.col("_win")), F.lit(0), lambda s, x: s + x) >= need,
     )
     hits = hits.select("doc_id", "text_hash", "_item", "_from", good.alias("_good"))
     found = hits.groupBy("doc_id", "text_hash", F.col("_item").alias("item_id")).agg(
@@ -87,11 +88,38 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HA
     return found.where(F.col("n_windows") > 0)  # after the grouping, so that the filter is not computed on its own
 
 
+def overlaps(docs: DataFrame, benchmark: DataFrame, most_hashes: int = HASHES, most_words: int = WORDS) -> DataFrame:
+    """Verified overlaps: doc_id, text_hash (of the row's text), item_id, first_word (in the document), n_windows."""
+    items = benchmark.select(F.col("item_id").alias("_item"), whole_text().alias("_t")).distinct()
+    items = items.select("_item", F.xxhash64("_item", "_t").alias("_key"), words(F.col("_t")).alias("_w")).where(F.size("_w") >= SHORTEST)
+    items = materialise(items, "benchmark-items")
+    short = sorted(r["n"] for r in items.select(F.size("_w").alias("n")).where(F.col("n") < WINDOW).distinct().collect())  # 8 numbers at most
+    hashes = items.select("_key", "_w", F.posexplode(seeds(F.col("_w"), short, item=True)).alias("_at", "_seed"))
+    own = F.when(F.size("_w") < WINDOW, F.lit(0)).otherwise(F.col("_at") % (F.size("_w") - max(MASKS[0])))
+    hashes = materialise(hashes.select("_key", "_seed", own.cast("int").alias("_q")), "benchmark-hashes")
+    rows = docs.select("doc_id", whole_text().alias("_t"))
+    rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), words(F.col("_t")).alias("_h"))
+    # outer: otherwise the optimizer adds a filter that computes the words anew for every word
+    probes = rows.withColumn("_seeds", seeds(F.col("_h"), short)).select("doc_id", "text_hash", "_h", F.posexplode_outer("_seeds").alias("_at", "_seed"))
+    shift = (place(F.col("_at"), F.col("_h"), short) - F.col("_q")).alias("_shift")
+    n_words = items.agg(F.sum(F.size("_w"))).first()[0] or 0
+    if hashes.count() <= most_hashes and n_words <= most_words:
+        hit = probes.join(F.broadcast(hashes), "_seed").join(F.broadcast(items), "_key")
+        return compared(hit.select("doc_id", "text_hash", "_item", "_h", "_w", shift))
+    probes = probes.select("doc_id", "text_hash", "_seed", place(F.col("_at"), F.col("_h"), short).alias("_p")).where(F.col("_seed").isNotNull())
+    hit = probes.join(hashes.hint("shuffle_merge"), "_seed").select("doc_id", "text_hash", "_key", (F.col("_p") - F.col("_q")).alias("_shift")).distinct()
+    hit = materialise(hit, "benchmark-hits").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_x"), "_key", "_shift")
+    here = rows.join(hit, (rows["text_hash"] == hit["_x"]) & rows["doc_id"].eqNullSafe(hit["_d"])).join(items, "_key")
+    return compared(here.select("doc_id", "text_hash", "_item", "_h", "_w", "_shift"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns."""
+    """The documents that overlap no benchmark item, with all their columns. Texts are shuffled only if more than
+    ``FOUND`` documents go."""
     found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    found = materialise(found, "benchmark-found")
     same = docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(whole_text()) == found["_h"])
-    return docs.join(found, same, "left_anti")
+    return docs.join(F.broadcast(found) if found.count() <= FOUND else found, same, "left_anti")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
