@@ -1,7 +1,8 @@
 """Exact top-k inner products by MaxScore.
 
-Components become integers, floor(256 x). A dimension is a term, a vector's component its posting. The vectors are
-dealt into shards of about ``SHARD_ROWS`` rows; queries go to every shard in blocks. For one query and shard each
+Components become integers, floor(256 x). A dimension is a term, and its posting list the column of a shard's
+components in it (vectors are dense, so every list has all rows). Shards are about ``SHARD_ROWS`` rows; queries go to
+every shard in blocks. For one query and shard each
 term has a lowest and a highest possible contribution; what lies above the lowest is its bound. Terms are ranked by
 bound. The essential terms are the fewest of highest bound such that the others' bounds sum to less than what
 separates the threshold (the k-th best score so far) from the sum of the lowest contributions: a vector must score
@@ -12,8 +13,8 @@ threshold, which rises as candidates are completed. The shards' lists are merged
 All arithmetic is on integers, so results are exact and ties go to the smaller id.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null
-id; a query's own id is never its candidate; repeated rows are candidates each (one per row), a repeated query row
-is one query; vectors of another length than the query's have no product with it and are left out; an empty table
+id; a query's own id is never its candidate; repeated rows are candidates each (one per row); of several query rows of
+one id the least vector asks; scores are exact as long as they fit a long; vectors of another length than the query's have no product with it and are left out; an empty table
 gives an empty result; further columns do not matter.
 """
 
@@ -33,7 +34,7 @@ K = 5
 EVERY = 50
 SCALE = 256
 SHARD_ROWS = 4096
-QUERY_BLOCK = 2048
+BLOCK_BYTES = 16 << 20
 PROBE_STEP = 8
 
 
@@ -87,34 +88,53 @@ class Shard:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best rows of ``vectors`` for each of ``queries`` (vec_id, v)."""
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_BLOCK))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    own = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")
-    dealt = vectors.select(own, F.col("vec_id"), "v").select("shard", every_block, "vec_id", "v")
-    asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v").select("block", every_shard, "vec_id", "v")
-
-    def search(mine: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size, group in mine.groupby(mine["v"].map(len)):
-            shard, ids = Shard(np.stack(group["v"].to_numpy())), group["vec_id"].to_numpy()
-            for query_id, q in zip(ask["vec_id"], ask["v"], strict=True):
-                if len(q) == size and size:
-                    found, score = shard_top(ids, shard, query_id, np.asarray(q), k)
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    keys = ["shard", "block"]
-    lists = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+    """query_id, rank, vec_id, score: the ``k`` best rows of ``vectors`` for each of ``queries`` (vec_id, v).
+
+    Vectors stay where they are: a partition's rows are its shards. The stated queries are dealt into blocks, and each
+    block is sent to all partitions, ``BLOCK_BYTES`` at a time. What is shuffled are the shards' lists."""
+    spark = vectors.sparkSession
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    rows = max(1, BLOCK_BYTES // (8 * max(1, size["d"] or 1)))
+    blocks = max(1, -(-size["n"] // rows))
+    lists = None
+    for b in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()  # about BLOCK_BYTES
+        asked = spark.sparkContext.broadcast([(int(i), np.asarray(v, dtype=np.int64)) for i, v in zip(mine["vec_id"], mine["v"], strict=True)])
+
+        def search(batches: Iterator[pd.DataFrame], asked=asked) -> Iterator[pd.DataFrame]:
+            for part in shards(batches):
+                for length, group in part.groupby(part["v"].map(len)):
+                    shard, ids = Shard(np.stack(group["v"].to_numpy())), group["vec_id"].to_numpy()
+                    found = [(i, *shard_top(ids, shard, i, q, k)) for i, q in asked.value if len(q) == length and length]
+                    if found:
+                        n = [len(f[1]) for f in found]
+                        yield pd.DataFrame({"query_id": np.repeat([f[0] for f in found], n), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+
+        part = vectors.mapInPandas(search, "query_id long, vec_id long, score long").withColumn("rank", rank).where(F.col("rank") <= k)
+        part = materialise(part.select("query_id", "rank", "vec_id", "score"), "topk-lists")
+        asked.unpersist()  # the next block takes its place
+        lists = part if lists is None else lists.unionAll(part)
+    return lists
+
+
+def shards(batches: Iterator[pd.DataFrame], rows: int = SHARD_ROWS) -> Iterator[pd.DataFrame]:
+    """Batches joined to shards of some rows: bounds and thresholds are worth more the more rows they stand for."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pd.concat(waiting)
+            waiting, n = [], 0
+    if n:
+        yield pd.concat(waiting)
 
 
 def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = materialise(quantised(table(spark, sf_dir, "embeddings")), "topk-vectors")
-    return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0).dropDuplicates(["vec_id"]))
+    queries = vectors.where(F.col("vec_id") % EVERY == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return top_k(vectors, queries)
 
 
 OP7_SQL = f"""
