@@ -32,6 +32,9 @@ from lakeloom.llm._util import materialise, partitions, table, whole_text
 ROLES = ("system", "user", "assistant")
 STATES = [(r, opens) for r in range(3) for opens in (True, False)]
 BLOCK_TURNS = 64
+LINES_PER_BUCKET = 200_000
+#: Of so many conversations (by hash) one does not train, so that it can grade.
+HELD_OUT = 5
 #: Names that markers use for the roles, and the forms of a marker.
 NAMES = {"system": 0, "sys": 0, "instruction": 0, "user": 1, "human": 1, "q": 1, "question": 1, "customer": 1, "assistant": 2, "ai": 2, "bot": 2, "a": 2, "answer": 2, "agent": 2, "model": 2}
 MARKER = r"^\s*(?:#{1,6}\s*|\[|<\|?|\*\*)?([A-Za-z]{1,12})\s*(?:\]|\|?>|:?\*\*:?|:)\s*"
@@ -107,6 +110,10 @@ def lines(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", F.xxhash64("text").alias("_nth"), F.posexplode(F.split("text", "\n")).alias("_at", "line")).withColumn("code", observed(F.col("line")))
 
 
+def held_out() -> Column:
+    return F.coalesce(F.pmod(F.xxhash64("conv_id"), F.lit(HELD_OUT)) == 0, F.lit(False))
+
+
 def fit(turns: DataFrame) -> Model:
     """Probabilities from labelled turns; every count is an aggregate of at most a few hundred rows."""
     role = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.coalesce("role", F.lit(""))).cast("int") - 1
@@ -133,10 +140,9 @@ def fit(turns: DataFrame) -> Model:
 
 def parse(turns: DataFrame, model: Model) -> DataFrame:
     """Canonical turns of raw transcripts (conv_id, turn, text): conv_id, turn, role, n_lines, rendered."""
-    spark = turns.sparkSession
-    buckets = 2 * partitions(spark)
-    rows = lines(turns).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS))
-    rows = materialise(rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "block"), F.lit(buckets)).cast("int")), "chat-lines")
+    rows = materialise(lines(turns).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS)), "chat-lines")
+    buckets = 2 * max(partitions(turns.sparkSession), rows.count() // LINES_PER_BUCKET)  # so that a bucket's size is the same at any input
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "block"), F.lit(buckets)).cast("int"))
     order, key = ["conv_id", "block", "turn", "_nth", "_at"], ["conv_id", "block"]
 
     def blocks(part: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -217,4 +223,4 @@ def parse(turns: DataFrame, model: Model) -> DataFrame:
 
 def op1_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = transcripts(table(spark, sf_dir, "conversations"))
-    return parse(turns, fit(turns))
+    return parse(turns, fit(turns.where(~held_out())))
