@@ -5,8 +5,8 @@ shingle votes on 64 bits. Equal fingerprints are one node, so copies cost one co
 
 Search: two fingerprints that differ in at most 3 bits agree in one of four 16-bit blocks, so each is filed under
 its four blocks and only rows of one bucket can link. Buckets larger than ``SPLIT_OVER`` are filed again by the
-four quarters of their remaining bits, and so on (``LEVELS``), so a large group of near copies is dealt out
-instead of meeting in one task; nothing is left out. Within a bucket the index sorts the fingerprints by Gray
+four quarters of their remaining bits, and so on until none is large or six bits are left (``LEVELS``), so a large
+group of near copies is dealt out instead of meeting in one task; nothing is left out. Within a bucket the index sorts the fingerprints by Gray
 rank, where neighbours share long bit patterns, and factors the bits shared by ``FANOUT`` neighbours into a node
 (mask and pattern), the bits shared by ``FANOUT`` nodes into a node above, and so on. A search walks down from
 the top, adds up the differences on each node's newly fixed bits, and drops a whole group once they exceed 3.
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import materialise, table, whole_text
+from lakeloom.llm._util import discard, materialise, table, whole_text
 
 SHINGLE = 3
 RADIUS = 3
@@ -40,7 +40,7 @@ SEED = 42
 BITS = 64
 FANOUT = 16
 SPLIT_OVER = 512
-LEVELS = 3
+LEVELS = 8
 PAIRS_AT_ONCE = 1_000_000
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -259,10 +259,10 @@ def components(edges: DataFrame) -> DataFrame:
         above = up.select(F.col("_fp").alias("_root"), F.col("_root").alias("_over"))
         label2 = up.join(above, "_root").select("_fp", F.col("_over").alias("_root"))
         settled = hook.isEmpty()
+        old, label = label, label if settled else materialise(label2, "simhash-labels")
+        discard(hook, *([] if settled else [old]))
         if settled:
-            break
-        label = materialise(label2, "simhash-labels")
-    return label
+            return label
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
