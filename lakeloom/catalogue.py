@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import operations, oracle, platform
+from lakeloom.plans import legacy, operations, oracle, platform
 from lakeloom.plans.toolkit import TOOLS, opened
 from lakeloom.plans.warehouse import MODELS, Warehouse
 
@@ -24,10 +24,10 @@ def _tool(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{name: _model(name) for name in MODELS}, **{name: _tool(name) for name in TOOLS}}
+    return {**{name: _model(name) for name in MODELS}, **{name: _tool(name) for name in TOOLS}, **legacy.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
     models = {name: oracle.statement(f"SELECT * FROM {name}", oracle.COLUMNS[name]) for name in MODELS}
     tools = {name: oracle.plain(sql, spec) for name, (_, spec, sql) in TOOLS.items() if sql}
-    return {**models, **tools}
+    return {**models, **tools, **legacy.oracle_sql()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,48 @@ BIG = "decimal(38,0)"
 CONSUMERS = ("dashboard", "adhoc")
 
 
+class PricingModel(Protocol):
+    """Anything that prices queries: query_id and usd of the records it is given."""
+
+    name: str
+
+    def price(self, records: DataFrame) -> DataFrame: ...
+
+
+class ScanPricing:
+    """By bytes read, every table at least the minimum."""
+
+    name = "scan"
+
+    def __init__(self, least: int = 10 << 20, usd_per_tib: float = 6.25):
+        self.least, self.usd_per_tib = least, usd_per_tib
+
+    def price(self, records: DataFrame) -> DataFrame:
+        return scan_price(records, "query_id", "table_bytes", self.least, self.usd_per_tib).select("query_id", "usd")
+
+
+class WarehousePricing:
+    """By the seconds warehouses run, each burst's price dealt out over its queries by their running time. A query runs
+    on the warehouse of its kind of work."""
+
+    name = "compute"
+
+    def __init__(self, warehouses: dict[str, str], idle_ms: int = 300_000, least_seconds: int = 60, usd_per_hour: float = 3.0):
+        self.warehouses, self.idle_ms, self.least_seconds, self.usd_per_hour = warehouses, idle_ms, least_seconds, usd_per_hour
+
+    def price(self, records: DataFrame) -> DataFrame:
+        place = F.create_map(*[F.lit(x) for pair in self.warehouses.items() for x in pair])
+        rows = records.select("query_id", F.coalesce(F.element_at(place, F.col("actor_type")), F.lit("default")).alias("warehouse"), F.unix_millis(F.col("started_at").cast("timestamp")).alias("start"), F.col("modeled_ms").alias("ms"))
+        runs = bursts(rows, "warehouse", "start", "query_id", "ms", self.idle_ms)
+        return burst_shares(runs, bill(runs, "warehouse", "ms", self.idle_ms, self.least_seconds, self.usd_per_hour))
+
+
+def burst_shares(runs: DataFrame, bills: DataFrame) -> DataFrame:
+    """query_id, usd: each burst's price dealt out over its queries by their milliseconds, exactly."""
+    rows = runs.select("query_id", "warehouse", "burst", "ms").join(bills.select("warehouse", "burst", F.col("usd").cast("decimal(25,12)").alias("_usd")), ["warehouse", "burst"])
+    return share(rows, "_usd", "ms", ["warehouse", "burst"], "query_id").select("query_id", "usd")
+
+
 def month_pools(days: DataFrame, day: str, monthly: Column) -> DataFrame:
     """A stated monthly price per month, in proportion to the days present."""
     month, length = F.date_format(day, "yyyy-MM"), F.dayofmonth(F.last_day(day))

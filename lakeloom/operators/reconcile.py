@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -127,6 +128,34 @@ def cell_differences(source: DataFrame, target: DataFrame, rules: Mapping[str, R
     return out.select("row_key", F.col("x.a.c").alias("column_name"), F.col("x.a.k").alias("kind"), F.col("x.a.v").alias("a"), F.col("x.b.v").alias("b"))
 
 
+class Connector(Protocol):
+    """One side of a comparison: what a descent asks of a system, whichever it is."""
+
+    def summary(self, depth: int, within: DataFrame | None) -> DataFrame: ...
+
+    def fetch(self, depth: int, within: DataFrame | None) -> DataFrame: ...
+
+    def keys_after(self, mark: Column) -> DataFrame: ...
+
+
+class TableConnector:
+    """A connector over a table of this engine, as of a watermark if it has one."""
+
+    def __init__(self, rows: DataFrame, key: Sequence[str], rules: Mapping[str, Rule], changed_at: str | None = None, mark: Column | None = None):
+        self.changed_at, self.all = changed_at, rows
+        self.rows = hashed(rows if mark is None else as_of(rows, changed_at, mark), key, rules)
+        self.key, self.rules = key, rules
+
+    def summary(self, depth: int, within: DataFrame | None = None) -> DataFrame:
+        return summary(below(self.rows, within, depth - 1), depth)
+
+    def fetch(self, depth: int, within: DataFrame | None = None) -> DataFrame:
+        return below(self.rows, within, depth)
+
+    def keys_after(self, mark: Column) -> DataFrame:
+        return in_flight(hashed(self.all, self.key, self.rules), self.changed_at, mark, ["row_key"])
+
+
 def other_fold(wall: Column, zone: str) -> tuple[Column, Column]:
     """Both instants that a wall clock time can mean in a zone (the second is null if there is one)."""
     u, hour = F.to_utc_timestamp(wall, zone), F.expr("INTERVAL '1' HOUR")

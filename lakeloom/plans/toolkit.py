@@ -281,6 +281,42 @@ def canonical_rows(t):
     return sides(t)[0]
 
 
+@tool("o_orderkey:l row_text:s", f"SELECT o_orderkey, concat_ws('|', CAST(o_orderkey AS VARCHAR), lower(rtrim(s, ' ')), CAST(CAST(round(o_totalprice, 1) AS DECIMAL(12,1)) AS VARCHAR)) AS row_text FROM (SELECT o_orderkey, concat('Ä', o_orderstatus, 'x  ') AS s, CAST(o_totalprice AS DECIMAL(12,2)) AS o_totalprice FROM orders)")
+def canonical_rows_lenient(t):
+    """Trailing blanks and NULs and case forgiven, money at one digit."""
+    rows = t("orders").select("o_orderkey", F.concat(F.lit("Ä"), "o_orderstatus", F.lit("x  \u0000\u0000")).alias("s"), F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"))
+    return rec.hashed(rows, ["o_orderkey"], {"o_orderkey": rec.Rule("int"), "s": rec.Rule("text", rtrim=True, casefold=True), "o_totalprice": rec.Rule("decimal", scale=1)})
+
+
+@tool("moved:l naive:l saved_share:d", f"SELECT 2 * n + f AS moved, a + b AS naive, round(1 - (2 * n + f) / (a + b), 6) AS saved_share FROM (SELECT (SELECT count(*) FROM orders) AS a, (SELECT count(*) FROM ({TARGET})) AS b, (SELECT count(DISTINCT {HEX.format('md5(CAST(o_orderkey AS VARCHAR))', 1)} >> 28) FROM orders) AS n, (SELECT count(*) FROM orders) + (SELECT count(*) FROM ({TARGET})) AS f)")
+def transfer_accounting(t):
+    source, target = sides(t)
+    a, b, levels = rec.descend(source, target, max_depth=1)
+    counts = source.agg(n_rows().alias("a")).crossJoin(target.agg(n_rows().alias("b"))).crossJoin(a.agg(n_rows().alias("c"))).crossJoin(b.agg(n_rows().alias("d"))).first()  # one row each
+    return rec.transfers(levels, F.lit(counts["a"]), F.lit(counts["b"]), F.lit(counts["c"] + counts["d"]))
+
+
+NEED, READS = (("r", "revenue"), ("s", "revenue"), ("s", "orders"), ("u", "x"), ("v", "x")), tuple((r, c, "orders", k) for r in "rs" for c, k in (("revenue", "o_totalprice"), ("revenue", "o_orderpriority"), ("orders", "o_orderpriority")))
+
+
+@tool("report:s explained:b causes:s", "SELECT * FROM (VALUES ('r', TRUE, 'orders.o_totalprice'), ('s', FALSE, 'orders.o_totalprice'), ('u', TRUE, 'orders'), ('v', FALSE, '')) v(report, explained, causes)")
+def report_explanations(t):
+    """What the differing cells explain: the status and price differ, the priority does not."""
+    make = t("region").sparkSession.createDataFrame
+    found = cells(t).select(F.lit("orders").alias("table_name"), F.col("column_name").alias("source_column")).distinct()
+    lineage = make(list(READS), "report string, column_name string, table_name string, source_column string")
+    out = rec.explained(make(list(NEED), "report string, column_name string"), lineage, make([("u", "orders"), ("v", "tickets")], "report string, table_name string"), found)
+    return out.withColumn("causes", F.array_join("causes", ","))
+
+
+@tool("wall:z first:z second:z", "SELECT * FROM (VALUES (TIMESTAMP '2025-01-15 12:00:00', TIMESTAMP '2025-01-15 17:00:00', NULL), (TIMESTAMP '2025-07-01 14:00:00', TIMESTAMP '2025-07-01 18:00:00', NULL), (TIMESTAMP '2025-11-02 01:30:00', TIMESTAMP '2025-11-02 05:30:00', TIMESTAMP '2025-11-02 06:30:00')) v(wall, first, second)")
+def tz_both_folds(t):
+    """The instants that a wall clock time in New York can mean: two in the hour that the clocks repeat."""
+    rows = t("region").sparkSession.createDataFrame([("2025-01-15 12:00:00",), ("2025-07-01 14:00:00",), ("2025-11-02 01:30:00",)], "w string").select(F.col("w").cast("timestamp").alias("wall"))
+    one, two = rec.other_fold(F.col("wall"), "America/New_York")
+    return rows.select("wall", F.least(one, F.coalesce(two, one)).alias("first"), F.when(two.isNotNull(), F.greatest(one, two)).alias("second"))
+
+
 @tool("segment:l n_rows:l h1:l h2:l", f"SELECT {HEX.format('md5(CAST(o_orderkey AS VARCHAR))', 1)} >> 24 AS segment, count(*) AS n_rows, sum({HEX.format(f'md5({TEXT})', 1)}) AS h1, sum({HEX.format(f'md5({TEXT})', 9)}) AS h2 FROM ({SOURCE}) GROUP BY ALL")
 def segment_summary(t):
     return rec.summary(sides(t)[0], 2)
@@ -435,6 +471,13 @@ def burst_billing(t):
     return cost.bill(cost.bursts(jobs(t), "event_type", "start", "event_id", "ms", 300_000), "event_type", "ms", 300_000, 60, 3.0)
 
 
+@tool("event_id:l usd:d", f"SELECT event_id, CAST(u + CASE WHEN row_number() OVER (PARTITION BY event_type, burst ORDER BY ms DESC, event_id) = 1 THEN pool - sum(u) OVER (PARTITION BY event_type, burst) ELSE 0 END AS DOUBLE) / 1e12 AS usd FROM (SELECT *, f + CASE WHEN 2 * r > w OR (2 * r = w AND f % 2 = 1) THEN 1 ELSE 0 END AS u FROM (SELECT *, (pool * ms) // w AS f, (pool * ms) % w AS r FROM (SELECT x.event_type, x.burst, x.event_id, CAST(x.ms AS HUGEINT) AS ms, CAST(b.w AS HUGEINT) AS w, CAST(round(b.usd * 1e6) AS HUGEINT) * 1000000 AS pool FROM ({BURST}) x JOIN (SELECT event_type, burst, sum(ms) AS w, round(greatest(60, CAST(ceil((max(end_ms) - min(end_ms - ms) + 300000) / 1000) AS BIGINT)) * 3.0 / 3600, 6) AS usd FROM ({BURST}) GROUP BY event_type, burst) b USING (event_type, burst))))")
+def burst_shares(t):
+    rows = jobs(t).select(F.col("event_type").alias("warehouse"), F.col("event_id").alias("query_id"), "start", "ms")
+    runs = cost.bursts(rows, "warehouse", "start", "query_id", "ms", 300_000)
+    return cost.burst_shares(runs, cost.bill(runs, "warehouse", "ms", 300_000, 60, 3.0)).withColumnRenamed("query_id", "event_id")
+
+
 @tool("o_orderkey:l billed_bytes:l usd:d", "SELECT l_orderkey AS o_orderkey, sum(greatest(l_partkey * 100000, 10485760)) AS billed_bytes, round(billed_bytes * 6.25 / 1099511627776.0, 9) AS usd FROM lineitem GROUP BY ALL")
 def scan_pricing(t):
     logs = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.col("l_partkey") * 100_000).alias("bytes"))
@@ -539,9 +582,10 @@ def incident_mttr(t):
     return rows.withColumn("severity", F.coalesce("severity", F.lit("all")))
 
 
-@tool("event_id:l previous:l", f"SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY opened_at, event_id) AS previous FROM ({ALERTS})")
+@tool("event_id:l root:s previous:l", f"SELECT event_id, concat('m', CAST(user_id % 10 AS VARCHAR)) AS root, lag(event_id) OVER (PARTITION BY user_id % 10 ORDER BY opened_at, event_id) AS previous FROM ({ALERTS})")
 def previous_incident(t):
-    return alerts(t).withColumn("previous", F.lag("event_id").over(W.partitionBy("user_id").orderBy("opened_at", "event_id")))
+    rows = alerts(t).withColumn("root", F.concat(F.lit("m"), (F.col("user_id") % 10).cast("string")))
+    return rows.withColumn("previous", F.lag("event_id").over(W.partitionBy("root").orderBy("opened_at", "event_id")))
 
 
 @tool("week:s user_id:l alerts:l", f"SELECT strftime(opened_at, '%G-W%V') AS week, user_id, count(*) AS alerts FROM ({ALERTS}) GROUP BY ALL")

@@ -118,6 +118,21 @@ def storage(table_name: str, rows: DataFrame) -> DataFrame:
     return files.agg(F.lit(table_name).alias("table_name"), F.count(F.lit(1)).alias("files"), F.sum("n").alias("rows"), F.sum("b").alias("bytes"))
 
 
+def at_month_end(snapshots: DataFrame) -> DataFrame:
+    """month, table_name, rows, bytes: of daily snapshots (day, table_name, rows, bytes) each month's last."""
+    last = F.max(F.struct("day", "rows", "bytes"))
+    return snapshots.groupBy(F.date_format("day", "yyyy-MM").alias("month"), "table_name").agg(last.alias("_l")).select("month", "table_name", "_l.rows", "_l.bytes")
+
+
+def catalogue(text: DataFrame) -> DataFrame:
+    """table_name, column_name, type of a build's catalogue (``value``): nodes and sources with their columns."""
+    entry = "map<string, struct<metadata: struct<schema: string, name: string>, columns: map<string, struct<name: string, type: string>>>>"
+    found = text.select(F.from_json("value", f"nodes {entry}, sources {entry}").alias("c"))
+    every = found.select(F.explode(F.flatten(F.array(*[F.coalesce(F.map_values(f"c.{k}"), F.array()) for k in ("nodes", "sources")]))).alias("n"))
+    rows = every.select(F.concat_ws(".", "n.metadata.schema", "n.metadata.name").alias("table_name"), F.explode(F.map_values("n.columns")).alias("x"))
+    return rows.select("table_name", F.lower("x.name").alias("column_name"), "x.type")
+
+
 def table_options(spark: SparkSession, options: Mapping[str, tuple[Sequence[str], str]]) -> DataFrame:
     """table_name, sorting_key, engine of tables, as they are built."""
     rows = [(t, ", ".join(key), engine) for t, (key, engine) in sorted(options.items())]

@@ -133,7 +133,9 @@ def renamed(rows: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def frozen(reports: Mapping[str, DataFrame], folder: str, threads: int = 4) -> dict[str, str]:
-    """Write reports, which all read one snapshot of files, at the same time. name: path."""
+    """Write reports, which all read one snapshot of files, at the same time, the largest first. name: path."""
+    of = lambda name: int(reports[name]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    reports = {name: reports[name] for name in sorted(reports, key=of, reverse=True)}
     paths = {name: f"{folder.rstrip('/')}/{name}" for name in reports}
     with ThreadPoolExecutor(threads) as pool:
         list(pool.map(lambda name: reports[name].write.mode("overwrite").parquet(paths[name]), reports))

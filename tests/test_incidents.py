@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.operators import graph, incidents, reconcile
+from lakeloom.operators import cost, graph, incidents, reconcile
 from lakeloom.sources import artifacts, tables
 
 AT = datetime(2026, 3, 2, 2)
@@ -189,3 +189,29 @@ def test_replace_keeps_the_old_table_when_the_job_fails(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
     tables.replace(spark.read.parquet(path).where("n > 2"), path)
     assert sorted(r.n for r in spark.read.parquet(path).collect()) == [3, 4]
+
+
+def test_snapshots_catalogues_and_pricing(spark):
+    days = spark.createDataFrame([("2026-01-30", "a", 1, 10), ("2026-01-31", "a", 2, 20), ("2026-02-03", "a", 3, 30)], "d string, table_name string, rows long, bytes long").select(F.to_date("d").alias("day"), "table_name", "rows", "bytes")
+    assert {tuple(r) for r in artifacts.at_month_end(days).collect()} == {("2026-01", "a", 2, 20), ("2026-02", "a", 3, 30)}
+    text = json.dumps({"nodes": {"n": {"metadata": {"schema": "marts", "name": "t"}, "columns": {"A": {"name": "A", "type": "INT"}}}}, "sources": {}})
+    assert [tuple(r) for r in artifacts.catalogue(spark.createDataFrame([(text,)], "value string")).collect()] == [("marts.t", "a", "INT")]
+    at = lambda s: datetime(2026, 1, 5, 2) + timedelta(seconds=s)
+    records = spark.createDataFrame([("q1", "dbt", at(0), 500), ("q2", "adhoc", at(0), 3000), ("q3", "adhoc", at(0), 2000), ("q4", "adhoc", at(900), 1000)], "query_id string, actor_type string, started_at timestamp, modeled_ms long")
+    model = cost.WarehousePricing({"dbt": "build", "adhoc": "people"}, idle_ms=300_000, usd_per_hour=3600.0)
+    usd = {r.query_id: float(r.usd) for r in model.price(records).collect()}
+    assert usd == {"q1": 301.0, "q2": 183.0, "q3": 122.0, "q4": 301.0}
+    scans = spark.createDataFrame([("q1", [1 << 40, 5])], "query_id string, table_bytes array<long>")
+    assert round(cost.ScanPricing().price(scans).first().usd, 6) == round(6.25 * (1 + (10 << 20) / (1 << 40)), 6)
+
+
+def test_a_connector_compares_as_of_a_watermark(spark):
+    rules = {"id": reconcile.Rule("int"), "x": reconcile.Rule("text")}
+    old = spark.createDataFrame([(i, f"v{i}", AT) for i in range(200)], "id long, x string, at timestamp")
+    new = old.where("id <> 7").unionByName(spark.createDataFrame([(7, "new", AT + timedelta(hours=2)), (900, "late", AT + timedelta(hours=2))], "id long, x string, at timestamp"))
+    mark = F.lit(AT + timedelta(hours=1))
+    source, target = reconcile.TableConnector(new, ["id"], rules, "at", mark), reconcile.TableConnector(old, ["id"], rules)
+    differ = reconcile.differing(source.summary(1), target.summary(1))
+    found = reconcile.row_differences(source.fetch(1, differ), target.fetch(1, differ))
+    assert [(r.row_key, r.kind) for r in found.collect()] == [("7", "extra")]
+    assert [(r.row_key, r.kind) for r in reconcile.without_in_flight(found, source.keys_after(mark)).collect()] == [("7", "in_flight")]
