@@ -52,17 +52,13 @@ PARTS, WRONGLY = 4, 0.01
 CHANCE = 0.001
 FOLDS, HELD_OUT = 3, 1
 LOW, HIGH = -10, 30  # differences beyond count as these
+MIN_MATCH, KNOWN_WORDS = 5, 400_000
 
 WORD = re.compile(r"\w+")
 #: The compressor starts no match in a window's last bytes, so each window ends with these.
 TAIL = b" \0\1\2\3\4\5\6\7"
 
 
-def windows(text: str, n: int = WINDOW_WORDS) -> list[bytes]:
-    words = WORD.findall(text.lower())
-    return [b" " + " ".join(words[i : i + n]).encode() + TAIL for i in range(0, len(words), n)]
-
-
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
@@ -87,28 +83,47 @@ def sums(evidence: np.ndarray, drift: float) -> tuple[float, float]:
 
 
 class Distance:
-    """Compressed lengths under both dictionaries."""
+    """Compressed lengths under both dictionaries.
+
+    The toxic dictionary goes on where the ordinary one ends. Only a window that shares ``MIN_MATCH`` bytes with what it
+    has more can be shortened by it; all others have the difference 0 and are not compressed. Words are judged once
+    (``KNOWN_WORDS`` are remembered)."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = self._compressor(ordinary), self._compressor(toxic)
+        more = toxic[max(0, len(ordinary) - 1) :]
+        self.grams = {more[i : i + MIN_MATCH] for i in range(len(more) - MIN_MATCH + 1)}
+        self.known: dict[str, bool] = {}
 
     @staticmethod
     def _compressor(content: bytes):
         size = 18
         p = zstandard.ZstdCompressionParameters(
-            window_log=22, hash_log=size, chain_log=size, search_log=9, min_match=5, target_length=64,
+            window_log=22, hash_log=size, chain_log=size, search_log=9, min_match=MIN_MATCH, target_length=64,
             strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=p)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
+    def _touches(self, word: str) -> bool:
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+        raw = f" {word} ".encode()
+        out = self.known[word] = any(raw[i : i + MIN_MATCH] in self.grams for i in range(len(raw) - MIN_MATCH + 1))
+        return out
+
     def of(self, text: str) -> np.ndarray:
         """The differences of a text's windows, as places from LOW to HIGH."""
-        ws = windows(text)
-        a = np.fromiter((len(self.ordinary(w)) for w in ws), np.int64, len(ws))
-        b = np.fromiter((len(self.toxic(w)) for w in ws), np.int64, len(ws))
-        return np.clip(a - b, LOW, HIGH) - LOW
+        words = WORD.findall(text.lower())
+        out = np.full(-(-len(words) // WINDOW_WORDS), -LOW)
+        touched = list(map(self.known.get, words))
+        if None in touched:
+            touched = [self._touches(w) if t is None else t for w, t in zip(words, touched, strict=True)]
+        for k in sorted({i // WINDOW_WORDS for i, t in enumerate(touched) if t}):
+            w = b" " + " ".join(words[k * WINDOW_WORDS : (k + 1) * WINDOW_WORDS]).encode() + TAIL
+            out[k] = min(max(len(self.ordinary(w)) - len(self.toxic(w)), LOW), HIGH) - LOW
+        return out
 
 
 def dictionary(words: list[str]) -> bytes:
