@@ -89,6 +89,11 @@ def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def id_text(column: str = "doc_id"):
+    """An id as text: pandas would turn a column of longs that holds a null into doubles and lose digits."""
+    return F.col(column).cast("long").cast("string")
+
+
 def whole_text(column: str = "text"):
     """The text with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

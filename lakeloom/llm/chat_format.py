@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import materialise, partitions, table, whole_text
+from lakeloom.llm._util import id_text, materialise, partitions, table, whole_text
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, opens) for r in range(3) for opens in (True, False)]
@@ -138,9 +138,15 @@ def fit(turns: DataFrame) -> Model:
     return Model(start, step, emit)
 
 
+def plain_ids(rows: pd.DataFrame) -> pd.DataFrame:
+    """The ids as plain objects: text, or None."""
+    return rows.assign(conv_id=pd.Series([None if pd.isna(c) else str(c) for c in rows["conv_id"]], index=rows.index, dtype=object))
+
+
 def parse(turns: DataFrame, model: Model) -> DataFrame:
     """Canonical turns of raw transcripts (conv_id, turn, text): conv_id, turn, role, n_lines, rendered."""
-    rows = materialise(lines(turns).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS)), "chat-lines")
+    named = turns.withColumn("conv_id", id_text("conv_id"))
+    rows = materialise(lines(named).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS)), "chat-lines")
     buckets = 2 * max(partitions(turns.sparkSession), rows.count() // LINES_PER_BUCKET)  # so that a bucket's size is the same at any input
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "block"), F.lit(buckets)).cast("int"))
     order, key = ["conv_id", "block", "turn", "_nth", "_at"], ["conv_id", "block"]
@@ -151,9 +157,7 @@ def parse(turns: DataFrame, model: Model) -> DataFrame:
 
     def reduce(part: pd.DataFrame) -> pd.DataFrame:
         out = [(c, b, model.weights(g["code"].to_numpy()).reshape(-1).tolist()) for (c, b), g in blocks(part)]
-        out = pd.DataFrame(out, columns=["conv_id", "block", "weights"])
-        out["conv_id"] = pd.array(out["conv_id"], dtype="Int64")
-        return out
+        return plain_ids(pd.DataFrame(out, columns=["conv_id", "block", "weights"]))
 
     def chain(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -173,8 +177,8 @@ def parse(turns: DataFrame, model: Model) -> DataFrame:
                 last.append(int(c[last[-1]]))
             last.reverse()
             out += [(conv, b, None if i == 0 else last[i - 1], x) for i, (b, x) in enumerate(zip(g["block"], last, strict=True))]
-        out = pd.DataFrame(out, columns=["conv_id", "block", "before", "last"])
-        for c in ("conv_id", "before", "last"):
+        out = plain_ids(pd.DataFrame(out, columns=["conv_id", "block", "before", "last"]))
+        for c in ("before", "last"):
             out[c] = pd.array(out[c], dtype="Int64")
         return out
 
@@ -189,24 +193,22 @@ def parse(turns: DataFrame, model: Model) -> DataFrame:
         out["first"] = starts
         return out
 
-    weights = rows.groupBy("bucket").applyInPandas(first, "conv_id long, block long, weights array<double>, first array<double>")
+    weights = rows.groupBy("bucket").applyInPandas(first, "conv_id string, block long, weights array<double>, first array<double>")
     conv_bucket = F.pmod(F.xxhash64("conv_id"), F.lit(buckets)).cast("int")
-    fixed = weights.withColumn("bucket", conv_bucket).groupBy("bucket").applyInPandas(chain, "conv_id long, block long, before int, last int")
+    fixed = weights.withColumn("bucket", conv_bucket).groupBy("bucket").applyInPandas(chain, "conv_id string, block long, before int, last int")
     fixed = fixed.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "block"), F.lit(buckets)).cast("int"))
 
     def label(part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        known = {(None if pd.isna(c) else int(c), b): (x, y) for c, b, x, y in zip(ends["conv_id"], ends["block"], ends["before"], ends["last"], strict=True)}
+        known = {(None if pd.isna(c) else c, b): (x, y) for c, b, x, y in zip(ends["conv_id"], ends["block"], ends["before"], ends["last"], strict=True)}
         out = []
         for (c, b), g in blocks(part):
-            before, last = known[None if pd.isna(c) else int(c), b]
+            before, last = known[None if pd.isna(c) else c, b]
             path = model.trace(g["code"].to_numpy(), None if pd.isna(before) else int(before), int(last))
             opens = np.array([STATES[s][1] for s in path])
             out.append(g.assign(role=[ROLES[STATES[s][0]] for s in path], own=np.cumsum(opens), line_no=np.arange(len(g))))
-        out = pd.concat(out)[["conv_id", "block", "own", "line_no", "role", "line"]]
-        out["conv_id"] = pd.array(out["conv_id"], dtype="Int64")
-        return out
+        return plain_ids(pd.concat(out)[["conv_id", "block", "own", "line_no", "role", "line"]])
 
-    labelled = rows.groupBy("bucket").cogroup(fixed.groupBy("bucket")).applyInPandas(label, "conv_id long, block long, own long, line_no long, role string, line string")
+    labelled = rows.groupBy("bucket").cogroup(fixed.groupBy("bucket")).applyInPandas(label, "conv_id string, block long, own long, line_no long, role string, line string")
     labelled = materialise(labelled, "chat-labels")
     opened = labelled.groupBy("conv_id", "block").agg(F.max("own").alias("_opened"))
     before = F.sum("_opened").over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
@@ -218,7 +220,7 @@ def parse(turns: DataFrame, model: Model) -> DataFrame:
     grouped = numbered.groupBy("conv_id", "turn").agg(head.alias("role"), F.count(F.lit(1)).alias("n_lines"), text.alias("_text"))
     name = F.lower(F.regexp_extract("_text", MARKER, 1))
     plain = F.when(name.isin(list(NAMES)), F.regexp_replace("_text", MARKER, "")).otherwise(F.col("_text"))
-    return grouped.select("conv_id", "turn", "role", "n_lines", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), plain, F.lit("\n<|end|>")).alias("rendered"))
+    return grouped.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "n_lines", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), plain, F.lit("\n<|end|>")).alias("rendered"))
 
 
 def op1_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import materialise, only, release, table, whole_text
+from lakeloom.llm._util import id_text, materialise, only, release, table, whole_text
 from lakeloom.llm.token_counts import byte_alphabet
 
 CAPACITY = 4096
@@ -108,13 +108,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
                 for k, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
                     rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
         release()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return source.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    source = docs.select(id_text().alias("doc_id"), whole_text().alias("text"))
+    out = source.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

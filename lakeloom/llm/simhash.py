@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import discard, materialise, table, whole_text
+from lakeloom.llm._util import discard, id_text, materialise, table, whole_text
 
 SHINGLE = 3
 RADIUS = 3
@@ -76,10 +76,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pd.array(batch["doc_id"], dtype="Int64"), "_fp": found.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "_fp": found.view(np.int64)})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return source.mapInPandas(run, "doc_id long, _fp long")
+    source = docs.select(id_text().alias("doc_id"), whole_text().alias("text"))
+    return source.mapInPandas(run, "doc_id string, _fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

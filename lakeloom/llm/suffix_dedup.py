@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import materialise, only, partitions, release, table, whole_text
+from lakeloom.llm._util import id_text, materialise, only, partitions, release, table, whole_text
 
 WINDOW = 50
 ANCHOR = 24
@@ -432,11 +432,12 @@ def removals(docs: DataFrame) -> DataFrame:
                     digest.update(raw[a:b])
                 rows.append((len(raw), removed, n, digest.hexdigest()))
             out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield out.assign(doc_id=pd.array(batch["doc_id"], dtype="Int64"))[["doc_id", *out.columns]]
+            yield out.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", *out.columns]]
 
     found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = found.select(F.col("_all.doc_id"), F.coalesce("_all.text", F.lit("")).alias("text"), "spans")
-    return found.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = found.select(id_text("_all.doc_id").alias("doc_id"), F.coalesce("_all.text", F.lit("")).alias("text"), "spans")
+    out = found.mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def remove_repeats(docs: DataFrame, least_left: int = 1) -> DataFrame:

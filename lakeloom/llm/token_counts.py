@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import only, release, table, whole_text
+from lakeloom.llm._util import id_text, only, release, table, whole_text
 
 LIMIT = 1024
 CACHE_CHUNKS = 700_000
@@ -260,8 +260,9 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
             )
         release()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return source.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
+    source = docs.select(id_text().alias("doc_id"), whole_text().alias("text"))
+    out = source.mapInPandas(run, "doc_id string, n_bytes long, n_tokens long, over_limit boolean, cut_chars long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm._util import only, release, table, whole_text
+from lakeloom.llm._util import id_text, only, release, table, whole_text
 
 WINDOW_WORDS = 3
 SAMPLE = {1: 2500, 0: 7500}
@@ -226,8 +226,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = of(list(batch["text"]))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": scores, "predicted": (scores >= THRESHOLD).astype("int32")})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    found = source.mapInPandas(run, "doc_id long, score double, predicted int")
+    source = docs.select(id_text().alias("doc_id"), whole_text().alias("text"))
+    found = source.mapInPandas(run, "doc_id string, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast("long"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -346,6 +347,19 @@ def test_toxicity_separates_held_out_documents(spark):
     assert toxicity.score(docs.select("doc_id", "text"), None).where("score > 0").isEmpty()
 
 
+def test_large_ids_stay_exact_beside_nulls(spark):
+    big = (1 << 62) + 1
+    docs = spark.createDataFrame([(big, "a text " * 20), (None, None), (3, "b")], "doc_id long, text string").coalesce(1)
+    ids = lambda rows, c="doc_id": sorted({str(r[c]) for r in rows.collect()})
+    want = sorted(["3", "None", str(big)])
+    for found in (token_counts.count_tokens(docs), toxicity.score(docs, None), simhash.near_duplicates(docs), packing.pack_documents(docs), suffix_dedup.removals(docs), sharding.sharded(docs) if hasattr(sharding, "sharded") else docs, shingle_dedup.representatives(docs)):
+        assert ids(found) == want
+    pages = docs.select("doc_id", "text").toDF("page_id", "html").withColumn("url", F.lit("http://a.example"))
+    assert ids(html_extraction.extract(pages), "page_id") == want
+    turns = chat_format.transcripts(spark.createDataFrame([(big, 0, "user", "hi"), (None, 0, "user", "ho"), (3, 0, "assistant", "x")], "conv_id long, turn long, role string, text string").coalesce(1))
+    assert ids(chat_format.parse(turns, chat_format.fit(turns)), "conv_id") == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(docs).isEmpty() and packing.pack_documents(docs).isEmpty() and sharding.shard_by_bytes(docs).isEmpty()
