@@ -503,3 +503,76 @@ def test_representatives_are_the_same_when_scans_are_split_anew(spark, layout, t
         kept = stage(docs)
         layout("64k", "64k", "16")
         assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def kept_bytes(rows):
+    """What suffix dedup leaves of (id, text) rows, by brute force."""
+    seen = {}
+    for d, t in rows:
+        raw = t.encode()
+        for i in range(len(raw) - 49):
+            seen[raw[i : i + 50]] = min(seen.get(raw[i : i + 50], d), d)
+    out = {}
+    for d, t in rows:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 49):
+            if seen[raw[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        left = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        if left or not any(gone):
+            out[d] = left.decode(errors="ignore")
+    return out
+
+
+def best_fit(lengths, capacity):
+    """How many sequences best-fit decreasing needs."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - n)
+    return len(gaps)
+
+
+def test_pipeline_run_equals_brute_force(spark, tmp_path):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(600)]
+    bad = ["".join(rng.choice("qrstuvwx") for _ in range(8)) for _ in range(30)]
+    say = lambda n, toxic=False: " ".join(rng.choice(bad) if toxic and rng.random() < 0.2 else rng.choice(words) for _ in range(n))
+    passage, item = say(70), " ".join(f"w{i}x" for i in range(20))
+    texts = [(say(rng.randint(20, 120), i % 5 == 0), int(i % 5 == 0)) for i in range(300)]
+    texts += [(texts[1][0], 0), (texts[2][0] + " end", 0), (f"{say(30)} {passage} {say(30)}", 0), (f"{say(40)} {passage} {say(9)}", 0), (f"{say(20)} {item} {say(9)}", 0), (None, 0), ("", 0)]
+    long = say(5000)  # longer than a sequence
+    texts.append((long, 0))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, (t, _) in enumerate(texts)], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    train = [(i, t or "", x) for i, (t, x) in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
+    train.sort(key=lambda r: (r[0] * 2654435761) % (1 << 32))
+    scores = toxicity.scorer(toxicity.fit([t for _, t, x in train if x], [t for _, t, x in train if not x]))([t or "" for t, _ in texts])
+    assert all((s >= 0.7) == bool(x) for s, (_, x) in zip(scores, texts, strict=True))
+    rows = [(i, t or "") for (i, (t, _)), s in zip(enumerate(texts), scores, strict=True) if s < 0.7]
+    group = shingle_groups([t for _, t in rows])
+    rows = [r for r, g in zip(rows, group, strict=True) if r[0] == min(x[0] for x, h in zip(rows, group, strict=True) if h == g)]
+    rows = [(d, t) for d, t in kept_bytes(rows).items() if not any(w in t for w in [" ".join(f"w{i}x" for i in range(k, k + 13)) for k in range(8)])]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    want = []
+    for d, t in rows:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        want += [(d, k, a, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096)) for p in [ids[a : a + 4096]]]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        p.sort()
+        assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 4096
+    assert len(places) == best_fit([n for *_, n, _ in want], 4096)
+    assert any(r.piece == 1 for r in got) and len(rows) < 250
