@@ -7,28 +7,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.session import shared_dir
+
 
 def stream_of(rows: DataFrame) -> DataFrame:
-    """The files behind a table as a file stream (a stream reads folders: a single file becomes a name filter)."""
-    spark, path = rows.sparkSession, rows.inputFiles()[0]
-    folder, name = path.rsplit("/", 1)
-    part = name.startswith("part-")
-    source = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet" if part else name)
-    return source.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    """The files behind a table as file streams, one for each folder that holds some (a stream reads folders: a single
+    file becomes a name filter)."""
+    folders: dict[str, list[str]] = {}
+    for path in rows.inputFiles():
+        folder, name = path.rsplit("/", 1)
+        folders.setdefault(folder, []).append(name)
+    out = None
+    for folder, names in sorted(folders.items()):
+        only = names[0] if len(names) == 1 and not names[0].startswith("part-") else "*.parquet"
+        part = rows.sparkSession.readStream.schema(rows.schema).option("pathGlobFilter", only).parquet(folder)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and give the table it wrote."""
+    """Run a stream over what is there now and give the table it wrote. In the complete mode every batch holds the whole
+    result, so the last one stays."""
     spark, base = stream.sparkSession, checkpoint_dir(stream.sparkSession)
     out, state = f"{base}/out", f"{base}/state"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        kept = 0 if mode == "complete" else number
+        batch.write.mode("overwrite").parquet(f"{out}/batch={kept}")  # a repeated batch replaces itself
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
