@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from lakeloom.llm.chat_format import op1_chat_hmm
 from lakeloom.llm.decontamination import op2_benchmark_decontamination
+from lakeloom.llm.filter_audit import OP11_SQL, op11_filter_audit
 from lakeloom.llm.html_extraction import op3_html_template_extraction
 from lakeloom.llm.packing import op10_best_fit_packing
 from lakeloom.llm.sharding import op4_histogram_sharding
@@ -31,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_filter_audit": op11_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_maxscore_top_k": OP7_SQL}
+    return {"op7_maxscore_top_k": OP7_SQL, "op11_filter_audit": OP11_SQL}
