@@ -14,6 +14,7 @@ from lakeloom.llm.html_extraction import op3_html_template_extraction
 from lakeloom.llm.packing import op10_best_fit_packing
 from lakeloom.llm.sharding import op4_histogram_sharding
 from lakeloom.llm.simhash import op9_simhash_near_dedup
+from lakeloom.llm.spelling import op13_spelling_variants
 from lakeloom.llm.suffix_dedup import op8_suffix_array_dedup
 from lakeloom.llm.token_counts import op5_token_counts
 from lakeloom.llm.topk import OP7_SQL, op7_maxscore_top_k
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_filter_audit": op11_filter_audit,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
