@@ -11,6 +11,7 @@ from lakeloom.llm.chat_format import op1_chat_hmm
 from lakeloom.llm.decontamination import op2_benchmark_decontamination
 from lakeloom.llm.filter_audit import OP11_SQL, op11_filter_audit
 from lakeloom.llm.html_extraction import op3_html_template_extraction
+from lakeloom.llm.minhash import op12_minhash_near_dedup
 from lakeloom.llm.packing import op10_best_fit_packing
 from lakeloom.llm.sharding import op4_histogram_sharding
 from lakeloom.llm.simhash import op9_simhash_near_dedup
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_filter_audit": op11_filter_audit,
+        "op12_minhash_near_dedup": op12_minhash_near_dedup,
         "op13_spelling_variants": op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
