@@ -13,10 +13,11 @@ Links are confirmed on whole sets, in whole numbers; a pair whose signatures dif
 of fixed size, so texts are never shuffled.
 
 No bucket is compared pair by pair. First each proposes its members against the one that stands in most buckets, which
-joins large groups. Buckets that still hold several components are compared whole if they have at most ``SMALL``
-members. Larger ones are filed again under the rarest shingles of each member, so many that two sets of 0.8 share one
-(the prefix of a set in order of frequency), which is exact; members that meet under one shingle are searched in
-blocks, as products of matrices, where over ``SMALL`` of them are left in several components.
+joins large groups. In buckets that still hold several components, members outside the largest are compared with all
+others if they are at most ``SMALL``. Otherwise the bucket is filed again under the rarest shingles of each member, so
+many that two sets of 0.8 share one (the prefix of a set in order of frequency), which is exact; where over ``SMALL`` of
+the members that meet under one shingle are outside its largest component, they are searched in blocks, as products of
+matrices.
 
 Defined results: a text without words has n_shingles 0 and is linked with nothing; repeated rows are linked; rows with a null
 ``doc_id`` are compared, and their component is null only if no member has an id (kept is true there); an empty table
@@ -148,11 +149,24 @@ def to_centres(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("_n").alias("_a"), F.col("_m").alias("_b"))
 
 
-def within_small(rows: DataFrame) -> DataFrame:
-    """The pairs of different components in buckets of at most ``SMALL`` members."""
-    mine = rows.where(F.col("_count") <= SMALL)
-    a, b = (mine.select("_bucket", F.col("_n").alias(n), F.col("_root").alias(f"_r{n}"), F.col("_size").alias(f"_z{n}")) for n in ("_a", "_b"))
-    return a.join(b, "_bucket").where((F.col("_a") < F.col("_b")) & (F.col("_r_a") != F.col("_r_b")) & alike_in_size("_z_a", "_z_b")).select("_a", "_b")
+def undecided(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members, with components, of buckets that hold several: _count of members, _main component of the most of them,
+    and _minority, how many are in others."""
+    rows = open_rows(members, label)
+    each = rows.groupBy("_bucket", "_root").agg(F.count(F.lit(1)).alias("_c"))
+    main = each.groupBy("_bucket").agg(F.max(F.struct("_c", "_root")).alias("_m"), F.sum("_c").alias("_all"))
+    main = main.select("_bucket", F.col("_m._root").alias("_main"), (F.col("_all") - F.col("_m._c")).alias("_minority"))
+    out = materialise(rows.join(main, "_bucket"), "minhash-undecided")
+    discard(rows)
+    return out
+
+
+def outside_main(rows: DataFrame) -> DataFrame:
+    """The pairs of different components in buckets of at most ``SMALL`` members outside the main component: as many as
+    ``SMALL`` a member at most, so linear in a bucket however large its main component."""
+    mine = rows.where(F.col("_minority") <= SMALL)
+    a, b = (mine.select("_bucket", "_main", F.col("_n").alias(n), F.col("_root").alias(f"_r{n}"), F.col("_size").alias(f"_z{n}")) for n in ("_a", "_b"))
+    return a.where(F.col("_r_a") != F.col("_main")).join(b.drop("_main"), "_bucket").where((F.col("_r_a") != F.col("_r_b")) & alike_in_size("_z_a", "_z_b")).select("_a", "_b")
 
 
 def refiled(large: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,20 +196,20 @@ def components_of(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> Data
     label = materialise(members.select("_n").distinct().withColumn("_root", F.col("_n")), "minhash-labels")
     found = confirmed(to_centres(members), nodes, sets)
     label = with_links(label, found)
-    rest = open_rows(members, label)
-    small = confirmed(within_small(rest), nodes, sets)
-    label = with_links(label, small)
-    large = rest.where(F.col("_count") > SMALL).select("_bucket", "_n", "_size")
+    rest = undecided(members, label)
+    few = confirmed(outside_main(rest), nodes, sets)
+    label = with_links(label, few)
+    large = rest.where(F.col("_minority") > SMALL).select("_bucket", "_n", "_size")
     if not large.isEmpty():
         again = materialise(refiled(large, sets), "minhash-refiled")
-        part = open_rows(again, label)
-        more = confirmed(within_small(part), nodes, sets)
+        part = undecided(again, label)
+        more = confirmed(outside_main(part), nodes, sets)
         label = with_links(label, more)
-        left = open_rows(part.where(F.col("_count") > SMALL).select("_bucket", "_n", "_size"), label)
+        left = open_rows(part.where(F.col("_minority") > SMALL).select("_bucket", "_n", "_size"), label)
         if not left.isEmpty():
             label = with_links(label, block_pairs(left, sets))
         discard(again, part, more, left)
-    discard(found, rest, small)
+    discard(found, rest, few)
     return label
 
 
