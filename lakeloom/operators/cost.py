@@ -7,9 +7,11 @@ from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lakeloom.operators import selection, timeline
+from lakeloom.session import stored
+
 UNIT = 10**12  # money is counted in whole units of 1e-12
 BIG = "decimal(38,0)"
 CONSUMERS = ("dashboard", "adhoc")
@@ -92,14 +94,11 @@ def share(rows: DataFrame, total: str, weight: str, by: Sequence[str], key: str,
 
 def bursts(queries: DataFrame, warehouse: str, started_ms: str, id: str, ms: str, idle_ms: int) -> DataFrame:
     """Adds end_ms and burst: queries of a warehouse run one after another, and a burst ends when none was submitted
-    within the idle time. Closed form of the queue: the end is the running time so far plus the largest excess of a
-    submission over the running time before it, so two window passes replace a sequential loop."""
-    order = W.partitionBy(warehouse).orderBy(started_ms, id)
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    rows = queries.withColumn("_c", F.sum(ms).over(so_far))
-    rows = rows.withColumn("end_ms", F.col("_c") + F.max(F.col(started_ms) - (F.col("_c") - F.col(ms))).over(so_far))
-    fresh = F.coalesce(F.col(started_ms) > F.lag("end_ms").over(order) + idle_ms, F.lit(True)).cast("int")
-    return rows.withColumn("_new", fresh).withColumn("burst", F.sum("_new").over(so_far)).drop("_c", "_new")
+    within the idle time. Queue and numbering are scans over time ranges, so a warehouse with all queries is spread over
+    tasks."""
+    rows = timeline.queued(queries, warehouse, started_ms, id, ms)
+    fresh = F.coalesce(F.col(started_ms) > F.col("_free") + idle_ms, F.lit(True))
+    return timeline.numbered_runs(rows, warehouse, started_ms, id, fresh, "burst").drop("_free")
 
 
 def bill(runs: DataFrame, warehouse: str, ms: str, idle_ms: int, least_seconds: int, usd_per_hour: float) -> DataFrame:
@@ -115,11 +114,6 @@ def scan_price(queries: DataFrame, id: str, table_bytes: str, least: int = 10 <<
     return each.withColumn("usd", F.round(F.col("billed_bytes") * usd_per_tib / float(1 << 40), 9))
 
 
-def p95(column: str) -> Column:
-    """Nearest rank."""
-    return F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column})")
-
-
 def two_figures_up(x: Column) -> Column:
     """Rounded up to two significant figures."""
     step = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(x.cast("double"))) - 1))
@@ -130,7 +124,10 @@ def quotas(reads: DataFrame, user: str, started_at: str, size: str, headroom: in
     """user, active_days, p95_daily, max_query, daily_quota, query_limit: some times the 95th percentile of a user's
     days and some times the largest single query, rounded up to two figures. ``reads`` has a row a query."""
     daily = reads.groupBy(F.col(user).alias("user"), F.to_date(started_at).alias("_day")).agg(F.sum(size).alias("_n"), F.max(size).alias("_max"))
-    rows = daily.groupBy("user").agg(F.count(F.lit(1)).alias("active_days"), p95("_n").alias("p95_daily"), F.max("_max").alias("max_query"))
+    daily = stored(daily, "daily-reads")
+    rows = daily.groupBy("user").agg(F.count(F.lit(1)).alias("active_days"), F.max("_max").alias("max_query"))
+    usual = selection.quantile(daily, ["user"], "_n", (95, 100)).select(F.col("user").alias("_user"), F.col("_n").alias("p95_daily"))
+    rows = rows.join(usual, F.col("user").eqNullSafe(F.col("_user"))).drop("_user")
     limit = lambda c: F.when(F.col(c) <= 0, F.lit(0).cast("long")).otherwise(two_figures_up(headroom * F.col(c)))
     return rows.withColumns({"daily_quota": limit("p95_daily"), "query_limit": limit("max_query")})
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions.money import boundaries, ratio
-from lakeloom.operators import cost, graph, incremental, quality
+from lakeloom.operators import bitmaps, cost, graph, incremental, quality, selection, timeline
 from lakeloom.operators import reconcile as rec
 from lakeloom.plans.oracle import COLUMNS, SQL
+from lakeloom.session import stored
 
 Plan = Callable[[Callable[[str], DataFrame]], DataFrame]
 TOOLS: dict[str, tuple[Plan, str, str | None]] = {}
@@ -61,19 +63,36 @@ def spine_left_join(t):
 
 @tool("purchase_id:l touch_id:l", "SELECT p.event_id AS purchase_id, c.event_id AS touch_id FROM events p JOIN events c ON c.user_id = p.user_id AND c.ts <= p.ts AND c.ts > p.ts - INTERVAL 7 DAYS WHERE p.event_type = 'purchase' AND c.event_type = 'click' QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY c.ts DESC, c.event_id DESC) = 1")
 def asof_last_touch(t):
-    """Last click within 7 days before each purchase. Clicks and purchases of one user are laid on one time line and
-    the last click is carried forward: a window over the union, so a busy user costs n log n and not n squared."""
-    rows = t("events").where("event_type IN ('purchase', 'click')").withColumn("_click", F.col("event_type") == "click")
-    touch = F.when(F.col("_click"), F.struct("ts", "event_id"))
-    order = W.partitionBy("user_id").orderBy("ts", F.desc("_click"), "event_id").rowsBetween(W.unboundedPreceding, 0)
-    seen = rows.withColumn("_last", F.last(touch, ignorenulls=True).over(order)).where(~F.col("_click"))
+    """Last click within 7 days before each purchase: clicks and purchases of a user on one time line, on which the last
+    click is carried forward over the borders of time ranges, so a busy user is spread over tasks."""
+    rows = t("events").where("event_type IN ('purchase', 'click')").select("user_id", "ts", "event_id", (F.col("event_type") != "click").alias("_asks"))
+    rows = rows.withColumn("_touch", F.when(~F.col("_asks"), F.struct("ts", "event_id")))
+    seen = timeline.carried(rows, ["user_id"], ["ts", "_asks", "event_id"], "_touch", "_last").where("_asks")
     fresh = F.col("_last.ts") > F.col("ts") - F.expr("INTERVAL '7' DAY")
     return seen.where(fresh).select(F.col("event_id").alias("purchase_id"), F.col("_last.event_id").alias("touch_id"))
 
 
 @tool("event_type:s p95:d", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL")
 def agg_p95(t):
-    return t("events").groupBy("event_type").agg(cost.p95("value").alias("p95"))
+    return selection.quantile(t("events").select("event_type", "value"), ["event_type"], "value", (95, 100)).withColumnRenamed("value", "p95")
+
+
+@tool("event_type:s middle:d", "SELECT event_type, median(value) AS middle FROM events GROUP BY ALL")
+def agg_median(t):
+    return selection.median(t("events").select("event_type", "value"), ["event_type"], "value").withColumnRenamed("value", "middle")
+
+
+PERIODS = "SELECT 'day' AS grain, CAST(ts AS DATE) AS period, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY ALL UNION ALL SELECT 'week', CAST(date_trunc('week', ts) AS DATE), event_type, count(DISTINCT user_id) FROM events GROUP BY ALL UNION ALL SELECT 'month', CAST(date_trunc('month', ts) AS DATE), event_type, count(DISTINCT user_id) FROM events GROUP BY ALL UNION ALL SELECT 'all', NULL, NULL, count(DISTINCT user_id) FROM events"
+
+
+@tool("grain:s period:t event_type:s n:l", PERIODS)
+def agg_distinct_rollup(t):
+    """Users by day, week and month and in all, from one table of bits a day."""
+    days = stored(bitmaps.daily(t("events"), ["event_type"], F.to_date("ts"), "user_id"), "daily-users")
+    grains = {"day": F.col("day"), "week": F.trunc("day", "week"), "month": F.trunc("day", "month")}
+    parts = [bitmaps.rolled(days, ["event_type"], period).select(F.lit(grain).alias("grain"), "period", "event_type", "n") for grain, period in grains.items()]
+    every = bitmaps.rolled(days, [], F.lit(None).cast("date"))
+    return reduce(DataFrame.unionAll, parts).unionByName(every.select(F.lit("all").alias("grain"), "period", F.lit(None).cast("string").alias("event_type"), "n"))
 
 
 @tool("o_orderpriority:s F:l O:l P:l", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY ALL")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.functions.money import avg_half_up, boundaries, period, ratio
+from lakeloom.operators import timeline
 from lakeloom.sources.company import RAW, country_codes, latest, raw
 
 MODELS: dict[str, Callable[[Warehouse], DataFrame]] = {}
@@ -243,13 +244,13 @@ def touches(w):
 
 
 def last_touch(w, days: int):
-    """The last touch of each order within some days: orders and sessions of a person in one sequence, in which every
-    order sees the newest session before it. Linear in a person's rows, where a join would pair them all."""
+    """The last touch of each order within some days: orders and sessions of a person on one time line, on which the
+    newest session is carried forward. Linear in a person's rows, where a join would pair them all, and a person with
+    many of them is spread over time ranges."""
     touch = F.struct(*TOUCH).alias("_t")
-    marks = touches(w).select("canonical_customer_id", F.col("touch_at").alias("_at"), F.col("touch_session_id").alias("_id"), touch, F.lit(None).alias("_o"))
-    asks = sold_orders(w).select("canonical_customer_id", F.col("ordered_at").alias("_at"), F.lit(None).alias("_id"), F.lit(None).alias("_t"), F.struct("order_id", "ordered_at", "net_amount").alias("_o"))
-    order = W.partitionBy("canonical_customer_id").orderBy("_at", F.col("_id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    seen = marks.unionByName(asks).withColumn("_last", F.last("_t", ignorenulls=True).over(order)).where("_o IS NOT NULL")
+    marks = touches(w).select("canonical_customer_id", F.col("touch_at").alias("_at"), F.lit(False).alias("_asks"), F.col("touch_session_id").alias("_id"), touch, F.lit(None).alias("_o"))
+    asks = sold_orders(w).select("canonical_customer_id", F.col("ordered_at").alias("_at"), F.lit(True).alias("_asks"), F.col("order_id").alias("_id"), F.lit(None).alias("_t"), F.struct("order_id", "ordered_at", "net_amount").alias("_o"))
+    seen = timeline.carried(marks.unionByName(asks), ["canonical_customer_id"], ["_at", "_asks", "_id"], "_t", "_last").where("_asks")
     return seen.where(F.col("_last.touch_at") > F.col("_at") - F.expr(f"INTERVAL '{days}' DAY")).select("_o.*", "_last.*")
 
 
