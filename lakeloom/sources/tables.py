@@ -85,15 +85,6 @@ def seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def jdbc_range(spark: SparkSession, url: str, table: str, changed_at: str, since: str | None, until: str, key: str, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
-    """Rows of a database table changed in (since, until]. The range is a filter that the database runs; with bounds of
-    the numeric key the read is dealt over ``parts`` connections."""
-    rows = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
-    if bounds:
-        rows = rows.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    return changed_range(rows.load(), changed_at, since, until)
-
-
 def changed_range(rows: DataFrame, changed_at: str, since: str | None, until: str) -> DataFrame:
     at = lambda s: F.lit(s).cast(rows.schema[changed_at].dataType)
     upper = F.col(changed_at) <= at(until)
