@@ -7,9 +7,11 @@ around each hit the words are compared position by position: an overlap is a win
 which ``AGREE`` or more are equal. An item of ``SHORTEST`` to 12 words overlaps where all its words stand in a row;
 its mask is the whole item.
 
-A benchmark of up to ``HASHES`` hashes and ``WORDS`` words is broadcast, and the comparison happens in the row that
-holds the document's words, so documents are never shuffled. A larger one is joined by shuffling the hashes, and only
-documents with a hit are compared. Either way every document is read for all hashes at once.
+A benchmark of up to ``HASHES`` hashes is broadcast; a larger one is joined by shuffling the hashes. Either way every
+document is read for all hashes at once, and once more for its words if it has a hit. Hits are gathered per document and
+item, and each pair is compared once at every shift that a hit stands for, in the row that holds the document's words; at
+all shifts if the two repeat words so often that hits outnumber them. Up to ``FOUND`` such pairs are broadcast, so texts
+are shuffled only beyond that.
 
 Only DataFrame expressions are used. Defined results: null or empty texts, and texts or items of fewer words than
 that, overlap nothing; repeated rows give one result row; a null ``doc_id`` or ``item_id`` is kept as such; an empty
@@ -27,8 +29,9 @@ WINDOW = 13
 AGREE = 11
 MASKS = ((0, 1, 2, 3, 5, 8), (0, 3, 4, 6, 7, 8))
 SHORTEST = 5
-#: Bounds of what is broadcast: hashes (24 bytes each), words of items (8 bytes each), rows found (16 bytes each).
-HASHES, WORDS, FOUND = 500_000, 1_000_000, 500_000
+#: Bounds of what is broadcast: places of hashes (24 bytes each), rows found (16 bytes each), and the words and shifts
+#: beside them (8 bytes each).
+HASHES, FOUND, NUMBERS = 500_000, 500_000, 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -57,38 +60,60 @@ def seeds(h: Column, short: list[int], item: bool = False) -> Column:
     return F.concat(*[of(*x) for x in spans(F.size(h), short)])
 
 
-def place(at: Column, h: Column, short: list[int]) -> Column:
-    """The word position of the seed at an index of ``seeds`` (of a document)."""
+def place(at: Column, size: Column, short: list[int]) -> Column:
+    """The word position of the seed at an index of ``seeds`` (of a document of ``size`` words)."""
     out, before = None, F.lit(0)
-    for _, _, n in spans(F.size(h), short):
+    for _, _, n in spans(size, short):
         out = F.when(at < before + n, at - before) if out is None else out.when(at < before + n, at - before)
         before = before + n
     return out.cast("int")
 
 
+def hit_shifts(hits: DataFrame) -> DataFrame:
+    """doc_id, text_hash, _key, _shifts: at which shifts (the document's word less the item's) to compare. Comes from
+    hits (doc_id, text_hash, _n words, _key, _m words, _seed, _p, and _q, all places of the seed in the item). A seed that
+    two texts repeat would give every pair of its places; if those are more than there are shifts, all shifts are taken,
+    which finds the same overlaps."""
+    seeds = hits.groupBy("doc_id", "text_hash", "_n", "_key", "_m", "_seed").agg(F.collect_set("_p").alias("_ps"), F.first("_q").alias("_q"))
+    often = F.size("_ps").cast("long") * F.size("_q") > F.col("_n") + F.col("_m")
+    pairs = F.flatten(F.transform("_ps", lambda p: F.transform("_q", lambda q: p - q)))
+    seeds = seeds.select("doc_id", "text_hash", "_n", "_key", "_m", often.alias("_often"), F.when(~often, pairs).alias("_pairs"))
+    found = seeds.groupBy("doc_id", "text_hash", "_n", "_key", "_m").agg(F.max("_often").alias("_often"), F.array_distinct(F.flatten(F.collect_list("_pairs"))).alias("_some"))
+    every = F.sequence(1 - F.col("_m"), F.col("_n") - 1)
+    return found.select("doc_id", "text_hash", "_key", F.when(F.col("_often") | (F.size("_some") > F.col("_n") + F.col("_m")), every).otherwise(F.col("_some")).alias("_shifts"))
+
+
 def compared(hit: DataFrame) -> DataFrame:
-    """Overlaps of hits (doc_id, text_hash, _h, _item, _w, _shift: the document's word less the item's)."""
-    shift = F.col("_shift")
-    lo = F.greatest(F.lit(0), -shift)
-    n = F.least(F.size("_w"), F.size("_h") - shift) - lo
-    window = F.least(F.size("_w"), F.lit(WINDOW))
-    hits = hit.select("doc_id", "text_hash", "_item", (lo + shift).alias("_from"), window.alias("_win"), F.slice("_h", lo + shift + 1, n).alias("_a"), F.slice("_w", lo + 1, n).alias("_b"))
-    equal = F.zip_with("_a", "_b", lambda a, b: (a == b).cast("int"))
-    hits = hits.where(F.size("_a") >= F.col("_win")).select("doc_id", "text_hash", "_item", "_from", "_win", equal.alias("_e"))
-    need = F.when(F.col("_win") == WINDOW, AGREE).otherwise(F.col("_win"))
-    good = F.filter(
-        F.sequence(F.lit(1), F.size("_e") - F.col("_win") + 1),
-        lambda i: F.aggregate(F.slice("_e", i, F.col("_win")), F.lit(0), lambda s, x: s + x) >= need,
-    )
-    hits = hits.select("doc_id", "text_hash", "_item", "_from", good.alias("_good"))
-    found = hits.groupBy("doc_id", "text_hash", F.col("_item").alias("item_id")).agg(
-        F.min(F.col("_from") + F.get("_good", F.lit(0)) - 1).cast("long").alias("first_word"),
-        F.max(F.size("_good")).cast("long").alias("n_windows"),
+    """Overlaps of hits (doc_id, text_hash, _item, _h, _w, _shifts). One row compares one document with one item, so a
+    document's words stand once beside all their shifts."""
+    hit = hit.withColumn("_win", F.least(F.size("_w"), F.lit(WINDOW)))
+    hit = hit.withColumn("_need", F.when(F.col("_win") == WINDOW, AGREE).otherwise(F.col("_win"))).withColumn("_span", F.pow(F.lit(2), F.col("_win")).cast("int"))
+
+    def equal(shift: Column) -> Column:
+        lo = F.greatest(F.lit(0), -shift)
+        n = F.greatest(F.lit(0), F.least(F.size("_w"), F.size("_h") - shift) - lo)
+        return F.zip_with(F.slice("_h", lo + shift + 1, n), F.slice("_w", lo + 1, n), lambda a, b: (a == b).cast("int"))
+
+    def step(s: Column, bit: Column) -> Column:
+        """One word on: the last words' agreement as bits, how many words, the first good window's end, good windows."""
+        bits, at = (s["bits"] * 2 + bit) % F.col("_span"), s["at"] + 1
+        good = (at >= F.col("_win")) & (F.bit_count((s["bits"] * 2 + bit) % F.col("_span")) >= F.col("_need"))
+        return F.struct(bits.cast("int").alias("bits"), at.alias("at"), F.when(good & (s["n"] == 0), at).otherwise(s["first"]).alias("first"), (s["n"] + good.cast("int")).alias("n"))
+
+    def windows(shift: Column) -> Column:
+        start = F.struct(*[F.lit(0).alias(c) for c in ("bits", "at", "first", "n")])
+        return F.aggregate(equal(shift), start, step, lambda s: F.struct((F.greatest(shift, F.lit(0)) + s["first"] - F.col("_win")).alias("first"), s["n"].alias("n")))
+
+    rows = hit.select("doc_id", "text_hash", "_item", F.transform("_shifts", windows).alias("_found"))
+    rows = rows.select("doc_id", "text_hash", "_item", F.filter("_found", lambda x: x["n"] > 0).alias("_found"))
+    found = rows.groupBy("doc_id", "text_hash", F.col("_item").alias("item_id")).agg(
+        F.min(F.array_min(F.transform("_found", lambda x: x["first"]))).cast("long").alias("first_word"),
+        F.max(F.array_max(F.transform("_found", lambda x: x["n"]))).cast("long").alias("n_windows"),
     )
-    return found.where(F.col("n_windows") > 0)  # after the grouping, so that the filter is not computed on its own
+    return found.where(F.col("n_windows") > 0)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, most_hashes: int = HASHES, most_words: int = WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, most_hashes: int = HASHES, most_found: int = FOUND) -> DataFrame:
     """Verified overlaps: doc_id, text_hash (of the row's text), item_id, first_word (in the document), n_windows."""
     items = benchmark.select(F.col("item_id").alias("_item"), whole_text().alias("_t")).distinct()
     items = items.select("_item", F.xxhash64("_item", "_t").alias("_key"), words(F.col("_t")).alias("_w")).where(F.size("_w") >= SHORTEST)
@@ -96,21 +121,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_hashes: int = HASHES, m
     short = sorted(r["n"] for r in items.select(F.size("_w").alias("n")).where(F.col("n") < WINDOW).distinct().collect())  # 8 numbers at most
     hashes = items.select("_key", "_w", F.posexplode(seeds(F.col("_w"), short, item=True)).alias("_at", "_seed"))
     own = F.when(F.size("_w") < WINDOW, F.lit(0)).otherwise(F.col("_at") % (F.size("_w") - max(MASKS[0])))
-    hashes = materialise(hashes.select("_key", "_seed", own.cast("int").alias("_q")), "benchmark-hashes")
+    hashes = hashes.groupBy("_key", F.size("_w").alias("_m"), "_seed").agg(F.collect_set(own.cast("int")).alias("_q"))  # of one item
+    hashes = materialise(hashes, "benchmark-hashes")
     rows = docs.select("doc_id", whole_text().alias("_t"))
     rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), words(F.col("_t")).alias("_h"))
     # outer: otherwise the optimizer adds a filter that computes the words anew for every word
-    probes = rows.withColumn("_seeds", seeds(F.col("_h"), short)).select("doc_id", "text_hash", "_h", F.posexplode_outer("_seeds").alias("_at", "_seed"))
-    shift = (place(F.col("_at"), F.col("_h"), short) - F.col("_q")).alias("_shift")
-    n_words = items.agg(F.sum(F.size("_w"))).first()[0] or 0
-    if hashes.count() <= most_hashes and n_words <= most_words:
-        hit = probes.join(F.broadcast(hashes), "_seed").join(F.broadcast(items), "_key")
-        return compared(hit.select("doc_id", "text_hash", "_item", "_h", "_w", shift))
-    probes = probes.select("doc_id", "text_hash", "_seed", place(F.col("_at"), F.col("_h"), short).alias("_p")).where(F.col("_seed").isNotNull())
-    hit = probes.join(hashes.hint("shuffle_merge"), "_seed").select("doc_id", "text_hash", "_key", (F.col("_p") - F.col("_q")).alias("_shift")).distinct()
-    hit = materialise(hit, "benchmark-hits").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_x"), "_key", "_shift")
-    here = rows.join(hit, (rows["text_hash"] == hit["_x"]) & rows["doc_id"].eqNullSafe(hit["_d"])).join(items, "_key")
-    return compared(here.select("doc_id", "text_hash", "_item", "_h", "_w", "_shift"))
+    probes = rows.select("doc_id", "text_hash", F.size("_h").alias("_n"), F.posexplode_outer(seeds(F.col("_h"), short)).alias("_at", "_seed"))
+    places = hashes.agg(F.sum(F.size("_q"))).first()[0] or 0
+    # beyond the bound a shuffle; a seed that no item has goes before its row is dealt out
+    hit = probes.join(F.broadcast(hashes), "_seed") if places <= most_hashes else probes.where(F.col("_seed").isNotNull()).join(hashes.hint("shuffle_merge"), "_seed")
+    hit = hit.withColumn("_p", place(F.col("_at"), F.col("_n"), short))
+    hit = materialise(hit_shifts(hit), "benchmark-hits").join(items, "_key")
+    hit = hit.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_x"), "_item", "_w", "_shifts")
+    size = hit.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_w") + F.size("_shifts")).alias("m")).first()
+    found = F.broadcast(hit) if size["n"] <= most_found and (size["m"] or 0) <= NUMBERS else hit.hint("merge")
+    here = rows.join(found, (rows["text_hash"] == hit["_x"]) & rows["doc_id"].eqNullSafe(hit["_d"]))
+    return compared(here.select("doc_id", "text_hash", "_item", "_h", "_w", "_shifts"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

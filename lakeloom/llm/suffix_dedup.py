@@ -410,7 +410,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     first = materialise(matched(keyed, buckets, second=False), "suffix-matches")
 
     def joined(spans: DataFrame, how: str) -> DataFrame:
-        spans = spans.groupBy("doc_id", "mark").agg(F.collect_list("span").alias("spans"))  # bounded by the text's length
+        spans = spans.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))  # of one text, once: repeated rows have the same
         return keyed.join(spans.hint("merge"), ["doc_id", "mark"], how)
 
     again = matched(joined(first.where(~F.col("sure")), "inner"), buckets, second=True)

@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,8 @@ VOCABULARY = "byte_bpe_50k.json"
 
 #: How this vocabulary's library cuts a text into pieces, and the printable stand-ins of bytes.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CONTRACTIONS = frozenset("'s 't 're 've 'm 'll 'd".split())
+SPACES = regex.compile(r"\s+")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 CUTS = re.compile(r"(?<=\S) (?=\S)")
@@ -66,7 +68,9 @@ class PrefixCounter:
         back = {c: b for b, c in enumerate(alphabet)}
         model = spec["model"]
         self.vocabulary = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
-        self.longest = max(map(len, self.vocabulary))
+        self.longest: dict[bytes, int] = {}  # of the tokens that end in some two bytes
+        for t in self.vocabulary:
+            self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 0))
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(bytes(back[c] for c in a), bytes(back[c] for c in b)): k for k, (a, b) in enumerate(pairs)}
         self.made = {a + b: (k, a, b) for (a, b), k in self.rank.items()}
@@ -112,7 +116,7 @@ class PrefixCounter:
         last: list[bytes] = [b""]
         count = [0]
         for j in range(1, len(data) + 1):
-            for i in range(max(0, j - longest), j):
+            for i in range(max(0, j - longest.get(data[j - 2 : j], 1)) if j > 1 else 0, j):
                 t = data[i:j]
                 if t in vocabulary and (not i or may_follow(last[i], t)):
                     last.append(t)
@@ -130,7 +134,7 @@ class PrefixCounter:
             if len(data) > LONG_PIECE:
                 return b"", self.piece_prefixes(data)[-1]
             vocabulary, n = self.vocabulary, len(data)
-            for i in range(max(0, n - self.longest), n):
+            for i in range(max(0, n - self.longest.get(data[-2:], 1)), n):
                 t = data[i:]
                 if t in vocabulary:
                     before = self._state(data[:i]) if i else (b"", 0)
@@ -149,19 +153,24 @@ class PrefixCounter:
         return sum(self.piece(p.encode()) for p in PIECES.findall(chunk))
 
     def chunk_prefixes(self, chunk: str) -> list[int]:
-        """Counts at every character of a chunk. Inside white space and contractions a prefix may fall into
-        other pieces than the whole; those few places are counted from the prefix itself."""
-        out, base = [0], 0
+        """Counts at every character of a chunk, in one pass. A prefix falls into the pieces of the whole but in two
+        places: inside a contraction it is counted by itself, and white space at its end is one piece, while in the
+        whole the last blank of a run is a piece of its own or begins a word."""
+        out, base, after = [0], 0, None
         for m in PIECES.finditer(chunk):
-            piece = m.group()
-            data = piece.encode()
-            counts = self.piece_prefixes(data)
-            loose = piece.isspace() or piece[0] == "'"
-            at = 0
-            for k, c in enumerate(piece, 1):
-                at += len(c.encode())
-                out.append(self.chunk(chunk[: m.start() + k]) if loose else base + counts[at])
-            base += counts[-1]
+            piece, follows = m.group(), chunk[m.end() : m.end() + 1]
+            blank = SPACES.fullmatch(piece) and SPACES.match(follows)  # a run of white space goes on by one character
+            if piece in CONTRACTIONS:
+                found = [self.chunk(piece[:k]) for k in range(1, len(piece) + 1)]
+            else:
+                counts = self.piece_prefixes((piece + follows if blank else piece).encode())
+                found = [counts[at] for at in accumulate(len(c.encode()) for c in piece)]
+            begins = len(out)
+            out += [base + n for n in found]
+            if after is not None:
+                out[begins] = after
+            after = base + counts[-1] if blank else None
+            base += found[-1]
         return out
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
