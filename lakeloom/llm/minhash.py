@@ -8,16 +8,16 @@ error may take, under the hash of its other positions, and two such signatures a
 similarity of just 0.8 meets in none with a chance of 0.263^10, 2 in a million; one of 0.85 with 2 in 10^8. Most buckets hold
 one set only and are dropped after a count.
 
-Links are confirmed on whole sets, in whole numbers; a pair whose signatures differ at over ``FAR`` positions (10^-10 at
+Links are confirmed on whole sets, in whole numbers; a pair whose signatures differ at over ``FAR`` positions (10^-7 at
 0.8) is not looked at. Sets lie beside the pairs only there: they are made anew from the texts of the rows in a bit map
 of fixed size, so texts are never shuffled.
 
 No bucket is compared pair by pair. First each proposes its members against the one that stands in most buckets, which
-joins large groups. In buckets that still hold several components, members outside the largest are compared with all
-others if they are at most ``SMALL``. Otherwise the bucket is filed again under the rarest shingles of each member, so
-many that two sets of 0.8 share one (the prefix of a set in order of frequency), which is exact; where over ``SMALL`` of
-the members that meet under one shingle are outside its largest component, they are searched in blocks, as products of
-matrices.
+joins large groups. What still lies in several components is gathered by the main component of its buckets, each member
+once beside everything that it met; members outside the main component are compared with the others, in clusters of at
+most ``SMALL`` as pairs, otherwise in blocks, as products of matrices. A cluster with more than ``MANY`` of them is filed
+again under the rarest shingles of each member, so many that two sets of 0.8 share one (the prefix of a set in order of
+frequency), which is exact, and each of these files is searched in blocks.
 
 Defined results: a text without words has n_shingles 0 and is linked with nothing; repeated rows are linked; rows with a null
 ``doc_id`` are compared, and their component is null only if no member has an id (kept is true there); an empty table
@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm._util import discard, id_text, materialise, release, table, whole_text
-from lakeloom.llm.shingle_dedup import LEAST, TEXTS_AT_ONCE, block_links, node, open_rows, shingles, similar, with_links
+from lakeloom.llm.shingle_dedup import LEAST, TEXTS_AT_ONCE, alike, node, shingles, similar, with_links
 
 SHINGLE = 2
 CHUNKS, WIDTH, BITS = 10, 5, 16
-FAR = 30
-SMALL, BLOCK = 32, 256
+FAR = 26
+SMALL, BLOCK, MANY = 32, 256, 4096
 SEED = 42
 AT_ONCE = 1024
 #: Bits of the map of wanted rows: 16 MB whatever the input. It lets through more than was asked for, never less.
@@ -149,24 +149,29 @@ def to_centres(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("_n").alias("_a"), F.col("_m").alias("_b"))
 
 
-def undecided(members: DataFrame, label: DataFrame) -> DataFrame:
-    """The members, with components, of buckets that hold several: _count of members, _main component of the most of them,
-    and _minority, how many are in others."""
-    rows = open_rows(members, label)
+def clustered(rows: DataFrame) -> DataFrame:
+    """The members of each _bucket that holds several components, with _main, the component of most of them, _count of
+    members, and _minority, how many are in others."""
     each = rows.groupBy("_bucket", "_root").agg(F.count(F.lit(1)).alias("_c"))
-    main = each.groupBy("_bucket").agg(F.max(F.struct("_c", "_root")).alias("_m"), F.sum("_c").alias("_all"))
-    main = main.select("_bucket", F.col("_m._root").alias("_main"), (F.col("_all") - F.col("_m._c")).alias("_minority"))
-    out = materialise(rows.join(main, "_bucket"), "minhash-undecided")
+    main = each.groupBy("_bucket").agg(F.max(F.struct("_c", "_root")).alias("_m"), F.sum("_c").alias("_count"))
+    main = main.select("_bucket", F.col("_m._root").alias("_main"), "_count", (F.col("_count") - F.col("_m._c")).alias("_minority"))
+    return materialise(rows.join(main.where("_minority > 0"), "_bucket"), "minhash-clusters")
+
+
+def clusters(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The undecided members gathered by the main component of their bucket: the many buckets that a group of near copies
+    fills have the same one, so its members stand once beside everything that met them."""
+    rows = clustered(members.join(label, "_n"))
+    out = clustered(rows.select(F.col("_main").alias("_bucket"), "_n", "_root", "_size").distinct())
     discard(rows)
     return out
 
 
-def outside_main(rows: DataFrame) -> DataFrame:
-    """The pairs of different components in buckets of at most ``SMALL`` members outside the main component: as many as
-    ``SMALL`` a member at most, so linear in a bucket however large its main component."""
-    mine = rows.where(F.col("_minority") <= SMALL)
-    a, b = (mine.select("_bucket", "_main", F.col("_n").alias(n), F.col("_root").alias(f"_r{n}"), F.col("_size").alias(f"_z{n}")) for n in ("_a", "_b"))
-    return a.where(F.col("_r_a") != F.col("_main")).join(b.drop("_main"), "_bucket").where((F.col("_r_a") != F.col("_r_b")) & alike_in_size("_z_a", "_z_b")).select("_a", "_b")
+def within_small(rows: DataFrame) -> DataFrame:
+    """The pairs of different components among at most ``SMALL`` members."""
+    mine = rows.where(F.col("_count") <= SMALL)
+    a, b = (mine.select("_bucket", F.col("_n").alias(n), F.col("_root").alias(f"_r{n}"), F.col("_size").alias(f"_z{n}")) for n in ("_a", "_b"))
+    return a.join(b, "_bucket").where((F.col("_a") < F.col("_b")) & (F.col("_r_a") != F.col("_r_b")) & alike_in_size("_z_a", "_z_b")).select("_a", "_b")
 
 
 def refiled(large: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,14 +186,28 @@ def refiled(large: DataFrame, sets: DataFrame) -> DataFrame:
     return out.select(F.xxhash64("_bucket", "_x._t").alias("_bucket"), "_n", "_size")
 
 
-def block_pairs(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links between components in what is left of large buckets: every two blocks of ``BLOCK`` members meet in a
+def cluster_links(group: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of components (_a, _b) that a block of the minority and a block of all members link."""
+    asks = group["_asks"].to_numpy()
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(left) or not len(right):
+        return pd.DataFrame({"_a": np.array([], dtype=np.int64), "_b": np.array([], dtype=np.int64)})
+    i, j = alike([np.asarray(x) for x in group["_set"]], left, right)
+    root = group["_root"].to_numpy()
+    a, b = root[left[i]], root[right[j]]
+    return pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)})[a != b].drop_duplicates()
+
+
+def by_blocks(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between components of large clusters: every block of the minority meets every block of all members in a
     task, which returns components, never pairs of members."""
-    n = F.ceil(F.col("_count") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("_n", "_bucket"), n).cast("int")
-    dealt = large.select("_bucket", "_n", "_root", own.alias("_own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_with"))
-    dealt = dealt.select("_n", "_root", "_own", F.xxhash64("_bucket", F.least("_own", "_with"), F.greatest("_own", "_with")).alias("_task"))
-    return dealt.join(sets, "_n").groupBy("_task").applyInPandas(block_links, "_a long, _b long")
+    n, asking = F.ceil(F.col("_count") / BLOCK).cast("int"), F.ceil(F.col("_minority") / BLOCK).cast("int")
+    own = lambda k: F.pmod(F.xxhash64("_n", "_bucket"), k).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    few = large.where(F.col("_root") != F.col("_main")).select("_bucket", "_n", "_root", F.lit(True).alias("_asks"), own(asking).alias("_i"), each(n).alias("_j"))
+    every = large.select("_bucket", "_n", "_root", F.lit(False).alias("_asks"), own(n).alias("_j"), each(asking).alias("_i"))
+    dealt = few.unionByName(every).select("_n", "_root", "_asks", F.xxhash64("_bucket", "_i", "_j").alias("_task"))
+    return dealt.join(sets, "_n").groupBy("_task").applyInPandas(cluster_links, "_a long, _b long")
 
 
 def components_of(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,20 +215,16 @@ def components_of(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> Data
     label = materialise(members.select("_n").distinct().withColumn("_root", F.col("_n")), "minhash-labels")
     found = confirmed(to_centres(members), nodes, sets)
     label = with_links(label, found)
-    rest = undecided(members, label)
-    few = confirmed(outside_main(rest), nodes, sets)
-    label = with_links(label, few)
-    large = rest.where(F.col("_minority") > SMALL).select("_bucket", "_n", "_size")
-    if not large.isEmpty():
-        again = materialise(refiled(large, sets), "minhash-refiled")
-        part = undecided(again, label)
-        more = confirmed(outside_main(part), nodes, sets)
-        label = with_links(label, more)
-        left = open_rows(part.where(F.col("_minority") > SMALL).select("_bucket", "_n", "_size"), label)
-        if not left.isEmpty():
-            label = with_links(label, block_pairs(left, sets))
-        discard(again, part, more, left)
-    discard(found, rest, few)
+    rest = clusters(members, label)
+    few = confirmed(within_small(rest), nodes, sets)
+    some = materialise(by_blocks(rest.where((F.col("_count") > SMALL) & (F.col("_minority") <= MANY)), sets), "minhash-links")
+    label = with_links(label, few.unionAll(some))
+    many = rest.where((F.col("_count") > SMALL) & (F.col("_minority") > MANY))
+    if not many.isEmpty():
+        part = clustered(refiled(many, sets).join(label, "_n"))
+        label = with_links(label, by_blocks(part, sets))
+        discard(part)
+    discard(found, rest, few, some)
     return label
 
 

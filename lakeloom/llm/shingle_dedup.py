@@ -123,15 +123,9 @@ def with_links(label: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def block_links(group: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of components (_a, _b) that two blocks of members link: all sets of one are compared with all of the
-    other (of one block: with each other) by products of matrices over a part of the shingles at a time."""
-    own = group["_own"].to_numpy()
-    if own[0] == own[-1] and (own == own[0]).all():
-        left = right = np.arange(len(group))
-    else:
-        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
-    sets = [np.asarray(x) for x in group["_set"]]
+def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (places in ``left``, in ``right``, which are places in ``sets``) that are similar enough, by products of
+    matrices over a part of the shingles at a time."""
     size = np.array([len(x) for x in sets], dtype=np.float64)
     member = np.repeat(np.arange(len(sets)), size.astype(int))
     _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -146,11 +140,21 @@ def block_links(group: pd.DataFrame) -> pd.DataFrame:
         holds[member[at], token[at] - lo] = 1
         shared += holds[left] @ holds[right].T
     up, down = LEAST
+    return np.nonzero(shared * (up + down) >= up * (size[left][:, None] + size[right][None, :]))
+
+
+def block_links(group: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of components (_a, _b) that two blocks of members link: all sets of one are compared with all of the
+    other (of one block: with each other)."""
+    own = group["_own"].to_numpy()
+    if own[0] == own[-1] and (own == own[0]).all():
+        left = right = np.arange(len(group))
+    else:
+        left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
+    i, j = alike([np.asarray(x) for x in group["_set"]], left, right)
     root = group["_root"].to_numpy()
-    near = (shared * (up + down) >= up * (size[left][:, None] + size[right][None, :])) & (root[left][:, None] != root[right][None, :])
-    i, j = np.nonzero(near)
     a, b = root[left[i]], root[right[j]]
-    return pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)}).drop_duplicates()
+    return pd.DataFrame({"_a": np.minimum(a, b), "_b": np.maximum(a, b)})[a != b].drop_duplicates()
 
 
 def linked(members: DataFrame, sets: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.llm import minhash as mh
@@ -69,9 +70,11 @@ def test_components_equal_brute_force(spark):
     assert sorted(map(tuple, mh.near_duplicates(frame(spark, docs)).collect()), key=str) == brute(docs)
 
 
-def test_large_buckets_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("many", [4, 4096])
+def test_large_clusters_equal_brute_force(spark, monkeypatch, many):
     monkeypatch.setattr(mh, "SMALL", 3)
     monkeypatch.setattr(mh, "BLOCK", 4)
+    monkeypatch.setattr(mh, "MANY", many)
     monkeypatch.setattr(mh, "MAP_BITS", 1 << 5)
     docs = cases(2)
     assert sorted(map(tuple, mh.near_duplicates(frame(spark, docs)).collect()), key=str) == brute(docs)
