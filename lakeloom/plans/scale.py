@@ -3,9 +3,14 @@ that outlive replacement, bucketed tables, late rows."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lakeloom.operators import hash_tree
+from lakeloom.operators.reconcile import Rule
 from lakeloom.plans.toolkit import tool
+from lakeloom.session import shared_dir
 from lakeloom.sources import database
 
 
@@ -16,3 +21,36 @@ def scan_jdbc_range(t):
     db = database.embedded("lakeloom")
     db.write(orders, "orders")
     return database.changed_rows(db, orders.sparkSession, "orders", "o_orderkey", "o_orderdate", "1995-01-01 00:00:00", "1996-06-30 00:00:00")
+
+
+# A hash tree that follows a night's changes.
+
+NIGHT = (
+    "SELECT o_orderkey, o_orderstatus, CAST(o_totalprice + CASE WHEN o_orderkey % 50 = 7 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS o_totalprice FROM orders WHERE o_orderkey % 91 <> 5 "
+    "UNION ALL SELECT -o_orderkey - 1, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) FROM orders WHERE o_orderkey % 211 = 8"
+)
+NIGHT_TEXT = "concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR))"
+
+
+def two_nights(t) -> tuple[hash_tree.Tree, hash_tree.Tree]:
+    rules = {"o_orderkey": Rule("int"), "o_orderstatus": Rule("text"), "o_totalprice": Rule("decimal")}
+    orders = t("orders").selectExpr("o_orderkey", "o_orderstatus", "CAST(o_totalprice AS DECIMAL(12,2)) o_totalprice")
+    first = hash_tree.build(orders, ["o_orderkey"], rules, f"{shared_dir(orders.sparkSession)}/tree-{uuid.uuid4().hex}", parts_depth=1)
+    dearer = orders.where("o_orderkey % 50 = 7 AND o_orderkey % 91 <> 5").withColumn("o_totalprice", (F.col("o_totalprice") + 1).cast("decimal(12,2)"))
+    added = orders.where("o_orderkey % 211 = 8").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    gone = orders.where("o_orderkey % 91 = 5").select("o_orderkey")
+    return first, hash_tree.advance(first, dearer.unionAll(added), gone, ["o_orderkey"], rules)
+
+
+@tool("row_key:s kind:s", "SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN o_orderkey % 91 = 5 THEN 'missing' ELSE 'changed' END AS kind FROM orders WHERE o_orderkey % 91 = 5 OR o_orderkey % 50 = 7 UNION ALL SELECT CAST(-o_orderkey - 1 AS VARCHAR), 'extra' FROM orders WHERE o_orderkey % 211 = 8")
+def hash_tree_differences(t):
+    return hash_tree.differing(*two_nights(t))
+
+
+HALF = "CAST(concat('0x', substr(md5({0}), {1}, 8)) AS BIGINT)"
+
+
+@tool("level:l segment:l n_rows:l h1:l h2:l", f"SELECT level, b >> (32 - 4 * level) AS segment, count(*) AS n_rows, CAST(sum(h1) AS BIGINT) AS h1, CAST(sum(h2) AS BIGINT) AS h2 FROM (SELECT {HALF.format('CAST(o_orderkey AS VARCHAR)', 1)} AS b, {HALF.format(NIGHT_TEXT, 1)} AS h1, {HALF.format(NIGHT_TEXT, 9)} AS h2 FROM ({NIGHT})), range(0, 3) r(level) GROUP BY ALL")
+def hash_tree_sums(t):
+    """The upper levels after a night that hashed its changes only."""
+    return two_nights(t)[1].levels().where("level <= 2")
