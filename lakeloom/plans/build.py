@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators.incremental import recent_months, write_months
 from lakeloom.plans.oracle import COLUMNS
 from lakeloom.plans.warehouse import MODELS, Warehouse
-from lakeloom.sources.tables import create_as, create_view, exists, replace
+from lakeloom.sources.tables import create_as, create_view, exists, replace, size
 
 #: Models that are views over their input, and those rebuilt by month, with the time that decides the month.
 VIEWS = ("product_fct_sessions_v1", "finance_fct_revenue_v0", "sales_dim_customers_old_crm")
@@ -32,6 +32,7 @@ class Build(Warehouse):
     def __init__(self, spark: SparkSession, sf_dir: str, folder: str, full: bool = True):
         super().__init__(spark, sf_dir)
         self.folder, self.full, self.statuses = folder.rstrip("/"), full, {}
+        self.started: list[tuple[str, str]] = []  # model and scheduler pool, in the order they began
         self._locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
     def __call__(self, name: str) -> DataFrame:
@@ -50,6 +51,7 @@ class Build(Warehouse):
 
     def _built(self, name: str) -> DataFrame:
         rows, path = MODELS[name](self), f"{self.folder}/{name}"
+        self.started.append((name, self.spark.sparkContext.getLocalProperty("spark.scheduler.pool") or "default"))
         self.statuses[name] = "success"
         if name in VIEWS:
             return create_view(rows, name)
@@ -65,9 +67,26 @@ class Build(Warehouse):
         return self.spark.read.parquet(path).drop("ym").select(*rows.columns)
 
 
+def largest_first(spark: SparkSession, sf_dir: str, folder: str, names: Iterable[str]) -> list[str]:
+    """Models by the bytes that they took in the last build; where there was none, by the bytes their plan reads."""
+    plans = Warehouse(spark, sf_dir)
+
+    def measured(name: str) -> int:
+        taken = size(spark, f"{folder.rstrip('/')}/{name}")
+        return taken or int(plans(name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+    return sorted(names, key=lambda n: (-measured(n), n))
+
+
 def build(spark: SparkSession, sf_dir: str, folder: str, names: Iterable[str] | None = None, threads: int = 4, full: bool = True) -> Build:
-    """Builds models (all, if none are named); those whose inputs are ready run side by side."""
+    """Builds models (all, if none are named); those whose inputs are ready run side by side, each worker in a scheduler
+    pool of its own, so that under fair scheduling a small model is not queued behind a large one's tasks. If the folder
+    has a build, the models that took most are begun first."""
     out = Build(spark, sf_dir, folder, full)
-    with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(out, list(names) if names is not None else list(MODELS)))
+    names = list(names) if names is not None else list(MODELS)
+    if any(exists(spark, f"{out.folder}/{n}") for n in names):
+        names = largest_first(spark, sf_dir, folder, names)
+    pools = iter(range(threads))
+    with ThreadPoolExecutor(threads, initializer=lambda: spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"build-{next(pools)}")) as pool:
+        list(pool.map(out, names))
     return out

@@ -11,7 +11,8 @@ from lakeloom.operators import hash_tree
 from lakeloom.operators.reconcile import Rule
 from lakeloom.plans.toolkit import tool
 from lakeloom.session import shared_dir
-from lakeloom.sources import database
+from lakeloom.sources import bucketed, database
+from lakeloom.sources.versioned import Versions
 
 
 @tool("o_orderkey:l o_custkey:l o_totalprice:d o_orderdate:z", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1996-06-30 00:00:00'")
@@ -54,3 +55,34 @@ HALF = "CAST(concat('0x', substr(md5({0}), {1}, 8)) AS BIGINT)"
 def hash_tree_sums(t):
     """The upper levels after a night that hashed its changes only."""
     return two_nights(t)[1].levels().where("level <= 2")
+
+
+# Versions of tables, and tables in buckets.
+
+
+@tool("reader:s n_rows:l top:l", "SELECT 'opened before' AS reader, count(*) AS n_rows, max(o_orderkey) AS top FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'opened after', count(*), max(o_orderkey) FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'customers of both', count(*), max(c_custkey) FROM customer")
+def table_versions(t):
+    """A reader that opened a version reads it on while its table is replaced, appended to, compacted."""
+    orders, people = t("orders").select("o_orderkey", "o_orderstatus"), t("customer").select("c_custkey")
+    versions = Versions(orders.sparkSession, f"{shared_dir(orders.sparkSession)}/versions-{uuid.uuid4().hex}")
+    first = versions.commit(replace={"orders": orders.where("o_orderkey % 2 = 0"), "people": people})
+    versions.commit(replace={"orders": orders.where("o_orderkey % 4 = 1")})
+    versions.commit(append={"orders": orders.where("o_orderkey % 4 = 3")})
+    last = versions.compact("orders")
+    found = lambda rows, name, key: rows.agg(F.lit(name).alias("reader"), F.count(F.lit(1)).alias("n_rows"), F.max(key).alias("top"))
+    return found(first.table("orders"), "opened before", "o_orderkey").unionAll(found(last.table("orders"), "opened after", "o_orderkey")).unionAll(found(last.table("people"), "customers of both", "c_custkey"))
+
+
+@tool("user_id:l ts:z event_id:l event_type:s", "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def scan_latest_bucketed(t):
+    events = bucketed.bucketed(t("events").select("user_id", "ts", "event_id", "event_type"), "events", "user_id", ["ts", "event_id"])
+    return bucketed.newest(events, "user_id", ["ts", "event_id"])
+
+
+@tool("c_custkey:l c_name:s n_orders:l revenue:d", "SELECT c_custkey, c_name, count(*) AS n_orders, sum(o_totalprice) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+def join_bucketed(t):
+    """Join and aggregate of two tables in the same buckets."""
+    people = bucketed.bucketed(t("customer").select("c_custkey", "c_name"), "customer", "c_custkey")
+    orders = bucketed.bucketed(t("orders").select("o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice")), "orders", "o_custkey")
+    totals = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("revenue"))
+    return people.hint("merge").join(totals, people["c_custkey"] == totals["o_custkey"]).drop("o_custkey")
