@@ -79,7 +79,7 @@ def scan_latest_bucketed(t):
     return bucketed.newest(events, "user_id", ["ts", "event_id"])
 
 
-@tool("c_custkey:l c_name:s n_orders:l revenue:d", "SELECT c_custkey, c_name, count(*) AS n_orders, sum(o_totalprice) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
+@tool("c_custkey:l c_name:s n_orders:l revenue:d", "SELECT c_custkey, c_name, count(*) AS n_orders, sum(CAST(o_totalprice AS DECIMAL(12,2))) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL")
 def join_bucketed(t):
     """Join and aggregate of two tables in the same buckets."""
     people = bucketed.bucketed(t("customer").select("c_custkey", "c_name"), "customer", "c_custkey")
