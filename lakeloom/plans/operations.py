@@ -8,32 +8,32 @@ from pyspark.sql import functions as F
 from lakeloom.operators import graph, incremental
 from lakeloom.operators import incidents as inc
 from lakeloom.plans import platform as co
-from lakeloom.plans.toolkit import n_rows, tool
+from lakeloom.plans.toolkit import FAILED_SQL, PATHS, edges, failed, n_rows, tool
 from lakeloom.session import shared_dir
 from lakeloom.sources import artifacts, querylog, tables
 
 # Incidents.
 
-FAILED = ("m0", "m4", "m6", "m8", "m2", "m5", "s3", "t4")
-SKIPPED = ("m9", "m7", "e0", "m6", "s1")
-
-
-def sql_list(items) -> str:
-    return "(" + ", ".join(f"'{x}'" for x in items) + ")"
-
-
+SKIPPED_SQL = "(SELECT concat('order_', o_orderkey) AS node FROM orders WHERE o_orderkey % 7 IN (2, 3))"
 #: Every failed node's nearest failed ancestor, and its root, by following those.
-ROOTS_SQL = f"(WITH RECURSIVE u AS (SELECT node, arg_min(ancestor, (depth, ancestor)) AS up FROM {co.PATHS_SQL} WHERE node IN {sql_list(FAILED)} AND ancestor IN {sql_list(FAILED)} GROUP BY ALL), w AS (SELECT f AS node, f AS root, 0 AS i FROM (SELECT unnest([{', '.join(map(repr, FAILED))}]) AS f) UNION ALL SELECT w.node, u.up, i + 1 FROM w JOIN u ON u.node = w.root) SELECT node, arg_max(root, i) AS root FROM w GROUP BY ALL)"
-GROUPS_SQL = f"""SELECT root, count(*) AS n_events, array_to_string(list_sort(list(DISTINCT node)), ',') AS failed_nodes,
-ifnull((SELECT array_to_string(list_sort(list(DISTINCT k)), ',') FROM (SELECT node AS k, arg_min(ancestor, (depth, ancestor)) AS up FROM {co.PATHS_SQL} WHERE node IN {sql_list(sorted(set(SKIPPED) - set(FAILED)))} AND ancestor IN {sql_list(FAILED)} GROUP BY ALL) z JOIN {ROOTS_SQL} r2 ON r2.node = z.up WHERE r2.root = g.root), '') AS skipped,
-ifnull((SELECT array_to_string(list_sort(list(DISTINCT node)), ',') FROM (SELECT p.node, p.ancestor, count(*) OVER (PARTITION BY p.node) AS n FROM {co.PATHS_SQL} p WHERE p.ancestor IN (SELECT root FROM {ROOTS_SQL}) AND p.node IN {sql_list(FAILED)} AND p.node NOT IN (SELECT root FROM {ROOTS_SQL})) WHERE n > 1 AND ancestor = g.root), '') AS shared
-FROM (SELECT node, root FROM {ROOTS_SQL} UNION ALL SELECT 'm8', root FROM {ROOTS_SQL} WHERE node = 'm8') g GROUP BY root"""
+UP_SQL = f"(SELECT node, arg_min(ancestor, (depth, ancestor)) AS up FROM ({PATHS}) WHERE ancestor IN {FAILED_SQL} GROUP BY ALL)"
+ROOTS_SQL = f"(WITH RECURSIVE u AS MATERIALIZED (SELECT * FROM {UP_SQL} x WHERE node IN {FAILED_SQL}), w AS (SELECT node, node AS root, 0 AS i FROM {FAILED_SQL} f UNION ALL SELECT w.node, u.up, i + 1 FROM w JOIN u ON u.node = w.root) SELECT node, arg_max(root, i) AS root FROM w GROUP BY ALL)"
+GROUPS_SQL = f"""WITH r AS MATERIALIZED (SELECT * FROM {ROOTS_SQL} x), tops AS (SELECT DISTINCT root FROM r),
+events AS (SELECT node, root FROM r UNION ALL SELECT node, root FROM r WHERE node LIKE 'nation%'),
+idle AS (SELECT r.root, list_sort(list(DISTINCT u.node)) AS nodes FROM {UP_SQL} u JOIN r ON r.node = u.up WHERE u.node IN {SKIPPED_SQL} AND u.node NOT IN (SELECT node FROM r) GROUP BY ALL),
+above AS (SELECT p.node, p.ancestor FROM ({PATHS}) p WHERE p.ancestor IN (SELECT root FROM tops) AND p.node IN (SELECT node FROM r) AND p.node NOT IN (SELECT root FROM tops)),
+twice AS (SELECT ancestor AS root, list_sort(list(DISTINCT node)) AS nodes FROM above WHERE node IN (SELECT node FROM above GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)
+SELECT g.root, g.n_events, array_to_string(g.nodes, ',') AS failed_nodes, ifnull(array_to_string(idle.nodes, ','), '') AS skipped, ifnull(array_to_string(twice.nodes, ','), '') AS shared
+FROM (SELECT root, count(*) AS n_events, list_sort(list(DISTINCT node)) AS nodes FROM events GROUP BY ALL) g LEFT JOIN idle ON idle.root = g.root LEFT JOIN twice ON twice.root = g.root"""
 
 
 @tool("root:s n_events:l failed_nodes:s skipped:s shared:s", GROUPS_SQL)
 def incident_groups(t):
-    events = co.rows_of(t, [(f"c{i}", s) for i, s in enumerate((*FAILED, "m8"))], "check_id string, subject string")
-    out = graph.group_failures(graph.closure(co.links(t)), events, co.rows_of(t, [(s,) for s in SKIPPED], "node string"))
+    """Failures of nations (two checks each), customers, suppliers and orders by their root; skipped orders go along."""
+    bad = failed(t)
+    events = bad.unionAll(bad.where("node LIKE 'nation%'")).select(F.lit("c").alias("check_id"), F.col("node").alias("subject"))
+    skipped = t("orders").where("o_orderkey % 7 IN (2, 3)").selectExpr("concat('order_', o_orderkey) AS node")
+    out = graph.group_failures(graph.closure(edges(t)), events, skipped)
     return out.withColumns({c: F.array_join(c, ",") for c in ("failed_nodes", "skipped", "shared")})
 
 
@@ -99,17 +99,22 @@ def incident_worst_status(t):
     return inc.worst_status(run_results(t))
 
 
-STATUSES = [("m0", "success"), ("m1", "success"), ("m2", "error"), ("t0", "pass"), ("t1", "fail"), ("source.0", "warn"), ("source.1", "error"), ("test.z", "pass"), ("m3", "success")]
-OPEN = [(i, r, d) for i, (r, d) in enumerate([("m0", "m0"), ("m1", "m1"), ("m2", "m2"), ("m3", "m3"), ("m4", "m4"), ("source.0", "source.0"), ("source.1", "source.1"), ("test.z", "m0"), ("test.y", "m0")])]
-#: m0's test passes, m1's fails, m2 failed itself, m3's has not run, m4 was not built, source.0 is late but not stale.
-WELL = {0, 5, 7}
+#: Orders as incidents' roots, their lines as tests. Every 13th root is a source, every 17th a test itself; lines of
+#: return flag A passed, of R failed, of N did not run; an order of status P was not built.
+HEALTH = {"incident_id": "o_orderkey", "root": "concat(CASE WHEN o_orderkey % 13 = 0 THEN 'source.' WHEN o_orderkey % 17 = 0 THEN 'test.' ELSE '' END, o_orderkey)", "dataset": "concat('', o_orderkey)"}
+STATUS = "CASE WHEN o_orderkey % 13 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'warn' WHEN 'O' THEN 'error' ELSE 'pass' END WHEN o_orderkey % 17 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'pass' ELSE 'fail' END WHEN o_orderstatus = 'F' THEN 'success' WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'success' WHEN o_orderstatus = 'O' THEN 'error' END"
+HEALTH_SQL = f"""SELECT o_orderkey AS incident_id, CASE WHEN o_orderkey % 13 = 0 THEN o_orderstatus <> 'O' AND tests WHEN o_orderkey % 17 = 0 THEN o_orderstatus = 'F' ELSE (o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 2 = 0)) AND tests END AS healthy
+FROM (SELECT o.*, coalesce(l.tests, TRUE) AS tests FROM orders o LEFT JOIN (SELECT l_orderkey, bool_or(l_returnflag <> 'N') AND NOT bool_or(l_returnflag = 'R') AS tests FROM lineitem GROUP BY ALL) l ON l_orderkey = o_orderkey)"""
 
 
-@tool("incident_id:l healthy:b", f"SELECT * FROM {co.literal([(i, i in WELL) for i, _, _ in OPEN], 'h(incident_id, healthy)')}")
+@tool("incident_id:l healthy:b", HEALTH_SQL)
 def incident_health(t):
-    open_now = co.rows_of(t, OPEN, "incident_id long, root string, dataset string")
-    tests = co.rows_of(t, [("m0", "t0"), ("m1", "t1"), ("m1", "t0"), ("m3", "t3")], "dataset string, node string")
-    return inc.healthy(open_now, co.rows_of(t, STATUSES, "node string, status string"), tests)
+    orders = t("orders").selectExpr(*[f"{e} AS {c}" for c, e in HEALTH.items()], f"{STATUS} AS status")
+    line = F.concat_ws("-", F.lit("line"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = t("lineitem").select(F.col("l_orderkey").cast("string").alias("dataset"), line.alias("node"), "l_returnflag")
+    ran = lines.where("l_returnflag <> 'N'").select("node", F.when(F.col("l_returnflag") == "A", "pass").otherwise("fail").alias("status"))
+    statuses = orders.where("status IS NOT NULL").select(F.col("root").alias("node"), "status").unionAll(ran)
+    return inc.healthy(orders.drop("status"), inc.worst_status(statuses), lines.select("dataset", "node"))
 
 
 SPREAD = "(0.5 + CAST(CAST(concat('0x', substr(sha256(concat('7:', incident_id, ':{0}')), 1, 16)) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0)"
@@ -182,9 +187,9 @@ def incident_metrics(t):
     return inc.metrics(rows, faults(t), caused(t), alerts, pages, 30)
 
 
-@tool("node:s", f"SELECT DISTINCT node FROM (SELECT node FROM {co.PATHS_SQL} WHERE ancestor IN ('m4', 's3') UNION ALL SELECT unnest(['m4', 's3']))")
+@tool("node:s", f"SELECT node FROM ({PATHS}) WHERE ancestor IN ('nation_3', 'supplier_4') UNION SELECT unnest(['nation_3', 'supplier_4'])")
 def incident_rerun(t):
-    return inc.rerun_selection(graph.closure(co.links(t)), co.rows_of(t, [("m4",), ("s3",)], "node string"))
+    return inc.rerun_selection(graph.closure(edges(t)), co.rows_of(t, [("nation_3",), ("supplier_4",)], "node string"))
 
 
 @tool("run_id:l invocations:l checks_run:l failing:l skipped:l incidents:l", "SELECT day(ts) AS run_id, count(*) AS invocations, sum(event_id % 5) AS checks_run, count(*) FILTER (WHERE event_type = 'error') AS failing, count(*) FILTER (WHERE event_type = 'click') AS skipped, count(DISTINCT CASE WHEN event_type = 'error' THEN user_id END) AS incidents FROM events GROUP BY ALL")

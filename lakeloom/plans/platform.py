@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import attribution as att
 from lakeloom.operators import cost, graph
-from lakeloom.plans.toolkit import n_rows, tool
+from lakeloom.plans.toolkit import EDGE_SQL, edges, n_rows, tool
 
 # The company in small.
 
@@ -237,34 +237,45 @@ def cost_incremental_candidates(t):
     return out.withColumns({c: F.array_join(c, ",") for c in ("sources", "blocked_by")})
 
 
-# Ownership.
+# Ownership, of a dataset for every customer.
 
-HITS_SQL = f"(SELECT unique_id AS node, match, owner, team, len(regexp_replace(match, '\\[[^\\]]*\\]', '', 'g')) - len(regexp_replace(match, '\\[[^\\]]*\\]|[^*?]', '', 'g')) AS lit, len(regexp_replace(regexp_replace(match, '\\[[^\\]]*\\]', '*', 'g'), '[^*?]', '', 'g')) AS wild FROM {NODES_SQL} JOIN {literal(RULES, 'r(match, owner, team, backup)')} ON unique_id GLOB match)"
+REG_RULES = [("m*", "eve", "finance", "fay"), ("m[0-3]*", "cat", "sales", "dan"), ("m*7", "fay", "finance", None), ("m7*", "eve", "finance", None), ("a*", "ann", "platform", None), ("a3*", "zed", "platform", None), ("b??", "dan", "sales", "dan"), ("b[!1]*", "gus", "nowhere", None), ("zz?", "eve", "finance", None)]
+REG_COLUMNS = {
+    "unique_id": "concat(lower(substr(c_mktsegment, 1, 1)), c_custkey)",
+    "resource_type": "CASE WHEN c_custkey % 11 = 0 THEN 'exposure' WHEN c_custkey % 3 = 0 THEN 'source' ELSE 'model' END",
+    "declared_owner": "CASE c_custkey % 4 WHEN 0 THEN 'dan' WHEN 1 THEN 'eve' END",
+}
+REG_SQL = f"(SELECT {', '.join(f'{e} AS {c}' for c, e in REG_COLUMNS.items())} FROM customer) n"
+RULES_SQL = literal(REG_RULES, "r(match, owner, team, backup)")
+HITS_SQL = f"(SELECT unique_id AS node, match, owner, team, len(regexp_replace(match, '\\[[^\\]]*\\]', '', 'g')) - len(regexp_replace(match, '\\[[^\\]]*\\]|[^*?]', '', 'g')) AS lit, len(regexp_replace(regexp_replace(match, '\\[[^\\]]*\\]', '*', 'g'), '[^*?]', '', 'g')) AS wild FROM {REG_SQL} JOIN {RULES_SQL} ON unique_id GLOB match)"
 RESOLVED_SQL = f"(SELECT node, match, owner, team, count(*) FILTER (WHERE k = 1) OVER (PARTITION BY node) > 1 AS ambiguous, r FROM (SELECT *, rank() OVER (PARTITION BY node ORDER BY lit DESC, wild) AS k, row_number() OVER (PARTITION BY node ORDER BY lit DESC, wild, match) AS r FROM {HITS_SQL}) QUALIFY r = 1)"
-BROKEN_SQL = f"(SELECT match, CASE WHEN team NOT IN (SELECT team FROM {MEMBERS_SQL}) THEN 'unknown team' WHEN owner NOT IN (SELECT person FROM {MEMBERS_SQL} WHERE p.team = r.team) THEN 'owner is not a member' WHEN backup IS NOT NULL AND (backup = owner OR backup NOT IN (SELECT person FROM {MEMBERS_SQL} WHERE p.team = r.team)) THEN 'backup is not another member' END AS problem FROM {literal(RULES, 'r(match, owner, team, backup)')})"
+BROKEN_SQL = f"(SELECT match, CASE WHEN team NOT IN (SELECT team FROM {MEMBERS_SQL}) THEN 'unknown team' WHEN owner NOT IN (SELECT person FROM {MEMBERS_SQL} WHERE p.team = r.team) THEN 'owner is not a member' WHEN backup IS NOT NULL AND (backup = owner OR backup NOT IN (SELECT person FROM {MEMBERS_SQL} WHERE p.team = r.team)) THEN 'backup is not another member' END AS problem FROM {RULES_SQL})"
+
+
+def registry_rules_of(t) -> DataFrame:
+    return rows_of(t, REG_RULES, "match string, owner string, team string, backup string")
 
 
 def owned_nodes(t) -> DataFrame:
-    declared = F.when(F.col("unique_id") == "e0", "dan").when(F.col("unique_id") == "e1", "eve")
-    return nodes(t).select(F.col("unique_id").alias("node"), F.col("resource_type").alias("kind"), declared.alias("declared_owner"))
+    return t("customer").selectExpr(*[f"{e} AS {c}" for c, e in REG_COLUMNS.items()]).withColumnsRenamed({"unique_id": "node", "resource_type": "kind"})
 
 
 @tool("node:s match:s owner:s team:s ambiguous:b", f"SELECT node, match, owner, team, ambiguous FROM {RESOLVED_SQL}")
 def registry_resolve(t):
-    return graph.resolve(nodes(t).select(F.col("unique_id").alias("node")), rules(t))
+    return graph.resolve(owned_nodes(t), registry_rules_of(t))
 
 
-@tool("level:s subject:s finding:s", f"SELECT 'error' AS level, match AS subject, problem AS finding FROM {BROKEN_SQL} WHERE problem IS NOT NULL UNION ALL SELECT 'error', unique_id, f FROM (SELECT unique_id, CASE WHEN r.node IS NULL THEN 'has no owner' WHEN ambiguous THEN 'has ambiguous ownership' WHEN resource_type = 'exposure' AND (CASE unique_id WHEN 'e0' THEN 'dan' WHEN 'e1' THEN 'eve' END) IS DISTINCT FROM r.owner THEN 'declares another owner' END AS f FROM {NODES_SQL} LEFT JOIN {RESOLVED_SQL} r ON r.node = unique_id) WHERE f IS NOT NULL UNION ALL SELECT 'warning', match, 'matches no dataset' FROM {literal(RULES, 'z(match, owner, team, backup)')} WHERE match NOT IN (SELECT match FROM {HITS_SQL})")
+@tool("level:s subject:s finding:s", f"SELECT 'error' AS level, match AS subject, problem AS finding FROM {BROKEN_SQL} WHERE problem IS NOT NULL UNION ALL SELECT 'error', unique_id, f FROM (SELECT unique_id, CASE WHEN r.node IS NULL THEN 'has no owner' WHEN ambiguous THEN 'has ambiguous ownership' WHEN resource_type = 'exposure' AND n.declared_owner IS DISTINCT FROM r.owner THEN 'declares another owner' END AS f FROM {REG_SQL} LEFT JOIN {RESOLVED_SQL} r ON r.node = unique_id) WHERE f IS NOT NULL UNION ALL SELECT 'warning', match, 'matches no dataset' FROM {literal(REG_RULES, 'z(match, owner, team, backup)')} WHERE match NOT IN (SELECT match FROM {HITS_SQL})")
 def registry_check(t):
-    return graph.registry_check(owned_nodes(t), rules(t), members(t))
+    return graph.registry_check(owned_nodes(t), registry_rules_of(t), members(t))
 
 
-COVERAGE_SQL = f"(SELECT resource_type AS kind, count(*) AS n_nodes, count(*) FILTER (WHERE ok) AS n_owned, count(DISTINCT CASE WHEN ok THEN team END) AS n_teams FROM (SELECT resource_type, team, r.node IS NOT NULL AND NOT ambiguous AND match NOT IN (SELECT match FROM {BROKEN_SQL} WHERE problem IS NOT NULL) AS ok FROM {NODES_SQL} LEFT JOIN {RESOLVED_SQL} r ON r.node = unique_id) GROUP BY ALL)"
+COVERAGE_SQL = f"(SELECT resource_type AS kind, count(*) AS n_nodes, count(*) FILTER (WHERE ok) AS n_owned, count(DISTINCT CASE WHEN ok THEN team END) AS n_teams FROM (SELECT resource_type, team, r.node IS NOT NULL AND NOT ambiguous AND match NOT IN (SELECT match FROM {BROKEN_SQL} WHERE problem IS NOT NULL) AS ok FROM {REG_SQL} LEFT JOIN {RESOLVED_SQL} r ON r.node = unique_id) GROUP BY ALL)"
 
 
 @tool("kind:s n_nodes:l n_owned:l n_teams:l", f"SELECT * FROM {COVERAGE_SQL}")
 def registry_coverage(t):
-    return graph.coverage(owned_nodes(t), rules(t), members(t))
+    return graph.coverage(owned_nodes(t), registry_rules_of(t), members(t))
 
 
 @tool("match:s n_nodes:l", "SELECT match, count(*) AS n_nodes FROM (SELECT CASE WHEN count(*) OVER (PARTITION BY p) >= 3 AND p <> '' THEN concat(p, '_*') ELSE name END AS match FROM (SELECT concat(lower(n_name), '_', n_regionkey) AS name, concat(CAST(n_regionkey AS VARCHAR), '_', n_name) AS other FROM nation) q, (SELECT 1) z, LATERAL (SELECT regexp_extract(other, '^([^_]+)_', 1) AS p)) GROUP BY ALL HAVING FALSE UNION ALL SELECT concat(r, '_*'), n FROM (SELECT CAST(n_regionkey AS VARCHAR) AS r, count(*) AS n FROM nation GROUP BY ALL) WHERE n >= 3 UNION ALL SELECT concat(n_regionkey, '_', n_name), 1 FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation GROUP BY ALL HAVING count(*) < 3)")
@@ -273,8 +284,8 @@ def registry_starter(t):
     return graph.starter_rules(names)
 
 
-@tool("parent_id:s child_id:s parent_type:s child_type:s", f"SELECT parent_id, child_id, a.resource_type AS parent_type, b.resource_type AS child_type FROM {LINKS_SQL} JOIN {NODES_SQL.replace(' n(', ' a(')} ON a.unique_id = parent_id JOIN {NODES_SQL.replace(' n(', ' b(')} ON b.unique_id = child_id")
+@tool("parent_id:s child_id:s parent_type:s child_type:s", f"SELECT DISTINCT parent_id, child_id, split_part(parent_id, '_', 1) AS parent_type, split_part(child_id, '_', 1) AS child_type FROM {EDGE_SQL} WHERE parent_id IN (SELECT child_id FROM {EDGE_SQL})")
 def lineage_edges(t):
-    depends = links(t).groupBy(F.col("child_id").alias("unique_id")).agg(F.array_append(F.collect_set("parent_id"), F.lit("ghost")).alias("depends_on"))
-    every = nodes(t).join(depends, "unique_id", "left")
-    return graph.edge_rows(graph.build(every.select("unique_id", "depends_on")), nodes(t))
+    """Edges between known nodes; what a node names beside them (here regions, which are none, and a ghost) is left out."""
+    depends = edges(t).groupBy(F.col("child_id").alias("unique_id")).agg(F.array_append(F.collect_set("parent_id"), F.lit("ghost")).alias("depends_on"))
+    return graph.edge_rows(graph.build(depends), depends.select("unique_id", F.split_part("unique_id", F.lit("_"), F.lit(1)).alias("resource_type")))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from lakeloom.functions.money import boundaries, ratio
 from lakeloom.operators import bitmaps, cost, graph, incremental, quality, selection, timeline
 from lakeloom.operators import reconcile as rec
-from lakeloom.plans.oracle import COLUMNS, SQL
 from lakeloom.session import stored
 
 Plan = Callable[[Callable[[str], DataFrame]], DataFrame]
@@ -527,29 +526,23 @@ def scan_hotspots(t):
     return cost.hotspots(reads, tables.withColumns({"table_rows": F.lit(100), "table_bytes": F.lit(1000), "sorting_key": F.lit("(ts, user_id)"), "engine": engine}))
 
 
-# Lineage and incidents, over the models of this library.
+# Lineage and incidents. What depends on what: nations on regions, customers and suppliers on nations, orders on their
+# customer and the supplier of their first line.
 
-
-def model_edges() -> list[tuple[str, str]]:
-    import re
-
-    return sorted({(p, c) for c in COLUMNS for p in re.findall(r"\b\w+\b", SQL[c]) if p in SQL and p != c})
-
-
-EDGES = model_edges()
-FAILED = ("cur_orders", "stg_orders", "int_orders_enriched", "sales_fct_orders", "finance_fct_revenue", "finance_fct_revenue_monthly", "int_sessions_daily", "product_fct_sessions_engagement", "stg_products")
-EDGE_SQL = "(VALUES " + ", ".join(f"('{p}', '{c}')" for p, c in EDGES) + ") e(parent_id, child_id)"
+EDGES = (("region", "n_regionkey", "nation", "n_nationkey", "nation", "TRUE"), ("nation", "c_nationkey", "customer", "c_custkey", "customer", "TRUE"), ("nation", "s_nationkey", "supplier", "s_suppkey", "supplier", "TRUE"), ("customer", "o_custkey", "order", "o_orderkey", "orders", "TRUE"), ("supplier", "l_suppkey", "order", "l_orderkey", "lineitem", "l_linenumber = 1"))
+FAILS = (("nation", "n_nationkey", "nation", "n_nationkey % 6 = 1"), ("customer", "c_custkey", "customer", "c_acctbal < 0"), ("supplier", "s_suppkey", "supplier", "s_suppkey % 5 = 2"), ("order", "o_orderkey", "orders", "o_orderkey % 7 = 3"))
+EDGE_SQL = "(" + " UNION ALL ".join(f"SELECT concat('{p}_', {pk}) AS parent_id, concat('{c}_', {ck}) AS child_id FROM {table} WHERE {where}" for p, pk, c, ck, table, where in EDGES) + ") e"
 PATHS = f"WITH RECURSIVE p AS (SELECT parent_id AS ancestor, child_id AS node, 1 AS depth FROM {EDGE_SQL} UNION SELECT p.ancestor, e.child_id, depth + 1 FROM p JOIN {EDGE_SQL} ON e.parent_id = p.node) SELECT ancestor, node, min(depth) AS depth FROM p GROUP BY ALL"
-FAILED_SQL = "(" + ", ".join(f"'{f}'" for f in FAILED) + ")"
-RULES_TABLE = (("*", "platform"), ("stg_*", "ingestion"), ("int_*", "core"), ("sales_*", "sales"), ("*_rpt_*", "reports"), ("finance_fct_revenue*", "finance"), ("finance_fct_revenue_v0", "archive"), ("marketing_?im_*", "marketing"))
+FAILED_SQL = "(" + " UNION ALL ".join(f"SELECT concat('{kind}_', {key}) AS node FROM {table} WHERE {where}" for kind, key, table, where in FAILS) + ")"
+RULES_TABLE = (("*", "platform"), ("customer_*", "sales"), ("customer_1*", "core"), ("*_?1", "ones"), ("order_*", "fulfilment"), ("order_??", "early"), ("nation_1?", "abroad"), ("supplier_*7", "lucky"))
 
 
 def edges(t) -> DataFrame:
-    return t("region").sparkSession.createDataFrame(EDGES, "parent_id string, child_id string")
+    return reduce(DataFrame.unionAll, [t(table).where(where).selectExpr(f"concat('{p}_', {pk}) AS parent_id", f"concat('{c}_', {ck}) AS child_id") for p, pk, c, ck, table, where in EDGES])
 
 
 def failed(t) -> DataFrame:
-    return t("region").sparkSession.createDataFrame([(f,) for f in FAILED], "node string")
+    return reduce(DataFrame.unionAll, [t(table).where(where).selectExpr(f"concat('{kind}_', {key}) AS node") for kind, key, table, where in FAILS])
 
 
 @tool("ancestor:s node:s depth:l", PATHS)
@@ -562,26 +555,25 @@ def nearest_failed_ancestor(t):
     return graph.nearest_failed(graph.closure(edges(t)), failed(t))
 
 
-@tool("node:s root:s", f"WITH RECURSIVE n AS (SELECT node, arg_min(ancestor, (depth, ancestor)) AS up FROM ({PATHS}) WHERE node IN {FAILED_SQL} AND ancestor IN {FAILED_SQL} GROUP BY ALL), f AS (SELECT unnest([{', '.join(repr(x) for x in FAILED)}]) AS node), w AS (SELECT node, node AS root, 0 AS i FROM f UNION ALL SELECT w.node, n.up, i + 1 FROM w JOIN n ON n.node = w.root) SELECT node, arg_max(root, i) AS root FROM w GROUP BY ALL")
+@tool("node:s root:s", f"WITH RECURSIVE n AS (SELECT node, arg_min(ancestor, (depth, ancestor)) AS up FROM ({PATHS}) WHERE node IN {FAILED_SQL} AND ancestor IN {FAILED_SQL} GROUP BY ALL), f AS {FAILED_SQL}, w AS (SELECT node, node AS root, 0 AS i FROM f UNION ALL SELECT w.node, n.up, i + 1 FROM w JOIN n ON n.node = w.root) SELECT node, arg_max(root, i) AS root FROM w GROUP BY ALL")
 def incident_roots(t):
     return graph.roots(graph.closure(edges(t)), failed(t))
 
 
-TIER = "CASE WHEN {0} LIKE 'finance%' THEN 10 WHEN {0} LIKE 'sales%' THEN 5 ELSE 1 END"
+TIER = "CASE WHEN {0} LIKE 'nation%' THEN 10 WHEN {0} LIKE 'customer%' THEN 5 ELSE 1 END"
 
 
 @tool("node:s consumers:l score:d severity:s", f"SELECT node, consumers, score, CASE WHEN score >= 150 THEN 'SEV1' WHEN score >= 45 THEN 'SEV2' ELSE 'SEV3' END AS severity FROM (SELECT c.node, count(p.node) AS consumers, 3 * {TIER.format('c.node')} + ifnull(sum({TIER.format('p.node')}) FILTER (WHERE p.node IS NOT NULL), 0) AS score FROM (SELECT DISTINCT child_id AS node FROM {EDGE_SQL}) c LEFT JOIN ({PATHS}) p ON p.ancestor = c.node GROUP BY c.node)")
 def incident_severity(t):
     nodes = edges(t).select(F.col("child_id").alias("node")).distinct()
-    weight = F.when(F.col("node").startswith("finance"), 10).when(F.col("node").startswith("sales"), 5).otherwise(1)
+    weight = F.when(F.col("node").startswith("nation"), 10).when(F.col("node").startswith("customer"), 5).otherwise(1)
     return graph.scored(graph.closure(edges(t)), nodes.withColumns({"weight": weight, "kind": F.lit("model")}))
 
 
-@tool("node:s match:s owner:s ambiguous:b", "SELECT node, match, owner, count(*) FILTER (WHERE k = 1) OVER (PARTITION BY node) > 1 AS ambiguous FROM (SELECT node, match, owner, rank() OVER (PARTITION BY node ORDER BY lit DESC, wild) AS k, row_number() OVER (PARTITION BY node ORDER BY lit DESC, wild, match) AS r FROM (SELECT node, match, owner, len(regexp_replace(match, '[^*?]', '', 'g')) AS wild, len(match) - wild AS lit FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in COLUMNS) + "]) AS node) JOIN (VALUES " + ", ".join(f"('{m}', '{o}')" for m, o in RULES_TABLE) + ") r(match, owner) ON node GLOB match)) QUALIFY r = 1")
+@tool("node:s match:s owner:s ambiguous:b", "SELECT node, match, owner, count(*) FILTER (WHERE k = 1) OVER (PARTITION BY node) > 1 AS ambiguous FROM (SELECT node, match, owner, rank() OVER (PARTITION BY node ORDER BY lit DESC, wild) AS k, row_number() OVER (PARTITION BY node ORDER BY lit DESC, wild, match) AS r FROM (SELECT node, match, owner, len(regexp_replace(match, '[^*?]', '', 'g')) AS wild, len(match) - wild AS lit FROM (SELECT DISTINCT child_id AS node FROM " + EDGE_SQL + ") d JOIN (VALUES " + ", ".join(f"('{m}', '{o}')" for m, o in RULES_TABLE) + ") r(match, owner) ON node GLOB match)) QUALIFY r = 1")
 def ownership_resolve(t):
-    spark = t("region").sparkSession
-    nodes = spark.createDataFrame([(c,) for c in COLUMNS], "node string")
-    return graph.resolve(nodes, spark.createDataFrame(list(RULES_TABLE), "match string, owner string"))
+    nodes = edges(t).select(F.col("child_id").alias("node")).distinct()
+    return graph.resolve(nodes, t("region").sparkSession.createDataFrame(list(RULES_TABLE), "match string, owner string"))
 
 
 ALERTS = "SELECT event_id, user_id, ts AS opened_at, ts + INTERVAL '1' MINUTE * (event_id % 3000) AS closed_at, CASE WHEN event_id % 10 = 0 THEN 'SEV1' WHEN event_id % 10 < 4 THEN 'SEV2' ELSE 'SEV3' END AS severity FROM events WHERE event_type = 'error'"
