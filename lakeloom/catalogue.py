@@ -11,7 +11,7 @@ from lakeloom.plans.toolkit import TOOLS, opened
 from lakeloom.plans.warehouse import MODELS, Warehouse
 
 
-assert platform.NODES and operations.HEALTH and metadata.RUN and scale.database  # their queries join TOOLS when they are imported
+assert platform.NODES and operations.HEALTH and metadata.MODEL and scale.database  # their queries join TOOLS when they are imported
 
 
 def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:

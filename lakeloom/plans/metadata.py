@@ -20,81 +20,99 @@ from lakeloom.plans.toolkit import ALERTS, EDGE_SQL, edges, n_rows, tool
 from lakeloom.sources import artifacts, generator, tables
 
 
-def entry(uid: str, kind: str, parents: list[str], **more) -> dict:
-    return {"unique_id": uid, "resource_type": kind, "name": uid.split(".")[-1], "depends_on": {"nodes": parents}, **more}
-
-
-MANIFEST = {
-    "nodes": {
-        e["unique_id"]: e
-        for e in (
-            entry("model.s.stg", "model", ["source.s.o"], schema="staging", config={"materialized": "view"}),
-            entry("model.s.fct", "model", ["model.s.stg", "macro.s.x"], schema="marts", alias="facts"),
-            entry("test.s.nn", "test", ["model.s.stg", "macro.s.y"], attached_node="model.s.stg"),
-            entry("test.s.src", "test", ["source.s.o"]),
-            entry("test.s.two", "test", ["model.s.stg", "model.s.fct"], attached_node="model.s.fct"),
-        )
-    },
-    "sources": {"source.s.o": entry("source.s.o", "source", [], schema="raw", identifier="orders")},
-    "exposures": {"exposure.s.e": {"unique_id": "exposure.s.e", "name": "e", "owner": {"name": "ann"}, "depends_on": {"nodes": ["model.s.fct"]}}},
-}
-RUN = {
-    "metadata": {"invocation_id": "i1", "generated_at": "2026-03-02T02:14:09Z"},
-    "results": [{"unique_id": u, "status": s, "message": m} for u, s, m in (("model.s.stg", "error", "a\n  b"), ("test.s.nn", "fail", None), ("test.s.two", "error", "x"), ("test.s.src", "fail", ""), ("model.s.fct", "skipped", None), ("test.s.gone", "fail", None))],
-}
-FRESH = {"metadata": {"invocation_id": "i2"}, "results": [{"unique_id": "source.s.o", "status": "error", "max_loaded_at": "2026-03-01", "age": 9000.0}, {"unique_id": "source.s.p", "status": "warn"}]}
+# Artifacts: a project for every customer, whose orders are its models, each with a test.
+
+ORDER_NODES = (
+    # unique_id, resource_type, name, schema, alias, parents, attached node, materialized, of an order
+    ("concat('model.o', o_orderkey)", "'model'", "concat('o', o_orderkey)", "'marts'", "CASE WHEN o_orderkey % 2 = 0 THEN concat('a', o_orderkey) END", "array(concat('source.c', o_custkey), 'macro.m')", "CAST(NULL AS STRING)", "CASE o_orderstatus WHEN 'F' THEN 'table' WHEN 'O' THEN 'view' END"),
+    ("concat('test.t', o_orderkey)", "'test'", "concat('t', o_orderkey)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "CASE o_orderkey % 3 WHEN 0 THEN array(concat('model.o', o_orderkey), 'macro.x') WHEN 1 THEN array(concat('source.c', o_custkey)) ELSE array(concat('model.o', o_orderkey), concat('source.c', o_custkey)) END", "CASE WHEN o_orderkey % 3 <> 1 THEN concat('model.o', o_orderkey) END", "CAST(NULL AS STRING)"),
+)
+
+
+def manifests(t) -> DataFrame:
+    """A JSON document for each customer with orders."""
+    shape = "struct({0} AS key, named_struct('unique_id', {0}, 'resource_type', {1}, 'name', {2}, 'schema', {3}, 'alias', {4}, 'depends_on', named_struct('nodes', {5}), 'attached_node', {6}, 'config', named_struct('materialized', {7})) AS value)"
+    each = t("orders").select("o_custkey", "o_orderkey", F.explode(F.array(*[F.expr(shape.format(*n)) for n in ORDER_NODES])).alias("n"))
+    found = each.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list("n")).alias("nodes"), F.min("o_orderkey").alias("first"))
+    source = "map(concat('source.c', o_custkey), named_struct('unique_id', concat('source.c', o_custkey), 'resource_type', 'source', 'name', 'c', 'schema', 'raw', 'identifier', concat('c', o_custkey)))"
+    exposure = "map('e', named_struct('unique_id', concat('exposure.e', o_custkey), 'name', 'e', 'owner', named_struct('name', concat('p', o_custkey % 7)), 'depends_on', named_struct('nodes', array(concat('model.o', first)))))"
+    return found.selectExpr(f"to_json(struct(nodes, {source} AS sources, {exposure} AS exposures)) AS value")
 
 
-def text(t, document: dict) -> DataFrame:
-    return co.rows_of(t, [(json.dumps(document),)], "value string")
+def runs(t) -> DataFrame:
+    """Run results of every project: models, their tests, and tests that no manifest knows."""
+    model = "named_struct('unique_id', concat('model.o', o_orderkey), 'status', CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'error' ELSE 'skipped' END, 'message', ' a\\n  b ')"
+    test = "named_struct('unique_id', concat('test.t', o_orderkey), 'status', if(o_orderkey % 4 = 0, 'fail', 'pass'), 'message', concat('got ', o_orderkey, ' rows'))"
+    gone = "named_struct('unique_id', concat('test.gone', o_orderkey), 'status', 'fail', 'message', '')"
+    rows = t("orders").selectExpr("o_custkey", f"explode(array({model}, {test}, {gone})) AS r").groupBy("o_custkey").agg(F.collect_list("r").alias("results"))
+    return rows.selectExpr("to_json(struct(named_struct('invocation_id', concat('i', o_custkey), 'generated_at', '2026-03-02T02:14:09Z') AS metadata, results)) AS value")
+
+
+def freshness(t) -> DataFrame:
+    one = "named_struct('unique_id', concat('source.c', o_custkey), 'status', CASE o_custkey % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' ELSE 'pass' END, 'max_loaded_at', CASE WHEN o_custkey % 10 = 0 THEN '2026-03-01' END, 'age', o_custkey * 360.0D)"
+    return t("orders").select("o_custkey").distinct().selectExpr(f"to_json(struct(named_struct('invocation_id', 'f') AS metadata, array({one}) AS results)) AS value")
 
 
 def values(rows, columns: str) -> str:
     return f"SELECT * FROM {co.literal(rows, f'v({columns})')}"
 
 
-@tool("unique_id:s resource_type:s relation:s depends_on:s declared_owner:s materialized:s", values([("model.s.stg", "model", "staging.stg", "source.s.o", None, "view"), ("model.s.fct", "model", "marts.facts", "model.s.stg", None, None), ("test.s.nn", "test", None, "model.s.stg", None, None), ("test.s.src", "test", None, "source.s.o", None, None), ("test.s.two", "test", None, "model.s.stg,model.s.fct", None, None), ("source.s.o", "source", "raw.orders", "", None, None), ("exposure.s.e", "exposure", None, "model.s.fct", "ann", None)], "unique_id, resource_type, relation, depends_on, declared_owner, materialized"))
+MODEL, SOURCE = "concat('model.o', o_orderkey)", "concat('source.c', o_custkey)"
+TEST_PARENTS = f"CASE o_orderkey % 3 WHEN 0 THEN {MODEL} WHEN 1 THEN {SOURCE} ELSE concat({MODEL}, ',', {SOURCE}) END"
+
+
+@tool("unique_id:s resource_type:s relation:s depends_on:s declared_owner:s materialized:s", f"""SELECT {MODEL} AS unique_id, 'model' AS resource_type, concat('marts.', CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'o' END, o_orderkey) AS relation, {SOURCE} AS depends_on, NULL AS declared_owner, CASE o_orderstatus WHEN 'F' THEN 'table' WHEN 'O' THEN 'view' END AS materialized FROM orders
+UNION ALL SELECT concat('test.t', o_orderkey), 'test', NULL, {TEST_PARENTS}, NULL, NULL FROM orders
+UNION ALL SELECT DISTINCT {SOURCE}, 'source', concat('raw.c', o_custkey), '', NULL, NULL FROM orders
+UNION ALL SELECT concat('exposure.e', o_custkey), 'exposure', NULL, concat('model.o', min(o_orderkey)), concat('p', o_custkey % 7), NULL FROM orders GROUP BY o_custkey""")
 def artifact_manifest(t):
-    return artifacts.manifest_nodes(text(t, MANIFEST)).withColumn("depends_on", F.array_join("depends_on", ","))
+    return artifacts.manifest_nodes(manifests(t)).withColumn("depends_on", F.array_join("depends_on", ","))
 
 
-@tool("check_id:s check_type:s subject:s status:s message:s", values([("model.s.stg", "model", "model.s.stg", "error", "a b"), ("test.s.nn", "test", "model.s.stg", "fail", ""), ("test.s.two", "test", "test.s.two", "error", "x"), ("test.s.src", "test", "source.s.o", "fail", ""), ("freshness:source.s.o", "freshness", "source.s.o", "error", "max_loaded_at 2026-03-01, age 2.5 h")], "check_id, check_type, subject, status, message"))
+@tool("check_id:s check_type:s subject:s status:s message:s", f"""SELECT {MODEL} AS check_id, 'model' AS check_type, {MODEL} AS subject, 'error' AS status, 'a b' AS message FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT concat('test.t', o_orderkey), 'test', CASE o_orderkey % 3 WHEN 0 THEN {MODEL} WHEN 1 THEN {SOURCE} ELSE concat('test.t', o_orderkey) END, 'fail', concat('got ', o_orderkey, ' rows') FROM orders WHERE o_orderkey % 4 = 0
+UNION ALL SELECT DISTINCT concat('freshness:', {SOURCE}), 'freshness', {SOURCE}, 'error', printf('max_loaded_at %s, age %.1f h', CASE WHEN o_custkey % 10 = 0 THEN '2026-03-01' ELSE 'None' END, o_custkey / 10.0) FROM orders WHERE o_custkey % 5 = 0""")
 def artifact_failures(t):
-    """A run's failures from its build, its tests and the freshness of its sources, each once."""
-    found = artifacts.failures(artifacts.run_results(text(t, RUN)), artifacts.manifest_nodes(text(t, MANIFEST)))
-    return artifacts.merged(found, found, artifacts.stale_sources(artifacts.freshness_results(text(t, FRESH))))
+    """Failures of builds, of tests and of the freshness of sources, each once."""
+    found = artifacts.failures(artifacts.run_results(runs(t)), artifacts.manifest_nodes(manifests(t)))
+    return artifacts.merged(found, found, artifacts.stale_sources(artifacts.freshness_results(freshness(t))))
 
 
-@tool("node:s", values([("model.s.fct",)], "node"))
+@tool("node:s", f"SELECT {MODEL} AS node FROM orders WHERE o_orderstatus = 'P'")
 def artifact_skips(t):
-    return artifacts.skips(artifacts.run_results(text(t, RUN)), artifacts.manifest_nodes(text(t, MANIFEST)))
+    return artifacts.skips(artifacts.run_results(runs(t)), artifacts.manifest_nodes(manifests(t)))
 
 
-@tool("parent_id:s child_id:s", values([("source.s.o", "model.s.stg"), ("model.s.stg", "model.s.fct"), ("model.s.stg", "test.s.nn"), ("source.s.o", "test.s.src"), ("model.s.stg", "test.s.two"), ("model.s.fct", "test.s.two"), ("model.s.fct", "exposure.s.e")], "parent_id, child_id"))
+@tool("parent_id:s child_id:s", f"""SELECT {SOURCE} AS parent_id, {MODEL} AS child_id FROM orders UNION ALL SELECT {MODEL}, concat('test.t', o_orderkey) FROM orders WHERE o_orderkey % 3 <> 1
+UNION ALL SELECT {SOURCE}, concat('test.t', o_orderkey) FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT concat('model.o', min(o_orderkey)), concat('exposure.e', o_custkey) FROM orders GROUP BY o_custkey""")
 def artifact_graph(t):
-    return graph.build(artifacts.manifest_nodes(text(t, MANIFEST)))
-
-
-CATALOG = {"nodes": {"n": {"metadata": {"schema": "marts", "name": "facts"}, "columns": {"ID": {"name": "ID", "type": "BIGINT"}, "x": {"name": "x", "type": "VARCHAR"}}}}, "sources": {"s": {"metadata": {"schema": "raw", "name": "orders"}, "columns": {"id": {"name": "id", "type": "BIGINT"}}}}}
+    return graph.build(artifacts.manifest_nodes(manifests(t)))
 
 
-@tool("table_name:s column_name:s type:s", values([("marts.facts", "id", "BIGINT"), ("marts.facts", "x", "VARCHAR"), ("raw.orders", "id", "BIGINT")], "table_name, column_name, type"))
+@tool("table_name:s column_name:s type:s", "SELECT concat(CASE WHEN o_custkey % 2 = 0 THEN 'marts.c' ELSE 'raw.c' END, o_custkey) AS table_name, concat('o', o_orderkey) AS column_name, o_orderstatus AS type FROM orders")
 def artifact_catalogue(t):
-    return artifacts.catalogue(text(t, CATALOG))
+    """Catalogues in which a customer is a table and an order a column."""
+    columns = t("orders").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.expr("struct(concat('k', o_orderkey), named_struct('name', concat('O', o_orderkey), 'type', o_orderstatus))"))).alias("columns"))
+    entry = "map('e', named_struct('metadata', named_struct('schema', if(o_custkey % 2 = 0, 'marts', 'raw'), 'name', concat('c', o_custkey)), 'columns', columns))"
+    return artifacts.catalogue(columns.selectExpr(f"if(o_custkey % 2 = 0, to_json(struct({entry} AS nodes)), to_json(struct({entry} AS sources))) AS value"))
 
 
-TEAMS = "teams:\n- {id: core, members: [ann, bo]}\n- {id: empty}\n"
-OWNERSHIP = "datasets:\n- {match: 'model.*', owner: ann, team: core, backup: bo}\n- {match: 'source.*', owner: cy, team: empty, tier: critical}\n"
+def registry_texts(t) -> tuple[str, str]:
+    """A registry's YAML: regions as teams, their nations as members, a rule for every nation."""
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()  # a small table
+    teams = "".join(f"- {{id: {r}, members: [{', '.join(x.n_name for x in rows if x.r_name == r)}]}}\n" for r in sorted({x.r_name for x in rows}))
+    rules = "".join(f"- {{match: 'n{x.n_nationkey}.*', owner: {x.n_name}, team: {x.r_name}{', tier: critical' if x.n_nationkey % 4 == 0 else ''}{', backup: ' + x.n_name if x.n_nationkey % 3 == 0 else ''}}}\n" for x in rows)
+    return f"teams:\n{teams}", f"datasets:\n{rules}"
 
 
-@tool("match:s owner:s team:s tier:s backup:s", values([("model.*", "ann", "core", "standard", "bo"), ("source.*", "cy", "empty", "critical", None)], "match, owner, team, tier, backup"))
+@tool("match:s owner:s team:s tier:s backup:s", "SELECT concat('n', n_nationkey, '.*') AS match, n_name AS owner, r_name AS team, CASE WHEN n_nationkey % 4 = 0 THEN 'critical' ELSE 'standard' END AS tier, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS backup FROM nation JOIN region ON r_regionkey = n_regionkey")
 def registry_rules(t):
-    return artifacts.registry(t("region").sparkSession, TEAMS, OWNERSHIP)[1]
+    return artifacts.registry(t("region").sparkSession, *registry_texts(t))[1]
 
 
-@tool("team:s person:s", values([("core", "ann"), ("core", "bo")], "team, person"))
+@tool("team:s person:s", "SELECT r_name AS team, n_name AS person FROM nation JOIN region ON r_regionkey = n_regionkey")
 def registry_members(t):
-    return artifacts.registry(t("region").sparkSession, TEAMS, OWNERSHIP)[0]
+    return artifacts.registry(t("region").sparkSession, *registry_texts(t))[0]
 
 
 @tool("problem:s", values([("missing r_comment",), ("unexpected r_regionkey",), ("r_name is string",)], "problem"))
@@ -114,9 +132,10 @@ def schema_drift(t):
     return co.rows_of(t, reconcile.schema_drift(t("nation"), t("region"), ["n_nationkey"], "n_name"), "column_name string, problem string")
 
 
-@tool("table_name:s sorting_key:s engine:s", values([("a", "x, y", "sorted"), ("b", "", "view")], "table_name, sorting_key, engine"))
+@tool("table_name:s sorting_key:s engine:s", "SELECT n_name AS table_name, CASE WHEN n_nationkey % 2 = 0 THEN concat('k', n_regionkey, ', at') ELSE '' END AS sorting_key, CASE WHEN n_nationkey % 2 = 0 THEN 'sorted' ELSE 'view' END AS engine FROM nation")
 def catalogue_options(t):
-    return artifacts.table_options(t("region").sparkSession, {"a": (["x", "y"], "sorted"), "b": ([], "view")})
+    rows = t("nation").collect()  # a table a nation
+    return artifacts.table_options(t("region").sparkSession, {r.n_name: ([f"k{r.n_regionkey}", "at"], "sorted") if r.n_nationkey % 2 == 0 else ([], "view") for r in rows})
 
 
 @tool("month:s table_name:s rows:l bytes:l", "SELECT strftime(max(d), '%Y-%m') AS month, event_type AS table_name, arg_max(n, d) AS rows, arg_max(b, d) AS bytes FROM (SELECT CAST(ts + INTERVAL 1 DAY * (event_id % 40) AS DATE) AS d, event_type, count(*) AS n, sum(event_id) AS b FROM events GROUP BY ALL) GROUP BY event_type, date_trunc('month', d)")
