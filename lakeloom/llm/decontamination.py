@@ -126,7 +126,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, most_hashes: int = HASHES, m
     rows = docs.select("doc_id", whole_text().alias("_t"))
     rows = rows.select("doc_id", F.xxhash64("_t").alias("text_hash"), words(F.col("_t")).alias("_h"))
     # outer: otherwise the optimizer adds a filter that computes the words anew for every word
-    probes = rows.select("doc_id", "text_hash", F.size("_h").alias("_n"), F.posexplode_outer(seeds(F.col("_h"), short)).alias("_at", "_seed"))
+    # the number of words on its own, so that a seed's row does not carry all words along
+    probes = rows.withColumn("_n", F.size("_h")).select("doc_id", "text_hash", "_n", F.posexplode_outer(seeds(F.col("_h"), short)).alias("_at", "_seed"))
     places = hashes.agg(F.sum(F.size("_q"))).first()[0] or 0
     # beyond the bound a shuffle; a seed that no item has goes before its row is dealt out
     hit = probes.join(F.broadcast(hashes), "_seed") if places <= most_hashes else probes.where(F.col("_seed").isNotNull()).join(hashes.hint("shuffle_merge"), "_seed")
