@@ -1,11 +1,10 @@
 """Queries of artifacts, registries, contracts, statements, the incident desk and result tables.
 
-Their inputs are small documents written out here, so that what must come out can be written beside them.
+Documents and statements are made from the given tables, one for a customer or an event, and read back.
 """
 
 from __future__ import annotations
 
-import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -13,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.operators import graph, incidents, incremental, reconcile
-from lakeloom.operators.statements import ColumnLineage, parse
+from lakeloom.operators.statements import ColumnLineage
 from lakeloom.plans import platform as co
 from lakeloom.plans import results
 from lakeloom.plans.toolkit import ALERTS, EDGE_SQL, edges, n_rows, tool
-from lakeloom.sources import artifacts, generator, tables
+from lakeloom.sources import artifacts, generator, querylog, tables
 
 
 # Artifacts: a project for every customer, whose orders are its models, each with a test.
@@ -144,52 +143,58 @@ def storage_month_end(t):
     return artifacts.at_month_end(days)
 
 
-# Statements.
+# Statements that users of the shop's tables would run: what they say depends on the event.
 
-SHOP = {"marts.orders": {"order_id": "BIGINT", "customer_id": "BIGINT", "order_date": "DATE", "channel": "VARCHAR", "net": "DECIMAL(12,2)"}, "marts.people": {"customer_id": "BIGINT", "country": "VARCHAR"}}
-STATEMENTS = {
-    "star": "select * from marts.orders limit 5",
-    "cte": "with r as (select order_id, net from marts.orders where order_date > '2025-01-01') select order_id, sum(net) from r where order_id > 3 group by 1",
-    "join": 'select p.country, count(*) from "wh"."marts"."orders" o join marts.people p on p.customer_id = o.customer_id where o.channel = \'web\' group by 1',
-    "make": 'create table "wh"."marts"."daily__dbt_tmp" as (select order_date, count(*) as n from marts.orders group by 1); /* {"unique_id": "model.s.daily"} */',
-    "broken": "select from where",
+SHOP_TABLES = ("customer", "supplier", "nation", "part", "orders")
+ASKED = {
+    0: "concat('SELECT c_name FROM shop.customer WHERE c_custkey = ', user_id)",
+    1: "concat('SELECT n.n_name, avg(s.s_acctbal) FROM shop.supplier s JOIN shop.nation n ON n.n_nationkey = s.s_nationkey WHERE s.s_acctbal > ', event_id % 1000, '.5 GROUP BY n.n_name')",
+    2: "concat('INSERT INTO shop.part SELECT * FROM shop.part WHERE p_partkey BETWEEN ', event_id, ' AND ', event_id + 9)",
+    3: "concat('SELECT FROM WHERE ', event_id)",
 }
-PARSED = [
-    ("star", "marts.orders", "channel,customer_id,net,order_date,order_id", "", None, True, None), ("cte", "marts.orders", "net,order_date,order_id", "order_date", None, False, None),
-    ("join", "marts.orders", "channel,customer_id", "channel", None, False, None), ("join", "marts.people", "country,customer_id", "", None, False, None), ("make", "marts.orders", "order_date", "", "marts.daily", False, "model.s.daily"),
-    ("broken", None, None, None, None, False, None),
-]
+#: (which statement, table, column, whether it is filtered by)
+READS = [(0, "customer", "c_name", False), (0, "customer", "c_custkey", True), (1, "supplier", "s_acctbal", True), (1, "supplier", "s_nationkey", False), (1, "nation", "n_name", False), (1, "nation", "n_nationkey", False)]
+
+
+def shop(t) -> dict[str, dict[str, str]]:
+    return {f"shop.{name}": {f.name: f.dataType.simpleString().upper() for f in t(name).schema.fields} for name in SHOP_TABLES}
 
 
-@tool("statement:s table_name:s columns:s filters:s writes:s star:b node:s", values(PARSED, "statement, table_name, columns, filters, writes, star, node"))
+@tool("table_name:s column_name:s filtered:b writes:s statements:l", f"""SELECT table_name, column_name, filtered, NULL AS writes, count(*) AS statements FROM events JOIN {co.literal([(k, f"shop.{t}", c, f) for k, t, c, f in READS], "r(k, table_name, column_name, filtered)")} ON k = event_id % 4 GROUP BY ALL
+UNION ALL SELECT 'shop.part', column_name, column_name = 'p_partkey', 'shop.part', (SELECT count(*) FROM events WHERE event_id % 4 = 2) FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS column_name)""")
 def statement_reads(t):
-    rows = []
-    for name, sql in STATEMENTS.items():
-        found = parse(t("region").sparkSession, sql, SHOP)
-        reads = found.reads.items() if found.ok else [(None, None)]
-        rows += [(name, table, ",".join(sorted(r.columns)) if r else None, ",".join(sorted(r.filter_columns)) if r else None, found.writes, found.select_star, found.node_id) for table, r in reads]
-    return co.rows_of(t, rows, "statement string, table_name string, columns string, filters string, writes string, star boolean, node string")
+    """How often the statements of all events read, filter by and write each column; those that can't be read don't count."""
+    text = F.expr("CASE event_id % 4 " + " ".join(f"WHEN {k} THEN {e}" for k, e in ASKED.items()) + " END")
+    found = querylog.statement_reads(t("events").select(F.col("event_id").alias("query_id"), text.alias("sql_text")), shop(t))
+    each = found.select("table_name", "filter_columns", "writes", F.explode("columns").alias("column_name"))
+    return each.groupBy("table_name", "column_name", F.array_contains("filter_columns", F.col("column_name")).alias("filtered"), "writes").agg(n_rows().alias("statements"))
 
 
+#: Models over the shop, and what their columns come from.
 MODELS = {
-    "people": "select customer_id, lower(trim(email)) as email, country, since from raw.customers",
-    "ids": "select customer_id, first_value(customer_id) over (partition by email order by since) as main_id from staging.people",
-    "orders": "select o.*, i.main_id from raw.orders o left join intermediate.ids i on i.customer_id = o.customer_id",
-    "revenue": "select date_trunc('month', at) as month, count(*) as n, sum(amount) as amount from intermediate.orders where status = 'done' group by 1",
-    "lost": "select x from nowhere.at_all",
+    "buyers": "SELECT c_custkey AS buyer, upper(c_name) AS name, c_nationkey AS land FROM shop.customer WHERE c_acctbal > 0",
+    "sales": "SELECT b.buyer, b.land, o.o_totalprice AS price, year(o.o_orderdate) AS sold_in FROM shop.orders o JOIN models.buyers b ON b.buyer = o.o_custkey",
+    "lands": "SELECT s.sold_in, n.n_name AS land_name, sum(s.price) AS turnover FROM models.sales s LEFT JOIN shop.nation n ON n.n_nationkey = s.land GROUP BY s.sold_in, n.n_name",
+    "lost": "SELECT x FROM elsewhere.gone",
 }
-RAW_TABLES = {"raw.customers": {"customer_id": "BIGINT", "email": "VARCHAR", "country": "VARCHAR", "since": "TIMESTAMP"}, "raw.orders": {"order_id": "BIGINT", "customer_id": "BIGINT", "status": "VARCHAR", "at": "TIMESTAMP", "amount": "DECIMAL(12,2)"}}
-_PEOPLE = [("customer_id",), ("email",), ("country",), ("since",)]
-TRACED = (
-    [("people", c, "customers", c) for (c,) in _PEOPLE] + [("ids", "customer_id", "customers", "customer_id"), *(("ids", "main_id", "customers", c) for c in ("customer_id", "email", "since"))]
-    + [("orders", c, "orders", c) for c in ("order_id", "customer_id", "status", "at", "amount")] + [("orders", "main_id", t, c) for t, c in (("customers", "customer_id"), ("customers", "email"), ("customers", "since"), ("orders", "customer_id"))]
-    + [("revenue", m, "orders", c) for m, cs in (("month", ("at", "status")), ("n", ("at", "status")), ("amount", ("amount", "at", "status"))) for c in cs]
-)
-
-
-@tool("model:s column_name:s table_name:s source_column:s", values(TRACED, "model, column_name, table_name, source_column"))
+_SOLD = ("c_custkey", "c_acctbal", "o_custkey")  # an inner join's and a filter's columns feed every column
+_LANDS = ("o_orderdate", "n_name", "n_nationkey", "c_nationkey", *_SOLD)  # so do those grouped by
+TRACED = {
+    ("buyers", "buyer"): ("c_custkey", "c_acctbal"), ("buyers", "name"): ("c_name", "c_acctbal"), ("buyers", "land"): ("c_nationkey", "c_acctbal"),
+    ("sales", "buyer"): _SOLD, ("sales", "land"): ("c_nationkey", *_SOLD), ("sales", "price"): ("o_totalprice", *_SOLD), ("sales", "sold_in"): ("o_orderdate", *_SOLD),
+    ("lands", "sold_in"): _LANDS, ("lands", "land_name"): _LANDS, ("lands", "turnover"): ("o_totalprice", *_LANDS),
+}
+OWN = {"c": "customer", "o": "orders", "n": "nation"}
+TRACED_SQL = co.literal([(m, c, OWN[s[0]], s) for (m, c), sources in TRACED.items() for s in sources], "l(model, column_name, table_name, source_column)")
+COUNTS_SQL = " UNION ALL ".join(f"SELECT '{c}' AS source_column, count({c}) AS n_values FROM {OWN[c[0]]}" for c in sorted({c for x in TRACED.values() for c in x}))
+
+
+@tool("model:s column_name:s table_name:s source_column:s n_values:l", f"SELECT model, column_name, table_name, source_column, n_values FROM {TRACED_SQL} JOIN ({COUNTS_SQL}) USING (source_column)")
 def column_lineage(t):
-    return co.rows_of(t, ColumnLineage(t("region").sparkSession, MODELS, RAW_TABLES).rows(), "model string, column_name string, table_name string, source_column string")
+    """The source columns behind each column of the models, with how many values they hold."""
+    lineage = co.rows_of(t, ColumnLineage(t("region").sparkSession, MODELS, shop(t)).rows(), "model string, column_name string, table_name string, source_column string")
+    counts = [t(name).agg(*[F.count(c).alias(c) for c in t(name).columns]).unpivot([], t(name).columns, "source_column", "n_values") for name in ("customer", "orders", "nation")]
+    return lineage.join(counts[0].unionAll(counts[1]).unionAll(counts[2]), "source_column")
 
 
 # The incident desk, over two projects.

@@ -182,15 +182,25 @@ class SnowflakeHistory(VendorHistory):
         super().__init__(rows, F.when(status != "success", F.concat(F.lit("status "), status)), columns)
 
 
-def consumer_filters(records: DataFrame, spark: SparkSession, catalogue: Mapping[str, Mapping[str, str]], most: int = 10_000) -> DataFrame:
-    """query_id, table_name, filter_columns of the statements that people and dashboards ran. Statements repeat: each
-    text is parsed once, on the driver, where Spark's parser is; more than ``most`` texts are refused."""
+def statement_reads(records: DataFrame, catalogue: Mapping[str, Mapping[str, str]], most: int = 10_000) -> DataFrame:
+    """query_id, table_name, columns, filter_columns, writes, select_star of every statement in ``records`` (query_id,
+    sql_text) that can be read. Statements that differ in literals only have one shape; one text of each is parsed, on
+    the driver, where Spark's parser is. More than ``most`` shapes are refused."""
     from lakeloom.operators.statements import parse
 
-    asked = records.where(F.col("actor_type").isin(*CONSUMERS))
-    texts = [r["sql_text"] for r in asked.select("sql_text").distinct().limit(most + 1).collect()]
-    if len(texts) > most:
+    spark, shaped = records.sparkSession, records.select("query_id", "sql_text", redacted(F.col("sql_text")).alias("_shape"))
+    shapes = shaped.groupBy("_shape").agg(F.min("sql_text").alias("sql_text")).limit(most + 1).collect()
+    if len(shapes) > most:
         raise ValueError(f"more than {most} different statements")
-    rows = [(text, t, sorted(read.filter_columns)) for text in texts for t, read in parse(spark, text, catalogue).reads.items()]
-    found = spark.createDataFrame(rows, "sql_text string, table_name string, filter_columns array<string>")
-    return asked.select("query_id", "sql_text").join(found, "sql_text").select("query_id", "table_name", "filter_columns")
+    rows = []
+    for r in shapes:
+        found = parse(spark, r["sql_text"], catalogue)
+        rows += [(r["_shape"], t, sorted(x.columns), sorted(x.filter_columns), found.writes, found.select_star) for t, x in found.reads.items() if found.ok]
+    known = spark.createDataFrame(rows, "_shape string, table_name string, columns array<string>, filter_columns array<string>, writes string, select_star boolean")
+    return shaped.select("query_id", "_shape").join(F.broadcast(known), "_shape").drop("_shape")
+
+
+def consumer_filters(records: DataFrame, spark: SparkSession, catalogue: Mapping[str, Mapping[str, str]], most: int = 10_000) -> DataFrame:
+    """query_id, table_name, filter_columns of the statements that people and dashboards ran."""
+    asked = records.where(F.col("actor_type").isin(*CONSUMERS))
+    return statement_reads(asked, catalogue, most).select("query_id", "table_name", "filter_columns")
