@@ -8,7 +8,8 @@ question mark, and emptiness. Counts over labelled turns give the start, transit
 A long conversation is cut into blocks of ``BLOCK_TURNS`` source turns. Each block is reduced to its 6 x 6 matrix of best path
 weights (maximum and sum form a semiring), a conversation's matrices are chained to fix the states at block
 borders, and each block is then traced between its border states: the path is that of the whole conversation,
-but no task holds more than blocks. Turns are rendered as ``<|role|>``, text, ``<|end|>``.
+but no task holds more than blocks. Turns are rendered as ``<|role|>``, text, ``<|end|>``;
+a marker at the head goes if it names the role that the model found, and is text otherwise.
 
 Defined results: a null text counts as empty (one empty line); equal rows are one turn of the source and kept once;
 rows of equal ``turn`` follow each other by text; a null ``conv_id`` is one conversation, a null ``turn`` comes
@@ -218,8 +219,9 @@ def parse(turns: DataFrame, model: Model) -> DataFrame:
     head = F.min(F.struct("block", "line_no", "role"))["role"]
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line_no", "line"))), lambda x: x["line"]), "\n")
     grouped = numbered.groupBy("conv_id", "turn").agg(head.alias("role"), F.count(F.lit(1)).alias("n_lines"), text.alias("_text"))
-    name = F.lower(F.regexp_extract("_text", MARKER, 1))
-    plain = F.when(name.isin(list(NAMES)), F.regexp_replace("_text", MARKER, "")).otherwise(F.col("_text"))
+    speaker = F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, ROLES[v])])
+    marked = F.element_at(speaker, F.lower(F.regexp_extract("_text", MARKER, 1))) == F.col("role")  # else the head is text
+    plain = F.when(marked, F.regexp_replace("_text", MARKER, "")).otherwise(F.col("_text"))
     return grouped.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "n_lines", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), plain, F.lit("\n<|end|>")).alias("rendered"))
 
 
