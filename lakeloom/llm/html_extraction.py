@@ -10,7 +10,7 @@ The template of a page. The host's valid classes that stand on the page whole an
 most pages to those of fewest; each must lie within one gap of every class taken before it, and so nests below it.
 The text tokens of the nested classes are template, and what remains are the slots. Of these go those whose path
 leads through menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments (``DROP_TAGS``,
-class and id names made of ``DROP_NAMES``, or inside articles one of ``DROP_INSIDE`` as a whole), and, where an article or main element is among the page's tags, all
+class and id names made of ``DROP_NAMES``, fewer inside articles), and, where an article or main element is among the page's tags, all
 outside such elements. Texts of articles are no tokens: a line that the articles of a host share, or a whole article
 that stands on several pages, is their text by contract, not template. If all blocks of a page are template, those
 of its innermost class are its text.
@@ -62,9 +62,11 @@ NEUTRAL = frozenset(
     "link links button buttons btn slot unit zone row col primary secondary mobile desktop sticky fixed post posts article articles entry "
     "reader user form thread media text to the".split()
 )
-#: Inside an article or main element names decide less: only a whole name out of these, on an element that holds others.
+#: Inside an article or main element names decide less: paragraphs and the like stay whatever they are called, generic
+#: holders go by their class as elsewhere, and an id, or a section's class, counts only if it is one of these as a whole.
 DROP_INSIDE = frozenset("ad ads advert adverts advertisement advertisements comments sidebar navbar".split())
-HOLDERS = frozenset("div section aside ul ol dl table figure details center".split())
+GENERIC = frozenset("div ul ol dl table center".split())
+SECTIONS = frozenset("section figure details".split())
 WHOLE = frozenset("html body".split())  # their class names say nothing about what they hold
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("article main section div body html nav header footer aside ul ol dl table form blockquote td th".split())
@@ -86,6 +88,13 @@ def named(value: str) -> bool:
     return bool(parts & DROP_NAMES) and parts <= DROP_NAMES | NEUTRAL
 
 
+def named_inside(tag: str, kind: str, value: str) -> bool:
+    """The same inside an article, of an element's class or id."""
+    if tag in GENERIC and kind == "class":
+        return named(value)
+    return tag in GENERIC | SECTIONS and value in DROP_INSIDE
+
+
 def dropped(tag: str, attributes: str, inside: bool = False) -> bool:
     """Whether an element and all it holds is no main text; ``inside``: it lies in an article or main element."""
     if tag in DROP_TAGS:
@@ -94,7 +103,7 @@ def dropped(tag: str, attributes: str, inside: bool = False) -> bool:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and any(v in DROP_INSIDE and tag in HOLDERS if inside else named(v) for v in value.split()):
+        if name in ("class", "id") and any(named_inside(tag, name, v) if inside else named(v) for v in value.split()):
             return True
         if name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
             return True
