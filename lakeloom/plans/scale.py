@@ -13,6 +13,7 @@ from lakeloom.plans.toolkit import tool
 from lakeloom.session import shared_dir
 from lakeloom.sources import bucketed, database
 from lakeloom.sources.versioned import Versions
+from lakeloom.streaming.late import daily_with_late
 
 
 @tool("o_orderkey:l o_custkey:l o_totalprice:d o_orderdate:z", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1996-06-30 00:00:00'")
@@ -86,3 +87,17 @@ def join_bucketed(t):
     orders = bucketed.bucketed(t("orders").select("o_custkey", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice")), "orders", "o_custkey")
     totals = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("revenue"))
     return people.hint("merge").join(totals, people["c_custkey"] == totals["o_custkey"]).drop("o_custkey")
+
+
+# Rows that come late.
+
+
+@tool("day:t event_type:s n:l", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_late_rows(t):
+    """Events that arrive in three files over the same days, so that most come after their days were closed."""
+    events, spark = t("events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), t("events").sparkSession
+    folder = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    for part in ("event_id % 4 = 1", "event_id % 2 = 0", "event_id % 4 = 3"):
+        events.where(part).orderBy("ts").coalesce(1).write.mode("append").parquet(folder)  # files are read in this order
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return daily_with_late(stream)[0]
