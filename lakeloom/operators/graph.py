@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.session import stored
+from lakeloom.session import discard, stored
 
 #: Bytes of rules up to which they are broadcast.
 RULE_BYTES = 8 << 20
@@ -33,7 +33,8 @@ def closure(edges: DataFrame) -> DataFrame:
         seen = n
         a, b = paths.alias("a"), paths.alias("b")
         longer = a.join(b, F.col("a.node") == F.col("b.ancestor")).select("a.ancestor", "b.node", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        paths = stored(paths.unionAll(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "closure")
+        old, paths = paths, stored(paths.unionAll(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "closure")
+        discard(old)
     return paths
 
 
@@ -51,7 +52,9 @@ def roots(paths: DataFrame, failed: DataFrame) -> DataFrame:
     while True:
         jump = near.select(F.col("node").alias("root"), F.col("root").alias("_over"))
         further = stored(near.join(jump, "root").select("node", F.col("_over").alias("root"), (F.col("_over") != F.col("root")).alias("_moved")), "roots")
+        discard(near)
         near = further.drop("_moved")
+        near._written_to = further._written_to
         if further.where("_moved").isEmpty():
             return near
 

@@ -126,10 +126,16 @@ def incident_load(t):
     return inc.open_by_owner(incidents(t))
 
 
-@tool("incident_id:s acknowledged_at:z fixed_at:z", f"SELECT incident_id, opened_at + to_seconds(a) AS acknowledged_at, opened_at + to_seconds(a + f) AS fixed_at FROM (SELECT *, CAST(round_even(CASE severity WHEN 'SEV1' THEN 10.0 WHEN 'SEV2' THEN 30.0 ELSE 120.0 END * (1 + 0.25 * k) * {SPREAD.format('ack')} * 60, 0) AS BIGINT) AS a, CAST(round_even(CASE severity WHEN 'SEV1' THEN 4.0 WHEN 'SEV2' THEN 12.0 ELSE 48.0 END * (1 + 0.25 * k) * {SPREAD.format('resolve')} * 3600, 0) AS BIGINT) AS f FROM (SELECT *, event_id % 4 AS k FROM {INCIDENTS_SQL}))")
+@tool("incident_id:s paged:s", f"SELECT incident_id, CASE WHEN event_id % 5 > 0 AND owner_open >= 2 THEN concat('b', CAST(event_id % 5 AS VARCHAR)) ELSE owner END AS paged FROM {OPEN_SQL}")
+def incident_paging(t):
+    """Who is paged: the owner, or the backup (four in five have one) where the owner has two open incidents already."""
+    backup = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string")))
+    return inc.open_by_owner(incidents(t)).select("incident_id", inc.paged(F.col("owner"), backup, F.col("owner_open"), 2).alias("paged"))
+
+
+@tool("incident_id:s acknowledged_at:z fixed_at:z", f"SELECT incident_id, opened_at + to_seconds(a) AS acknowledged_at, opened_at + to_seconds(a + f) AS fixed_at FROM (SELECT *, CAST(round_even(CASE severity WHEN 'SEV1' THEN 10.0 WHEN 'SEV2' THEN 30.0 ELSE 120.0 END * (1 + 0.25 * k) * {SPREAD.format('ack')} * 60, 0) AS BIGINT) AS a, CAST(round_even(CASE severity WHEN 'SEV1' THEN 4.0 WHEN 'SEV2' THEN 12.0 ELSE 48.0 END * (1 + 0.25 * k) * {SPREAD.format('resolve')} * 3600, 0) AS BIGINT) AS f FROM (SELECT *, owner_open AS k FROM {OPEN_SQL}))")
 def incident_responses(t):
-    rows = incidents(t).withColumn("owner_open", F.col("event_id") % 4)
-    return inc.responses(rows, {"SEV1": 10, "SEV2": 30, "SEV3": 120}, {"SEV1": 4, "SEV2": 12, "SEV3": 48}, 0.25, 7)
+    return inc.responses(inc.open_by_owner(incidents(t)), {"SEV1": 10, "SEV2": 30, "SEV3": 120}, {"SEV1": 4, "SEV2": 12, "SEV3": 48}, 0.25, 7)
 
 
 FAULTS = [("F1", "s0", "2024-01-02", "2024-01-05", "p1", "sales"), ("F2", "s3", "2024-01-10", None, "p2", "finance"), ("F3", "m5", "2024-01-01", "2024-01-20", "p3", "platform")]

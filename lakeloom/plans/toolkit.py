@@ -327,12 +327,18 @@ def report_explanations(t):
     return out.withColumn("causes", F.array_join("causes", ","))
 
 
-@tool("wall:z first:z second:z", "SELECT * FROM (VALUES (TIMESTAMP '2025-01-15 12:00:00', TIMESTAMP '2025-01-15 17:00:00', NULL), (TIMESTAMP '2025-07-01 14:00:00', TIMESTAMP '2025-07-01 18:00:00', NULL), (TIMESTAMP '2025-11-02 01:30:00', TIMESTAMP '2025-11-02 05:30:00', TIMESTAMP '2025-11-02 06:30:00')) v(wall, first, second)")
+WALL = "ts + INTERVAL '1' DAY * (event_id % 300)"
+SUMMER, REPEATED = "wall >= TIMESTAMP '2024-03-10 03:00:00' AND wall < TIMESTAMP '2024-11-03 02:00:00'", "wall >= TIMESTAMP '2024-11-03 01:00:00' AND wall < TIMESTAMP '2024-11-03 02:00:00'"
+SKIPPED = "wall >= TIMESTAMP '2024-03-10 02:00:00' AND wall < TIMESTAMP '2024-03-10 03:00:00'"
+
+
+@tool("event_id:l first:z second:z", f"SELECT event_id, wall + INTERVAL '1' HOUR * (CASE WHEN {SUMMER} THEN 4 ELSE 5 END) AS first, CASE WHEN {REPEATED} THEN wall + INTERVAL '5' HOUR END AS second FROM (SELECT event_id, {WALL} AS wall FROM events) WHERE NOT ({SKIPPED})")
 def tz_both_folds(t):
-    """The instants that a wall clock time in New York can mean: two in the hour that the clocks repeat."""
-    rows = t("region").sparkSession.createDataFrame([("2025-01-15 12:00:00",), ("2025-07-01 14:00:00",), ("2025-11-02 01:30:00",)], "w string").select(F.col("w").cast("timestamp").alias("wall"))
+    """The instants that a wall clock time in New York can mean: two in the hour that the clocks repeat; times in the hour
+    that they skip are left out."""
+    rows = t("events").select("event_id", F.expr(WALL).alias("wall")).where(f"NOT ({SKIPPED})").withColumn("wall", F.col("wall").cast("timestamp"))
     one, two = rec.other_fold(F.col("wall"), "America/New_York")
-    return rows.select("wall", F.least(one, F.coalesce(two, one)).alias("first"), F.when(two.isNotNull(), F.greatest(one, two)).alias("second"))
+    return rows.select("event_id", F.least(one, F.coalesce(two, one)).alias("first"), F.when(two.isNotNull(), F.greatest(one, two)).alias("second"))
 
 
 @tool("segment:l n_rows:l h1:l h2:l", f"SELECT {HEX.format('md5(CAST(o_orderkey AS VARCHAR))', 1)} >> 24 AS segment, count(*) AS n_rows, sum({HEX.format(f'md5({TEXT})', 1)}) AS h1, sum({HEX.format(f'md5({TEXT})', 9)}) AS h2 FROM ({SOURCE}) GROUP BY ALL")

@@ -40,4 +40,13 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``stored`` wrote; nothing may read these tables any more."""
+    for rows in written:
+        path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(rows._written_to)
+        path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
