@@ -4,10 +4,13 @@ that outlive replacement, bucketed tables, late rows."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.operators import hash_tree
+from lakeloom.operators import faults, hash_tree, reconcile
+from lakeloom.operators.faults import OneOff
 from lakeloom.operators.reconcile import Rule
 from lakeloom.plans.toolkit import tool
 from lakeloom.session import shared_dir
@@ -101,3 +104,32 @@ def stream_late_rows(t):
         events.where(part).orderBy("ts").coalesce(1).write.mode("append").parquet(folder)  # files are read in this order
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return daily_with_late(stream)[0]
+
+
+# Single faults in a copy.
+
+ONE_OFFS = (
+    OneOff("invented", "invented", 5), OneOff("deleted", "deleted", 6), OneOff("overwritten", "changed", 8, "o_orderpriority", "'0-NONE'"), OneOff("lowered", "changed", 8, "o_orderstatus", "lower({c})"),
+    OneOff("padded", "changed", 6, "o_orderpriority", "concat({c}, ' ')"), OneOff("cent", "changed", 6, "o_totalprice", "{c} + 0.01"), OneOff("shifted", "changed", 5, "o_orderdate", "{c} + INTERVAL '2' HOUR"),
+)
+FOUND_AS = {"invented": "extra", "deleted": "missing", "changed": "changed"}
+ONE_OFF_SQL = " UNION ALL ".join(
+    "SELECT 'invented' AS fault, CAST((SELECT max(o_orderkey) FROM orders) + 1000000 + n AS VARCHAR) AS row_key, 'extra' AS kind FROM range(1, 6) r(n)" if f.kind == "invented" else
+    f"SELECT * FROM (SELECT '{f.name}', CAST(o_orderkey AS VARCHAR), '{FOUND_AS[f.kind]}' FROM orders ORDER BY CAST(concat('0x', substr(md5(concat('7:{f.name}:', o_orderkey)), 1, 8)) AS BIGINT), o_orderkey LIMIT {f.rows})"
+    for f in ONE_OFFS
+)
+
+
+@tool("fault:s row_key:s kind:s", ONE_OFF_SQL)
+def faults_one_off(t):
+    """What a comparison finds of each fault alone in a copy of the orders, and nothing of it once it is repaired."""
+    orders = t("orders").selectExpr("o_orderkey", "o_orderstatus", "o_orderpriority", "CAST(o_totalprice AS DECIMAL(12,2)) o_totalprice", "o_orderdate")
+    rules = {"o_orderkey": Rule("int"), "o_orderstatus": Rule("text"), "o_orderpriority": Rule("text"), "o_totalprice": Rule("decimal"), "o_orderdate": Rule("ts")}
+    keyed = lambda rows: reconcile.hashed(rows, ["o_orderkey"], rules)
+    source, out = keyed(orders), []
+    for fault in ONE_OFFS:
+        damaged, truth = faults.planted(orders, "o_orderkey", fault, 7)
+        after = faults.repaired(damaged, orders, "o_orderkey", truth)
+        for name, rows in ((fault.name, damaged), (f"{fault.name}, repaired", after)):
+            out.append(reconcile.row_differences(source, keyed(rows)).select(F.lit(name).alias("fault"), "row_key", "kind"))
+    return reduce(DataFrame.unionAll, out)
