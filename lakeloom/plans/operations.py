@@ -70,20 +70,25 @@ def incident_escalations(t):
     return out.withColumn("reasons", F.array_join("reasons", ";"))
 
 
-FEEDS = [("stg_a", ["source.a"]), ("stg_b", ["source.a", "source.b"]), ("fct", ["stg_a", "stg_b"])]
-TRACED = [("fct", "x", "source.b"), ("fct", "y", "source.b"), ("fct", "z", "source.a"), ("stg_b", "k", "source.a")]
-#: root, subject, check_type, columns, and where each root goes: to the source of all failing columns, of a staging model with one source to that, else itself.
-FAILING = [("fct", "fct", "test", ["x", "y"]), ("stg_a", "stg_a", "model", None), ("stg_b", "stg_b", "test", ["k", "unknown"]), ("test.q", "test.q", "test", ["x"]), ("test.r", "test.r", "test", None), ("source.b", "source.b", "freshness", None)]
-ROUTED = [("fct", "fct", "source.b", "bo", "ann"), ("stg_a", "stg_a", "source.a", "al", "cy"), ("stg_b", "stg_b", "stg_b", "di", "di"), ("test.q", "fct", "fct", "ann", "ann"), ("test.r", "test.r", "test.r", "unowned", "unowned"), ("source.b", "source.b", "source.b", "bo", "bo")]
+#: A failing model for every order: every third is a staging model; all read their customer's source, even ones another.
+#: One in four has a failing test of two columns that are traced, one in four of a column that is not.
+ROUTE = {
+    "root": "concat(CASE WHEN o_orderkey % 3 = 0 THEN 'stg_o' ELSE 'o' END, o_orderkey)", "mine": "concat('source.c', o_custkey)", "other": "concat('source.s', o_orderkey % 10)",
+    "owner": "CASE WHEN o_orderkey % 6 <> 0 THEN concat('m', o_orderkey % 3) END", "source_owner": "concat('pc', o_custkey % 7)",
+}
+TO_SOURCE = "(o_orderkey % 4 = 1 AND o_orderkey % 5 <> 0) OR (o_orderkey % 3 = 0 AND o_orderkey % 2 = 1)"
 
 
-@tool("root:s dataset:s routed_to:s owner:s naive_owner:s", f"SELECT * FROM {co.literal(ROUTED, 'r(root, dataset, routed_to, owner, naive_owner)')}")
+@tool("root:s dataset:s routed_to:s owner:s naive_owner:s", f"SELECT {ROUTE['root']} AS root, root AS dataset, CASE WHEN {TO_SOURCE} THEN {ROUTE['mine']} ELSE root END AS routed_to, CASE WHEN {TO_SOURCE} THEN {ROUTE['source_owner']} ELSE ifnull({ROUTE['owner']}, 'unowned') END AS owner, ifnull({ROUTE['owner']}, 'unowned') AS naive_owner FROM orders")
 def incident_routes(t):
-    kinds = [(n, "model", n, p, None) for n, p in FEEDS] + [("test.q", "test", "q", ["fct", "stg_a"], "fct"), ("test.r", "test", "r", ["fct", "stg_a"], None), *((s, "source", s, [], None) for s in ("source.a", "source.b"))]
-    nodes = co.rows_of(t, kinds, "unique_id string, resource_type string, name string, depends_on array<string>, attached_node string")
-    owned = co.rows_of(t, [("source.a", "al", "x"), ("source.b", "bo", "x"), ("stg_a", "cy", "x"), ("stg_b", "di", "x"), ("fct", "ann", "x")], "node string, owner string, team string")
-    events = co.rows_of(t, FAILING, "root string, subject string, check_type string, columns array<string>")
-    return inc.routes(events.select("root"), nodes, owned, events, co.rows_of(t, TRACED, "unique_id string, column_name string, source string"))
+    """To the owner of the one source that all failing columns come from, of a staging model's one source, or its own."""
+    rows = t("orders").selectExpr("o_orderkey AS k", *[f"{e} AS {c}" for c, e in ROUTE.items()])
+    nodes = rows.selectExpr("root AS unique_id", "'model' AS resource_type", "root AS name", "CASE WHEN k % 2 = 0 THEN array(mine, other) ELSE array(mine) END AS depends_on", "CAST(NULL AS STRING) AS attached_node")
+    columns = "CASE k % 4 WHEN 1 THEN array('a', 'b') WHEN 2 THEN array('a', 'untraced') END"
+    events = rows.selectExpr("root", "root AS subject", "CASE WHEN k % 4 IN (1, 2) THEN 'test' ELSE 'model' END AS check_type", f"{columns} AS columns")
+    traced = rows.selectExpr("root AS unique_id", "explode(array(struct('a' AS c, mine AS s), struct('b' AS c, CASE WHEN k % 5 = 0 THEN other ELSE mine END AS s))) AS x").selectExpr("unique_id", "x.c AS column_name", "x.s AS source")
+    owned = rows.where("owner IS NOT NULL").selectExpr("root AS node", "owner").unionAll(rows.selectExpr("mine", "source_owner").distinct()).unionAll(rows.selectExpr("other", "concat('p', other)").distinct())
+    return inc.routes(events.select("root"), nodes, owned.withColumn("team", F.lit("x")), events, traced)
 
 
 RUN_SQL = "(SELECT concat('m', CAST(user_id % 10 AS VARCHAR)) AS node, CASE WHEN event_id % 97 = 5 THEN 'error' WHEN event_id % 50 = 1 THEN 'skipped' ELSE 'success' END AS status FROM events WHERE event_id % 13 = 0)"
