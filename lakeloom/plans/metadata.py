@@ -5,10 +5,10 @@ Documents and statements are made from the given tables, one for a customer or a
 
 from __future__ import annotations
 
-from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,23 +198,27 @@ def column_lineage(t):
     return lineage.join(counts[0].unionAll(counts[1]).unionAll(counts[2]), "source_column")
 
 
-# The incident desk, over two projects.
+# The incident desk: every customer is a project, every order a run, in which the staging model fails (status O), builds
+# (F), or is not looked at (P).
 
-PARENTS = {"source.o": [], "stg": ["source.o"], "fct": ["stg"], "test.nn": ["stg"], "test.u": ["fct"]}
-PARTS = [
-    ("1", "night-1", 1, [("stg", "success"), ("test.nn", "fail")], {"test.nn": "stg"}), ("1", "night-1", 1, [("stg", "success"), ("test.nn", "fail")], {"test.nn": "stg"}),
-    ("2", "rerun", 2, [("fct", "error")], {"fct": "fct"}), ("3", "night-2", 3, [("stg", "success"), ("test.nn", "pass"), ("fct", "error")], {"fct": "fct"}),
-    ("4", "night-3", 4, [("fct", "error")], {"fct": "fct"}), ("5", "night-3", 4, [("stg", "error")], {"stg": "stg"}),
-]
+DESK_SQL = """WITH runs AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+looked AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY c ORDER BY n), 'F') AS before FROM runs WHERE s <> 'P'),
+opened AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n) AS number FROM looked WHERE s = 'O' AND before = 'F')
+SELECT concat('c', c) AS project, number, 'stg' AS root, CAST(k AS VARCHAR) AS opened_by, CAST((SELECT arg_min(l.k, l.n) FROM looked l WHERE l.c = o.c AND l.n > o.n AND l.s = 'F') AS VARCHAR) AS resolved_by, NULL AS merged_into FROM opened o"""
 
 
-@tool("project:s number:l root:s opened_by:s resolved_by:s merged_into:l", values([("p", 1, "stg", "night-1", "night-2", None), ("p", 2, "fct", "night-2", None, None), ("q", 1, "stg", "night-1", None, None)], "project, number, root, opened_by, resolved_by, merged_into"))
+@tool("project:s number:l root:s opened_by:s resolved_by:s merged_into:l", DESK_SQL)
 def incident_history(t):
-    """A rerun below an unchecked root joins its incident; a healthy root closes it, and what fails below is new."""
-    rows = [(p, k, f"{p}{i}", run, datetime(2026, 3, day), node, s, node if node in bad else None, bad.get(node)) for p, parts in (("p", PARTS), ("q", PARTS[:3])) for k, (i, run, day, results_, bad) in enumerate(parts) for node, s in results_]
-    lineage = [(p, n, {"test.nn": "stg", "test.u": "fct"}.get(n), ps, {"stg": ["test.nn"], "fct": ["test.u"]}.get(n, [])) for p in "pq" for n, ps in PARENTS.items()]
-    found = co.rows_of(t, rows, "project string, arrival int, invocation_id string, run_id string, at timestamp, node string, status string, check_id string, subject string")
-    return incidents.history(found, co.rows_of(t, lineage, "project string, node string, dataset string, parents array<string>, tests array<string>"))
+    """A first failure opens an incident, further ones are its updates, the next build that succeeds closes it."""
+    arrival = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("arrival")
+    failed = F.when(F.col("o_orderstatus") == "O", "stg")
+    node = F.when(F.col("o_orderstatus") == "P", "other").otherwise("stg")
+    status = F.when(F.col("o_orderstatus") == "O", "error").otherwise("success")
+    run, project = F.col("o_orderkey").cast("string"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    rows = t("orders").select(project.alias("project"), arrival, run.alias("invocation_id"), run.alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("at"), node.alias("node"), status.alias("status"), failed.alias("check_id"), failed.alias("subject"))
+    empty = F.array().cast("array<string>")
+    lineage = rows.select("project").distinct().select("project", F.explode(F.array(F.lit("stg"), F.lit("other"))).alias("node"), F.lit(None).cast("string").alias("dataset"), empty.alias("parents"), empty.alias("tests"))
+    return incidents.history(rows, lineage)
 
 
 # History, faults, results.
