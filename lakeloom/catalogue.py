@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.plans import legacy, metadata, operations, oracle, platform, scale
+from lakeloom.plans import asked, legacy, metadata, operations, oracle, platform, scale
 from lakeloom.plans.toolkit import TOOLS, opened
 from lakeloom.plans.warehouse import MODELS, Warehouse
 
 
-assert platform.NODES and operations.HEALTH and metadata.MODEL and scale.database  # their queries join TOOLS when they are imported
+assert platform.NODES and operations.HEALTH and metadata.MODEL and scale.database and asked.ASKED  # their queries join TOOLS when they are imported
 
 
 def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:

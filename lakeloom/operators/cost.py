@@ -63,7 +63,9 @@ def month_pools(days: DataFrame, day: str, monthly: Column) -> DataFrame:
     """A stated monthly price per month, in proportion to the days present."""
     month, length = F.date_format(day, "yyyy-MM"), F.dayofmonth(F.last_day(day))
     rows = days.select(month.alias("month"), length.alias("_length")).groupBy("month", "_length").agg(F.count(F.lit(1)).alias("days"))
-    return rows.select("month", "days", F.round(monthly.cast("decimal(20,6)") * F.col("days") / F.col("_length"), 12).cast("decimal(30,12)").alias("usd"))
+    # narrow types: Spark gives a quotient fewer digits where the types could overflow
+    priced = (monthly.cast("decimal(20,6)") * F.col("days").cast("decimal(4,0)")).cast("decimal(31,12)") / F.col("_length").cast("decimal(2,0)")
+    return rows.select("month", "days", F.round(priced, 12).cast("decimal(30,12)").alias("usd"))
 
 
 def with_group(rows: DataFrame, by: Sequence[str], *aggregates: Column) -> DataFrame:
