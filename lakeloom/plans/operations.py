@@ -307,6 +307,14 @@ def table_create_as(t):
     return tables.create_as(t("orders").where("o_totalprice > 1000").select("o_orderkey", "o_totalprice"), place(t, "created"), ["o_orderkey"], by_range=True)
 
 
+@tool("n_rows:l last_key:l cents:l", "SELECT count(*) AS n_rows, max(o_orderkey) AS last_key, CAST(sum(CAST(o_totalprice * 100 AS DECIMAL(18,0))) AS BIGINT) AS cents FROM orders WHERE o_orderstatus <> 'F'")
+def table_discard(t):
+    """What is seen of orders that are computed and thrown away."""
+    cents = F.sum((F.col("o_totalprice").cast("decimal(12,2)") * 100).cast("long"))
+    found = tables.discard(t("orders").where("o_orderstatus <> 'F'"), n_rows=F.count(F.lit(1)), last_key=F.max("o_orderkey"), cents=cents)
+    return co.rows_of(t, [(found["n_rows"], found["last_key"], found["cents"])], "n_rows long, last_key long, cents long")
+
+
 @tool("c_custkey:l c_name:s", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0")
 def table_create_view(t):
     return tables.create_view(t("customer").where("c_acctbal < 0").select("c_custkey", "c_name"), "poor_customers")

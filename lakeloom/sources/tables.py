@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -133,9 +133,11 @@ def frozen(reports: Mapping[str, DataFrame], folder: str, threads: int = 4) -> d
     return paths
 
 
-def discard(rows: DataFrame) -> None:
-    """Compute all rows and keep none."""
-    rows.write.format("noop").mode("overwrite").save()
+def discard(rows: DataFrame, **measures: Column) -> dict:
+    """Compute all rows and keep none; the measures (aggregates) are taken on the way."""
+    seen = Observation()
+    (rows.observe(seen, *[m.alias(name) for name, m in measures.items()]) if measures else rows).write.format("noop").mode("overwrite").save()
+    return seen.get if measures else {}
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
