@@ -215,3 +215,23 @@ def test_a_connector_compares_as_of_a_watermark(spark):
     found = reconcile.row_differences(source.fetch(1, differ), target.fetch(1, differ))
     assert [(r.row_key, r.kind) for r in found.collect()] == [("7", "extra")]
     assert [(r.row_key, r.kind) for r in reconcile.without_in_flight(found, source.keys_after(mark)).collect()] == [("7", "in_flight")]
+
+
+def test_history_of_many_projects_streams_past_one_desk_at_a_time(spark):
+    n = 3000
+    results = spark.sql(f"SELECT concat('p', id % {n}) AS project, id DIV {n} AS arrival, CAST(id AS STRING) AS invocation_id, CAST(id AS STRING) AS run_id, timestamp_seconds(id) AS at, 'stg' AS node, if(id DIV {n} IN (1, 2, 4), 'error', 'success') AS status, if(id DIV {n} IN (1, 2, 4), 'stg', NULL) AS check_id, if(id DIV {n} IN (1, 2, 4), 'stg', NULL) AS subject FROM range({6 * n})")
+    lineage = results.select("project").distinct().selectExpr("project", "'stg' AS node", "CAST(NULL AS STRING) AS dataset", "CAST(array() AS array<string>) AS parents", "CAST(array() AS array<string>) AS tests")
+    found = incidents.history(results, lineage)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()  # no group, and no table, for each project
+    got = {(r.project, r.number, int(r.opened_by), int(r.resolved_by), int(r.opened_at.timestamp()), int(r.resolved_at.timestamp())) for r in found.collect()}
+    assert got == {(f"p{i}", k, a * n + i, b * n + i, a * n + i, b * n + i) for i in range(n) for k, a, b in ((1, 1, 3), (2, 4, 5))}
+
+
+def test_a_run_looks_at_no_incident_closed_long_before():
+    d = desk()
+    for k in range(200):
+        d.ingest(f"f{k}", f"f{k}", AT + timedelta(days=2 * k), *BROKEN)
+        d.ingest(f"s{k}", f"s{k}", AT + timedelta(days=2 * k + 1), [], [("stg_orders", "success"), ("test.not_null", "pass")])
+    assert len(d.incidents) == 200 and not d._open and all(len(x) == 1 for x in d._closed_by.values())
+    d.ingest("late", "f3", AT + timedelta(days=6), [("fct", "fct")], [("fct", "error")])  # a later part of an old run still finds its own
+    assert len(d.incidents) == 200 and d.incidents[3].merged_into is None
