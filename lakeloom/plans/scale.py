@@ -23,8 +23,7 @@ from lakeloom.streaming.late import daily_with_late
 def scan_jdbc_range(t):
     """The orders in a database, read back by key ranges that it counted for the rows of the time range."""
     orders = t("orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderdate")
-    db = database.embedded("lakeloom")
-    db.write(orders, "orders")
+    db = database.published(orders, "orders")
     return database.changed_rows(db, orders.sparkSession, "orders", "o_orderkey", "o_orderdate", "1995-01-01 00:00:00", "1996-06-30 00:00:00")
 
 

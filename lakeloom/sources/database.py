@@ -7,16 +7,25 @@ predicate. A range of the change time is a filter that the database runs in each
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Sequence
+from contextlib import suppress
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.session import shared_dir
 from lakeloom.sources.tables import changed_range
 
 #: Buckets of one count, over all ranges that it refines: what the driver sees at once.
 BUCKETS = 1024
 ROUNDS = 8
+DERBY = (("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver"), ("preferTimestampNTZ", "true"))
 
 
 @dataclass(frozen=True)
@@ -41,7 +50,39 @@ def quoted(name: str) -> str:
 
 def embedded(name: str) -> Database:
     """A database in this process's memory, for one machine."""
-    return Database(f"jdbc:derby:memory:{name};create=true", (("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver"), ("preferTimestampNTZ", "true")))
+    return Database(f"jdbc:derby:memory:{name};create=true", DERBY)
+
+
+def published(rows: DataFrame, table: str) -> Database:
+    """A database of one table that every executor can read: an archive in the shared folder, which Derby opens for
+    reading in any number of processes, while an ``embedded`` one is seen by its own process alone. Executors write the
+    rows out; a Derby has a single writer, which loads these files in this process from disk to disk. The folder has to
+    be mounted where executors run."""
+    spark, folder = rows.sparkSession, urlsplit(f"{shared_dir(rows.sparkSession)}/database-{uuid.uuid4().hex}")
+    if folder.scheme not in ("", "file"):
+        raise ValueError(f"Derby reads mounted folders only, not {folder.scheme}:")
+    rows.write.options(escape='"', timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS").csv(f"{folder.geturl()}/rows")
+    files = sorted(f for f in os.listdir(f"{folder.path}/rows") if f.endswith(".csv"))
+    jvm = spark.sparkContext._jvm
+    with tempfile.TemporaryDirectory(prefix="lakeloom-derby-") as own:
+        home = f"jdbc:derby:{own}/db"
+        Database(f"{home};create=true", DERBY).write(spark.createDataFrame([], rows.schema), table)  # no rows, so no task opens it
+        connection = jvm.java.sql.DriverManager.getConnection(home)
+        load = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        load.setString(1, table.upper())
+        for f in files:
+            load.setString(2, f"{folder.path}/rows/{f}")
+            load.execute()
+        connection.close()
+        with suppress(Py4JJavaError):  # Derby reports that it has shut down as an error
+            jvm.java.sql.DriverManager.getConnection(f"{home};shutdown=true")
+        with zipfile.ZipFile(f"{folder.path}/db.jar", "w", zipfile.ZIP_STORED) as jar:  # not compressed: pages are read where they lie
+            for at, _, names in os.walk(f"{own}/db"):
+                for name in names:
+                    jar.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", own))
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder.geturl()}/rows")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return Database(f"jdbc:derby:jar:({folder.path}/db.jar)db", DERBY)
 
 
 def counted(db: Database, spark: SparkSession, table: str, key: str, ranges: Sequence[tuple[int, int]], where: str) -> list[tuple[int, int, int]]:

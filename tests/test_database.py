@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,3 +47,17 @@ def test_no_rows(spark):
     assert database.changed_rows(db, spark, "empty", "k", "at", None, "2024-01-01 10:00:00").collect() == []
     db.write(spark.createDataFrame([(None, T0, "x")], SCHEMA), "nokey")
     assert database.changed_rows(db, spark, "nokey", "k", "at", None, "2024-01-01 10:00:00").count() == 1
+
+
+def test_a_published_table_is_read_by_other_processes(spark, tmp_path):
+    rows = [(k, T0 + dt.timedelta(seconds=k, microseconds=k), note) for k, note in enumerate(['a "quoted", b', "two\nlines", "", None, "é \\", "plain"] * 40)] + [(None, T0, None), (900, None, "x")]
+    db = database.published(spark.createDataFrame(rows, SCHEMA), "notes")
+    got = database.changed_rows(db, spark, "notes", "k", "at", None, "2024-02-01 00:00:00")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[1]), key=str)
+    code = (
+        "import sys; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local-cluster[2,1,1024]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"from lakeloom.sources import database as d; db = d.Database({db.url!r}, {db.options!r})\n"
+        "print('ROWS', d.changed_rows(db, s, 'notes', 'k', 'at', None, '2024-02-01 00:00:00').count())"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180, cwd=Path(database.__file__).parents[2])
+    assert f"ROWS {len(rows) - 1}" in done.stdout, done.stderr[-2000:]  # while this process has it open
