@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's docs. All but the last return the columns of ``documents``.
 
 A toxic document is rejected (stage 1); of each group of near duplicates (0.8 or more of their five-word shingles in
-common) the one with the smallest id stays, of repeated rows any one (stage 2; why its candidates don't come from
-64-bit fingerprints is said in the README); bytes that repeat a 50-byte string of an earlier document are cut, and
+common) the one with the smallest id stays, of repeated rows any one (stage 2: SimHash proposes, and so do bands of
+least hashes, since fingerprints alone are not enough, as the README says; an exact check decides); bytes that repeat a 50-byte string of an earlier document are cut, and
 documents of which nothing is left go (stage 3); documents that overlap a benchmark item go (stage 4); the rest is
 packed (stage 5). Stages work whatever further columns the documents have; an empty table gives an empty result.
 """

@@ -1,9 +1,11 @@
-"""Near duplicates by the similarity of their shingles, for the pipeline.
+"""Near duplicates by SimHash and by the similarity of their shingles, for the pipeline.
 
 Two texts are near duplicates if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; words
-are those of the fingerprints (``simhash.WORDS``, A-Z lower-cased). At 0.8 two 64-bit fingerprints differ in about
-10 bits and often in 15, and no blocks of 64 bits are selective for that, so the candidates come from ``BANDS``
-bands of ``ROWS`` least hashes: a pair of exactly 0.8 shares none with a chance of 2 in 100,000, one of 0.85 of 8 in
+are those of the fingerprints (``simhash.WORDS``, A-Z lower-cased). Texts whose fingerprints differ in at most three
+bits, directly or over others (``simhash``, with its search), are candidates, and every two of such a group are checked.
+At 0.8 two 64-bit fingerprints differ in about 10 bits and often in 15, and no blocks of 64 bits are selective for
+that, so further candidates come from ``BANDS`` bands
+of ``ROWS`` least hashes: a pair of exactly 0.8 shares none with a chance of 2 in 100,000, one of 0.85 of 8 in
 10^8. Every candidate is then checked by its whole sets of shingles.
 
 Equal sets are one node. A bucket's members are checked against a few of them, and what is left of it in blocks
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm import simhash
 from lakeloom.llm._util import discard, id_text, materialise, release, whole_text
 from lakeloom.llm.simhash import components, keep_least, shingle_hashes
 
@@ -57,20 +60,21 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """_id, _h (hash of the text), _n (hash of its set of shingles), _size and _bands of every row. Map-only."""
+    """_id, _h (hash of the text), _n (hash of its set of shingles), _size, _bands and _fp (fingerprint) of every row. Map-only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for t in batch["text"]:  # one set at a time
                 own = shingles(t, shingle)
-                found.append((node(own), len(own), bands(own)))
-            n, size, keys = zip(*found, strict=True) if found else ((), (), ())
-            yield pd.DataFrame({"_id": batch["_id"], "_h": batch["_h"].to_numpy(), "_n": n, "_size": size, "_bands": keys})
+                found.append((node(own), len(own), bands(own), simhash.fingerprint(t)))
+            n, size, keys, prints = zip(*found, strict=True) if found else ((), (), (), ())
+            prints = np.array(prints, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"_id": batch["_id"], "_h": batch["_h"].to_numpy(), "_n": n, "_size": size, "_bands": keys, "_fp": prints})
         release()
 
     source = docs.select(id_text().alias("_id"), F.xxhash64(whole_text()).alias("_h"), whole_text().alias("text"))
-    return source.mapInPandas(run, "_id string, _h long, _n long, _size long, _bands array<long>").withColumn("_id", F.col("_id").cast("long"))
+    return source.mapInPandas(run, "_id string, _h long, _n long, _size long, _bands array<long>, _fp long").withColumn("_id", F.col("_id").cast("long"))
 
 
 def node(found: np.ndarray) -> int:
@@ -187,6 +191,16 @@ def linked(members: DataFrame, sets: DataFrame) -> DataFrame:
     return label
 
 
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """_bucket and _n: the sets of shingles of each group of texts that their fingerprints (_fp) link."""
+    links = simhash.links(rows.select("_fp").distinct())
+    group = components(links)
+    own = rows.select("_n", "_fp").distinct().join(group.withColumnRenamed("_root", "_group"), "_fp", "left")
+    out = materialise(own.select(F.xxhash64(F.lit(BANDS), F.coalesce("_group", "_fp")).alias("_bucket"), "_n").distinct(), "shingle-prints")
+    discard(links, group)
+    return out
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component: that of the smallest ``doc_id``, of rows that share it the one of least text
     hash, of equal rows one."""
@@ -194,6 +208,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_h").alias("h"))
     nodes = materialise(rows.groupBy("_n").agg(F.min(rank).alias("_least"), F.min("_size").alias("_size"), F.first("_bands").alias("_bands")), "shingle-nodes")
     filed = nodes.select("_n", "_size", F.posexplode("_bands").alias("_b", "_k")).select(F.xxhash64("_b", "_k").alias("_bucket"), "_n", "_size")
+    prints = by_fingerprint(rows)
+    filed = filed.unionByName(prints.join(nodes.select("_n", "_size"), "_n"))
     # Buckets with equal members (two sums of hashes stand for them) say the same, so one of them is enough.
     buckets = filed.groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("_n")).alias("_x"), F.bit_xor(F.xxhash64("_n", F.lit(1))).alias("_y")
@@ -207,5 +223,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     owned = nodes.select("_n", "_least").join(label, "_n", "left").withColumn("_root", F.coalesce("_root", "_n"))
     least = owned.groupBy("_root").agg(F.min("_least").alias("_least")).select(F.col("_least.i").alias("_id"), F.col("_least.h").alias("_h"))
     out = keep_least(docs, least, rows)
-    discard(rows, nodes, buckets, members, wanted, sets, label)
+    discard(rows, nodes, buckets, members, wanted, sets, label, prints)
     return out

@@ -576,3 +576,15 @@ def test_pipeline_run_equals_brute_force(spark, tmp_path):
         assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 4096
     assert len(places) == best_fit([n for *_, n, _ in want], 4096)
     assert any(r.piece == 1 for r in got) and len(rows) < 250
+
+
+def test_pipeline_joins_what_fingerprints_propose(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(1200)) for i in range(20)]
+    texts += [t + " end" for t in texts] + [" ".join([f"v{i}"] * 900 + [f"u{i}x{k}" for k in range(3 + 40 * j)]) for i in range(5) for j in range(2)]
+    label = reachable([fingerprint(t) for t in texts])
+    alike = shingle_groups(texts)
+    want = [i for i, x in enumerate(alike) if not any(alike[j] == x and label[j] == label[i] for j in range(i))]
+    assert len(want) < 40 and len(set(label)) < len(want)  # some that fingerprints link are not similar enough
+    monkeypatch.setattr(shingle_dedup, "bands", lambda found: [shingle_dedup.node(found) + b for b in range(shingle_dedup.BANDS)])  # no band proposes any
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == want
