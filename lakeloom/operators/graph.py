@@ -10,6 +10,8 @@ from lakeloom.session import discard, stored
 
 #: Bytes of rules up to which they are broadcast.
 RULE_BYTES = 8 << 20
+#: Rows that one task of a closure holds.
+TASK_ROWS = 250_000
 
 
 def build(nodes: DataFrame) -> DataFrame:
@@ -24,24 +26,43 @@ def edge_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(kind("parent"), "parent_id").join(kind("child"), "child_id").select("parent_id", "child_id", "parent_type", "child_type")
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows by keys, in as many partitions as leave about ``TASK_ROWS`` of ``n`` rows in each. Such a number stands,
+    however well the rows compress, so a task's memory does not rise with the table."""
+    return rows.repartition(max(1, -(-n // TASK_ROWS)), *keys)
+
+
+def held(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``wanted``, by a hash table of those: the rows pass unsorted, however many share a key."""
+    return rows.join(wanted.hint("shuffle_hash"), key, "left_semi")
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """ancestor, node, depth (the shortest) of every pair joined by a path, by doubling the reach each round: a graph
-    of depth d takes log2(d) rounds, whatever d is. Each round is written out, so plans stay small."""
-    paths = edges.select(F.col("parent_id").alias("ancestor"), F.col("child_id").alias("node"), F.lit(1).alias("depth")).distinct()
-    paths, seen = stored(paths, "closure"), -1
-    while (n := paths.count()) != seen:
-        seen = n
-        a, b = paths.alias("a"), paths.alias("b")
-        longer = a.join(b, F.col("a.node") == F.col("b.ancestor")).select("a.ancestor", "b.node", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        old, paths = paths, stored(paths.unionAll(longer).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "closure")
-        discard(old)
+    """ancestor, node, depth (the shortest) of every pair joined by a path, once, by doubling the reach each round: a
+    graph of depth d takes log2(d) rounds, whatever d is. Each round is written out, so plans stay small.
+
+    A shortest path longer than the reach begins with a shortest one of just the reach, so only those are continued, and
+    when there are none all is found. They are the hash table; the paths that may follow them, of which very many begin
+    at one node, pass by it."""
+    pairs = edges.select(F.col("parent_id").alias("ancestor"), F.col("child_id").alias("node"))
+    paths, reach = stored(dealt(pairs, pairs.count(), "ancestor", "node").distinct().withColumn("depth", F.lit(1)), "closure"), 1
+    while n := paths.where(F.col("depth") == reach).count():
+        a, b = dealt(paths.where(F.col("depth") == reach), n, "node").hint("shuffle_hash").alias("a"), paths.alias("b")
+        longer = b.join(a, F.col("a.node") == F.col("b.ancestor")).select("a.ancestor", "b.node", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        longer = stored(longer, "closure-longer")
+        if more := longer.count():
+            every = dealt(paths.unionAll(longer), paths.count() + more, "ancestor", "node")
+            old, paths = paths, stored(every.groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "closure")
+            discard(old)
+        discard(longer)
+        reach *= 2
     return paths
 
 
 def nearest_failed(paths: DataFrame, failed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, nearest (failed ancestor of least depth, ties to the least id) for those of ``nodes`` (the failed ones)
     that have one."""
-    up = paths.join(failed.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").join(failed if nodes is None else nodes, "node", "left_semi")
+    up = held(held(paths, failed.select(F.col("node").alias("ancestor")), "ancestor"), failed if nodes is None else nodes, "node")
     return up.groupBy("node").agg(F.min(F.struct("depth", "ancestor"))["ancestor"].alias("nearest"))
 
 
@@ -63,7 +84,7 @@ def shared_failures(paths: DataFrame, root_of: DataFrame) -> DataFrame:
     """node, root of the failed nodes below more than one root: a row for every root above."""
     every = root_of.select(F.col("root").alias("ancestor")).distinct()
     inner = root_of.select("node").join(every.withColumnRenamed("ancestor", "node"), "node", "left_anti")
-    above = paths.join(every, "ancestor", "left_semi").join(inner, "node", "left_semi").select("node", F.col("ancestor").alias("root"))
+    above = held(held(paths, every, "ancestor"), inner, "node").select("node", F.col("ancestor").alias("root"))
     many = above.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("node")
     return above.join(many, "node", "left_semi")
 

@@ -119,3 +119,24 @@ def test_snapshot_is_idempotent(spark):
     twice = incremental.merge_snapshot(once, v, "k", "at")
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.select(*once.columns).collect()), key=str)
     assert {(r.k, r.at): r.valid_to for r in once.collect()} == {(1, 10): 20, (1, 20): None, (2, 10): None}
+
+
+def test_closure_continues_only_the_longest_paths_and_keeps_tasks_small(spark, monkeypatch):
+    rng = random.Random(5)
+    for n, m in ((12, 30), (40, 60), (30, 0)):  # with cycles and loops; sparse; one chain of 30
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] or [(i, i + 1) for i in range(n)]
+        want, edge = {}, {(a, b): 1 for a, b in pairs}
+        while edge:
+            want.update(edge)
+            edge = {(a, c): d + 1 for (a, b), d in edge.items() for x, c in pairs if x == b and (a, c) not in want}
+        rows = spark.createDataFrame([(f"{a:02}", f"{b:02}") for a, b in pairs], "parent_id string, child_id string")
+        with monkeypatch.context() as m:
+            m.setattr(graph, "TASK_ROWS", 100)
+            assert sorted(map(tuple, graph.closure(rows).collect())) == sorted((f"{a:02}", f"{b:02}", d) for (a, b), d in want.items())
+    hub = spark.range(20_000).selectExpr("'hub' AS parent_id", "concat('n', id) AS child_id")
+    top = spark.createDataFrame([("top", "hub")], "parent_id string, child_id string")
+    paths = graph.closure(top.unionAll(hub))
+    assert paths.count() == 40_001
+    failed = paths.select("node").unionAll(top.selectExpr("parent_id")).distinct()
+    near = graph.nearest_failed(paths, failed)
+    assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString() and near.where("nearest = 'hub'").count() == 20_000
