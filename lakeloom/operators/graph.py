@@ -107,9 +107,11 @@ def group_failures(paths: DataFrame, events: DataFrame, skipped: DataFrame) -> D
 
 
 def impact(paths: DataFrame, tiers: DataFrame) -> DataFrame:
-    """node, consumers, weight: downstream nodes with their tier weights (tests left out)."""
-    use = paths.join(tiers.where(F.col("kind") != "test").select("node", "weight"), "node")
-    return use.groupBy(F.col("ancestor").alias("node")).agg(F.countDistinct("node").alias("consumers"), F.sum("weight").alias("weight"))
+    """node, consumers, weight: downstream nodes with their tier weights (tests left out). A path stands once in
+    ``paths``, so paths are counted, not the nodes in a set of them."""
+    own = tiers.where(F.col("kind") != "test").groupBy("node").agg(F.sum("weight").alias("weight"))
+    use = dealt(paths, paths.count(), "node").join(own.hint("shuffle_hash"), "node")
+    return use.groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("consumers"), F.sum("weight").alias("weight"))
 
 
 def severity(score: Column, high: float = 150, low: float = 45) -> Column:
@@ -120,7 +122,7 @@ def scored(paths: DataFrame, tiers: DataFrame, root_multiplier: int = 3) -> Data
     """node, consumers, score, severity of every dataset as a root: its own tier's weight some times, and the tiers'
     weights of all that read it, near or far."""
     own = tiers.where(F.col("kind") != "test").select("node", F.col("weight").alias("_own"))
-    found = own.join(impact(paths, tiers), "node", "left").na.fill(0, ["consumers", "weight"])
+    found = own.join(impact(paths, tiers).hint("shuffle_hash"), "node", "left").na.fill(0, ["consumers", "weight"])
     found = found.withColumn("score", F.lit(root_multiplier) * F.col("_own") + F.col("weight"))
     return found.select("node", "consumers", "score", severity(F.col("score")).alias("severity"))
 

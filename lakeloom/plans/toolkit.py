@@ -571,7 +571,7 @@ TIER = "CASE WHEN {0} LIKE 'nation%' THEN 10 WHEN {0} LIKE 'customer%' THEN 5 EL
 
 @tool("node:s consumers:l score:d severity:s", f"SELECT node, consumers, score, CASE WHEN score >= 150 THEN 'SEV1' WHEN score >= 45 THEN 'SEV2' ELSE 'SEV3' END AS severity FROM (SELECT c.node, count(p.node) AS consumers, 3 * {TIER.format('c.node')} + ifnull(sum({TIER.format('p.node')}) FILTER (WHERE p.node IS NOT NULL), 0) AS score FROM (SELECT DISTINCT child_id AS node FROM {EDGE_SQL}) c LEFT JOIN ({PATHS}) p ON p.ancestor = c.node GROUP BY c.node)")
 def incident_severity(t):
-    nodes = edges(t).select(F.col("child_id").alias("node")).distinct()
+    nodes = graph.dealt(edges(t).select(F.col("child_id").alias("node")), edges(t).count(), "node").distinct()
     weight = F.when(F.col("node").startswith("nation"), 10).when(F.col("node").startswith("customer"), 5).otherwise(1)
     return graph.scored(graph.closure(edges(t)), nodes.withColumns({"weight": weight, "kind": F.lit("model")}))
 

@@ -140,3 +140,6 @@ def test_closure_continues_only_the_longest_paths_and_keeps_tasks_small(spark, m
     failed = paths.select("node").unionAll(top.selectExpr("parent_id")).distinct()
     near = graph.nearest_failed(paths, failed)
     assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString() and near.where("nearest = 'hub'").count() == 20_000
+    use = graph.impact(paths, failed.selectExpr("node", "2 AS weight", "'model' AS kind"))
+    assert {tuple(r) for r in use.collect()} == {("top", 20_001, 40_002), ("hub", 20_000, 40_000)}
+    assert "SortMergeJoin" not in use._jdf.queryExecution().executedPlan().toString()
