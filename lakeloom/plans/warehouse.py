@@ -19,6 +19,9 @@ from lakeloom.sources.company import RAW, country_codes, latest, raw
 
 MODELS: dict[str, Callable[[Warehouse], DataFrame]] = {}
 SOLD = ("completed", "shipped")
+#: Versions of rows that one task sorts, where a table makes this many parts of them at least: what joins it is dealt
+#: out like it, and a smaller table must not hold a larger one together.
+TASK_ROWS, LEAST_PARTS = 500_000, 32
 
 
 class Warehouse:
@@ -34,8 +37,11 @@ class Warehouse:
         return self._plans[name]
 
     def current(self, name: str) -> DataFrame:
-        """A raw table's newest versions."""
-        return latest(raw(self.spark, self.sf_dir, name), RAW[name][0])
+        """A raw table's newest versions. Those of a large table are dealt out by a counted number, which stands however
+        well the rows compress, so the sort in a task doesn't grow with the table, nor is there one before the shuffle."""
+        rows, key = raw(self.spark, self.sf_dir, name), RAW[name][0]
+        n = -(-rows.count() // TASK_ROWS)
+        return latest(rows.repartition(n, key) if n >= LEAST_PARTS else rows, key)
 
     def priced(self) -> DataFrame:
         """Orders with their amounts, for models that ask for nobody behind them."""
@@ -454,9 +460,13 @@ def finance_fct_revenue_monthly(w):
 
 @model
 def product_dim_products(w):
-    sales = w("int_product_sales_daily").groupBy("product_id").agg(
+    """Sales are summed by product before any product is joined: neither the sold items nor a row for each product and
+    day are then sorted or held by product."""
+    orders = w("stg_orders").where(F.col("status").isin(*SOLD)).select("order_id", F.to_date("ordered_at").alias("sale_date"))
+    revenue = w("int_product_sales_daily").agg(F.sum("revenue")).schema[0].dataType
+    sales = w("stg_order_items").join(orders, "order_id").groupBy("product_id").agg(
         F.min("sale_date").alias("first_sold_date"), F.max("sale_date").alias("last_sold_date"),
-        F.sum("units").alias("lifetime_units"), F.sum("revenue").alias("lifetime_revenue"),
+        F.sum("quantity").alias("lifetime_units"), F.sum("line_amount").cast(revenue).alias("lifetime_revenue"),
     )
     rows = w("stg_products").join(sales, "product_id", "left")
     return rows.withColumns({"lifetime_units": zero("lifetime_units"), "lifetime_revenue": zero("lifetime_revenue")})

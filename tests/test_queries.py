@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from lakeloom import catalogue
+from lakeloom.plans import warehouse
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,3 +43,22 @@ def test_query_equals_sql(spark, duck, name):
     assert columns == sorted(relation.columns)
     places = [relation.columns.index(c) for c in columns]
     assert rows == sorted(tuple(plain(r[i]) for i in places) for r in relation.fetchall())
+
+
+def test_versions_of_large_tables_are_dealt_by_their_number(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    plan = lambda: warehouse.Warehouse(spark, sf).current("order_items")
+    small = plan()
+    monkeypatch.setattr(warehouse, "TASK_ROWS", 100)
+    large = plan()
+    text = large._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and "ENSURE_REQUIREMENTS" not in text  # one shuffle, no sort before it
+    assert "REPARTITION_BY_NUM" not in small._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in warehouse.Warehouse(spark, sf).current("products")._jdf.queryExecution().executedPlan().toString()  # two parts
+    assert large.exceptAll(small).isEmpty() and small.exceptAll(large).isEmpty()
+
+
+def test_products_are_joined_after_their_sales_are_summed(spark):
+    plan = QUERIES["product_dim_products"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Aggregate [" in x]
+    assert len(lines) == 1 and "l_shipdate" not in lines[0] and "p_type" not in plan[plan.index("Aggregate [") :]
